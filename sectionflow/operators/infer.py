@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectionflow.functions.chunks import CHUNK, row_rank, running_max, with_halo
-from sectionflow.session import materialize, settings
+from sectionflow.session import materialize
 
 BLOCK = ["bx", "by"]
 STEP = 512
@@ -68,33 +70,35 @@ def _to_curve(bins: DataFrame, keys: list[str], reach: int) -> DataFrame:
     falling = F.aggregate(
         F.sequence(F.lit(1).cast("bigint"), F.lit(reach).cast("bigint")),
         F.array(F.lit(1.0)),
-        lambda acc, k: F.concat(
-            acc, F.array(F.least(F.element_at(acc, -1), F.try_element_at("fs", k)))
-        ),
+        lambda acc, k: F.concat(acc, F.array(F.least(F.element_at(acc, -1), F.try_element_at("fs", k)))),
     )
     return bins.groupBy(*keys).agg(values.alias("fs")).select(*keys, falling.alias("f"))
 
 
-def decay_curve(edges: DataFrame, reach: int) -> DataFrame:
-    """One curve per block from edges(bx, by, d, sp)."""
-    return _to_curve(_bins(edges, BLOCK, reach), BLOCK, reach)
-
-
-def decay_curve_local(edges: DataFrame, reach: int, radius: int) -> DataFrame:
-    """One curve per block and section, from edges within ``radius`` sections.
+def _nearby_bins(bins: DataFrame, radius: int) -> DataFrame:
+    """Bins of a section and of all within ``radius`` of it.
 
     Sums per section come first, so what is spread to neighbouring sections is at
     most reach + 1 rows each.
     """
     receivers = F.sequence(F.greatest(F.col("z") - radius, F.lit(0)), F.col("z") + radius)
-    spread = (
-        _bins(edges, [*BLOCK, "z"], reach)
-        .withColumn("z", F.explode(receivers))
+    return (
+        bins.withColumn("z", F.explode(receivers))
         .groupBy(*BLOCK, "z", "bin")
         .agg(F.sum("ws").alias("ws"), F.sum("w").alias("w"))
     )
-    curves = _to_curve(spread, [*BLOCK, "z"], reach)
-    return curves.join(edges.select(*BLOCK, "z").distinct(), [*BLOCK, "z"], "left_semi")
+
+
+def decay_curve(edges: DataFrame, reach: int) -> DataFrame:
+    """One curve per block from edges(bx, by, d, sp)."""
+    return _to_curve(_bins(edges, BLOCK, reach), BLOCK, reach)
+
+
+def decay_curve_local(edges: DataFrame, reach: int, radius: int) -> DataFrame:
+    """One curve per block and section, from edges within ``radius`` sections."""
+    keys = [*BLOCK, "z"]
+    curves = _to_curve(_nearby_bins(_bins(edges, keys, reach), radius), keys, reach)
+    return curves.join(edges.select(*keys).distinct(), keys, "left_semi")
 
 
 def curve_rows(curves: DataFrame) -> DataFrame:
@@ -103,35 +107,96 @@ def curve_rows(curves: DataFrame) -> DataFrame:
     return curves.select(*keys, F.posexplode("f").alias("d", "f")).withColumn("d", F.col("d").cast("bigint"))
 
 
-def _curve_at(d: Column, reach: int) -> Column:
-    """Curve value at distance d, linear between bins, flat past the last."""
-    k = F.least(F.floor(d).cast("int"), F.lit(reach))
-    low = F.element_at("f", k + 1)
-    high = F.element_at("f", F.least(k + 2, F.lit(reach + 1)))
-    return low + (high - low) * F.least(d - k, F.lit(1.0))
-
-
-def _distance_of(s: Column, reach: int) -> Column:
-    """Distance at which the curve falls to s; NULL off the curve.
-
-    The curve never rises, so counting the values not below s finds the segment.
-    """
-    above = F.size(F.filter("f", lambda v: v >= s))
-    k = F.when((above > 0) & (above <= reach), above)
-    high, low = F.element_at("f", k), F.element_at("f", k + 1)
-    return F.when(k.isNotNull(), k - 1 + (high - s) / (high - low))
+def _place(edges: pd.DataFrame, zs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of both edge ends among the sorted sections ``zs``, and similarity."""
+    z, zr = edges["z"].to_numpy(), edges["zr"].to_numpy()
+    i, j = (np.minimum(np.searchsorted(zs, e), len(zs) - 1) for e in (z, zr))
+    known = (zs[i] == z) & (zs[j] == zr)
+    return i[known], j[known], edges["s"].to_numpy()[known]
+
+
+def _state_rows(state: pd.DataFrame) -> pd.DataFrame:
+    return state[state["d"].isna()].sort_values("z")
+
+
+def _bin_kernel(reach: int, step: int, by_section: bool):
+    """Distance-bin sums of the edges a chunk owns."""
+
+    def sums(key, edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        first = key[2] * step
+        edges = edges[(edges["z"] >= first) & (edges["z"] < first + step)]
+        state = _state_rows(state)
+        names = ["bx", "by", "z", "bin", "ws", "w"]
+        if edges.empty or state.empty:
+            return pd.DataFrame(columns=names)
+        zs, c, m = (state[n].to_numpy() for n in ("z", "c", "m"))
+        i, j, s = _place(edges, zs)
+        d, sp = np.abs(c[i] - c[j]), s * m[i] * m[j]
+        low = np.floor(d)
+        bins = np.concatenate([low, low + 1])
+        w = np.concatenate([1 - (d - low), d - low])
+        out = pd.DataFrame(
+            {"z": np.tile(zs[i], 2) if by_section else first, "bin": bins, "w": w, "ws": w * np.tile(sp, 2)}
+        )
+        out = out[(out["bin"] <= reach) & (out["w"] > 0)].groupby(["z", "bin"], as_index=False)[["ws", "w"]].sum()
+        return out.assign(bx=key[0], by=key[1])[names]
 
+    return sums
 
-def _spread(state: DataFrame, reach: int, step: int) -> DataFrame:
-    """Coordinates copied to every chunk that looks at them."""
-    return with_halo(state, step, reach, reach)
 
+def _round_kernel(o: InferOptions, step: int):
+    """Multiplier steps and shift votes of one chunk, on a halo wide enough for both.
 
-def _attach(edges: DataFrame, state: DataFrame, side: str, names: dict[str, str], reach: int, step: int) -> DataFrame:
-    other = _spread(state, reach, step).select(
-        *BLOCK, "chunk", F.col("z").alias(side), *(F.col(a).alias(b) for a, b in names.items())
-    )
-    return edges.join(other, [*BLOCK, "chunk", side])
+    Each multiplier step looks ``comparison_range`` sections sideways, so with a
+    halo of that width per step the owned sections come out exact and no data has
+    to be exchanged between steps.
+    """
+    reach, lam = o.comparison_range, o.multiplier_weight
+
+    def run(key, edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        curve_rows_ = state[state["d"].notna()]
+        state = _state_rows(state)
+        names = ["bx", "by", "z", "c", "m", "c0", "shift"]
+        if state.empty:
+            return pd.DataFrame(columns=names)
+        zs, c, m, c0 = (state[n].to_numpy() for n in ("z", "c", "m", "c0"))
+        m, n = m.copy(), len(zs)
+        shift = np.full(n, np.nan)
+        if len(edges) and len(curve_rows_):
+            # Curves as a table section x distance; one shared row when global.
+            f = np.full((1 if o.window_radius < 0 else n, reach + 1), np.nan)
+            at = np.searchsorted(zs, curve_rows_["z"].to_numpy()) if len(f) > 1 else np.zeros(len(curve_rows_), int)
+            f[at, curve_rows_["d"].to_numpy().astype(int)] = curve_rows_["c"].to_numpy()
+            i, j, s = _place(edges, zs)
+            row = i if len(f) > 1 else np.zeros_like(i)
+            known = ~np.isnan(f[row, 0])
+            i, j, s, row = i[known], j[known], s[known], row[known]
+            d = np.abs(c[i] - c[j])
+            k = np.minimum(np.floor(d), reach).astype(int)
+            low, high = f[row, k], f[row, np.minimum(k + 1, reach)]
+            fd = low + (high - low) * np.minimum(d - k, 1.0)
+            linked = np.bincount(i, minlength=n) > 0
+            for _ in range(o.multiplier_iterations):
+                x = s * m[j]
+                num, den = np.bincount(i, fd * x, n), np.bincount(i, x * x, n)
+                raw = np.divide(num, den, out=np.ones(n), where=den > 0)
+                m = np.where(linked, (1 - lam) * raw + lam, m)
+            sp = s * m[i] * m[j]
+            # The curve never rises: counting values not below sp finds the segment.
+            above = (f[row] >= sp[:, None]).sum(axis=1)
+            on = (above > 0) & (above <= reach)
+            i, j, sp, row, k = i[on], j[on], sp[on], row[on], above[on] - 1
+            high, low = f[row, k], f[row, k + 1]
+            away = k + (high - sp) / (high - low)
+            vote = c[j] + np.sign(c[i] - c[j]) * away - c[i]
+            votes = np.bincount(i, minlength=n)
+            shift = np.divide(np.bincount(i, vote, n), votes, out=shift, where=votes > 0)
+        out = pd.DataFrame({"z": zs, "c": c, "m": m, "c0": c0, "shift": np.nan_to_num(shift)})
+        first = key[2] * step
+        out = out[(out["z"] >= first) & (out["z"] < first + step)]
+        return out.assign(bx=key[0], by=key[1])[names]
+
+    return run
 
 
 def _monotone(state: DataFrame, eps: float, reorder: bool) -> DataFrame:
@@ -157,61 +222,52 @@ def _border(state: DataFrame) -> DataFrame:
     )
 
 
-def _iterate(edges: DataFrame, state: DataFrame, o: InferOptions, step: int) -> tuple[DataFrame, DataFrame]:
-    """One round: curve, multipliers, votes, update.  Returns (state, kept edges)."""
-    reach = o.comparison_range
-    placed = _attach(edges, state, "z", {"c": "cz", "m": "mz"}, reach, step)
-    placed = _attach(placed, state, "zr", {"c": "cr", "m": "mr"}, reach, step)
-    placed = placed.withColumn("d", F.abs(F.col("cz") - F.col("cr"))).withColumn(
-        "sp", F.col("s") * F.col("mz") * F.col("mr")
+_GROUP = [*BLOCK, "chunk"]
+
+
+def _iterate(edges: DataFrame, state: DataFrame, o: InferOptions, step: int) -> DataFrame:
+    """One round: curve, multipliers, votes, update."""
+    reach, local = o.comparison_range, o.window_radius >= 0
+    halo = (o.multiplier_iterations + 1) * reach
+    grouped = edges.groupBy(*_GROUP)
+    none = F.lit(None).cast("bigint")
+    rows = state.select(*BLOCK, "z", none.alias("d"), "c", "m", "c0")
+    bins = grouped.cogroup(with_halo(rows, step, reach, reach).groupBy(*_GROUP)).applyInPandas(
+        _bin_kernel(reach, step, local), "bx bigint, by bigint, z bigint, bin bigint, ws double, w double"
     )
-    if o.window_radius < 0:
-        curves = decay_curve(placed, reach)
-        chunks = state.select(*BLOCK, F.expr(f"z div {step}").alias("chunk")).distinct()
-        placed = placed.join(chunks.join(curves, BLOCK), [*BLOCK, "chunk"])
+    if local:
+        keys = [*BLOCK, "z"]
+        curves = _to_curve(_nearby_bins(bins, o.window_radius), keys, reach)
+        curves = curves.join(state.select(*keys), keys, "left_semi")
     else:
-        curves = decay_curve_local(placed, reach, o.window_radius)
-        placed = placed.join(curves.withColumn("chunk", F.expr(f"z div {step}")), [*BLOCK, "chunk", "z"])
-    placed = placed.withColumn("fd", _curve_at(F.col("d"), reach)).select(
-        *BLOCK, "chunk", "z", "zr", "s", "cz", "cr", "fd", "f"
-    )
-    placed = placed.persist()
-
-    weights = state.select(*BLOCK, "z", "m")
-    lam = o.multiplier_weight
-    for _ in range(o.multiplier_iterations):
-        seen = _attach(placed.select(*BLOCK, "chunk", "z", "zr", "s", "fd"), weights, "zr", {"m": "mr"}, reach, step)
-        x = F.col("s") * F.col("mr")
-        fit = seen.groupBy(*BLOCK, "chunk", "z").agg(
-            F.sum(F.col("fd") * x).alias("_num"), F.sum(x * x).alias("_den")
-        )
-        raw = F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")).otherwise(1.0)
-        fitted = fit.select(*BLOCK, "z", ((1 - lam) * raw + lam).alias("_m"))
-        weights = weights.join(fitted, [*BLOCK, "z"], "left").select(*BLOCK, "z", F.coalesce("_m", "m").alias("m"))
-    if o.multiplier_iterations:
-        weights = materialize(weights, "multipliers")
-
-    scored = _attach(placed, weights, "z", {"m": "mz"}, reach, step)
-    scored = _attach(scored, weights, "zr", {"m": "mr"}, reach, step)
-    away = _distance_of(F.col("s") * F.col("mz") * F.col("mr"), reach)
-    vote = F.col("cr") + F.signum(F.col("cz") - F.col("cr")) * away - F.col("cz")
-    shifts = scored.select(*BLOCK, "chunk", "z", vote.alias("vote")).groupBy(*BLOCK, "chunk", "z").agg(
-        F.avg("vote").alias("shift")
+        bins = bins.groupBy(*BLOCK, "bin").agg(F.sum("ws").alias("ws"), F.sum("w").alias("w"))
+        curves = _to_curve(bins, BLOCK, reach)
+    # Curve values travel to the chunks as extra rows beside the coordinates.
+    values = curves.select(
+        *(c for c in curves.columns if c != "f"), F.posexplode("f").alias("d", "c")
+    ).withColumn("d", F.col("d").cast("bigint"))
+    if local:
+        values = with_halo(values, step, halo, halo)
+    else:
+        chunks = state.select(*BLOCK, F.expr(f"z div {step}").alias("chunk")).distinct()
+        values = chunks.join(values, BLOCK).withColumn("z", none)
+    nothing = F.lit(None).cast("double")
+    values = values.withColumns({"m": nothing, "c0": nothing})
+    sent = with_halo(rows, step, halo, halo).unionByName(values)
+    voted = grouped.cogroup(sent.groupBy(*_GROUP)).applyInPandas(
+        _round_kernel(o, step),
+        "bx bigint, by bigint, z bigint, c double, m double, c0 double, shift double",
     )
-    moved = F.col("c") + o.shift_proportion * F.coalesce("shift", F.lit(0.0))
+    moved = F.col("c") + o.shift_proportion * F.col("shift")
     moved = (1 - o.coordinate_weight) * moved + o.coordinate_weight * F.col("c0")
     moved = (1 - o.grid_weight) * moved + o.grid_weight * F.col("z")
-    state = (
-        state.drop("m")
-        .join(weights, [*BLOCK, "z"])
-        .join(shifts.drop("chunk"), [*BLOCK, "z"], "left")
-        .select(*BLOCK, "z", moved.alias("c"), "m", "c0")
-    )
+    # Written out because the scans below read it more than once.
+    state = materialize(voted.select(*BLOCK, "z", moved.alias("c"), "m", "c0"), "votes")
     if o.monotone:
         state = _monotone(state, o.min_thickness, o.reorder)
     if o.regularization == "BORDER":
         state = _border(state)
-    return state, placed
+    return state
 
 
 def infer_trace(
@@ -219,30 +275,29 @@ def infer_trace(
 ) -> DataFrame:
     """trace(iter, bx, by, z, c): coordinates before and after every round.
 
-    Edges are hashed once by (block, z chunk) and kept; a round shuffles only
-    coordinate rows.  Coordinates are written out after each round, so plans stay
-    short and a lost executor costs one round at most.
+    Edges are hashed once by (block, z chunk with halo), sorted and kept; a round
+    shuffles only coordinate rows, and all its multiplier steps share that one
+    exchange.  Coordinates are written out after each round, so plans stay short
+    and a lost executor costs one round at most.
     """
     spark = lut.sparkSession
-    step = max(step, options.comparison_range)
+    halo = options.multiplier_iterations * options.comparison_range
+    step = max(step, options.comparison_range, halo)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = both_ways(sim, options.comparison_range)
-    live = lut.where("c IS NOT NULL")
     edges = (
-        edges.withColumn("chunk", F.expr(f"z div {step}"))
-        .repartition(partitions, *BLOCK, "chunk")
+        with_halo(both_ways(sim, options.comparison_range), step, halo, halo)
+        .repartition(partitions, *_GROUP)
+        .sortWithinPartitions(*_GROUP)
         .persist()
     )
     state = materialize(
-        live.select(*BLOCK, "z", "c", F.lit(1.0).alias("m"), F.col("c").alias("c0")), "coordinates"
+        lut.where("c IS NOT NULL").select(*BLOCK, "z", "c", F.lit(1.0).alias("m"), F.col("c").alias("c0")),
+        "coordinates",
     )
     rounds = [state.select(F.lit(0).cast("bigint").alias("iter"), *BLOCK, "z", "c")]
-    with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
-        for i in range(1, options.iterations + 1):
-            state, kept = _iterate(edges, state, options, step)
-            state = materialize(state, "coordinates")
-            kept.unpersist()
-            rounds.append(state.select(F.lit(i).cast("bigint").alias("iter"), *BLOCK, "z", "c"))
+    for i in range(1, options.iterations + 1):
+        state = materialize(_iterate(edges, state, options, step), "coordinates")
+        rounds.append(state.select(F.lit(i).cast("bigint").alias("iter"), *BLOCK, "z", "c"))
     edges.unpersist()
     return reduce(DataFrame.unionByName, rounds)
 

@@ -41,72 +41,75 @@ def tiled_ncc(moments: DataFrame) -> DataFrame:
     return moments.groupBy(*PAIR).agg(*merge_aggs()).select(*PAIR, "n", ncc().alias("s"))
 
 
-def cell_moments(chunked: DataFrame, grid: Grid, reach: int, step: int) -> DataFrame:
-    """Moments per atomic cell and pair, from built-in expressions only.
+def block_moments(chunked: DataFrame, grid: Grid, reach: int, step: int) -> DataFrame:
+    """Partial moments per block and pair, from built-in expressions only.
 
     ``chunked`` comes from ``tiled_chunks`` with the same or a larger reach.
+    Sums are taken per atomic cell first, so overlap between blocks repeats small
+    moment rows, never pixels.
     """
     tagged = with_cell(chunked.where("v IS NOT NULL"), grid)
     pairs = with_cell(pairs_in_chunks(tagged, reach, step), grid)
-    return pairs.groupBy(*CELL, *PAIR).agg(*moment_aggs())
+    return cells_to_blocks(pairs.groupBy(*CELL, *PAIR).agg(*moment_aggs()))
 
 
-def cell_moments_packed(chunked: DataFrame, grid: Grid, reach: int, step: int) -> DataFrame:
-    """The same moments from banded products inside each (chunk, tile) group.
+def block_moments_packed(chunked: DataFrame, grid: Grid, reach: int, step: int) -> DataFrame:
+    """The same moments from matrix products inside each (chunk, tile) group.
 
-    Pixel columns of a group become a sections x pixels matrix; one matrix product
-    per cell replaces a row per pixel pair.  A group is bounded by the chunk and
-    tile sizes, and cells cut by a tile border are merged by the aggregate.
+    Pixel columns of a group become a sections x pixels matrix; one product per
+    atomic cell replaces a row per pixel pair, and cells are added up to blocks
+    before anything leaves the group.  Groups are bounded by chunk and tile size;
+    blocks cut by a tile border are merged by the aggregate that follows.
     """
     tagged = with_cell(chunked.where("v IS NOT NULL"), grid)
-    names = ["chunk", *CELL, *PAIR, *MOMENTS]
+    names = ["bx", "by", *PAIR, *MOMENTS]
 
     def banded(pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(pdf["chunk"].iat[0]) * step
-        parts = []
-        for cell, part in pdf.groupby(list(CELL), sort=False):
-            zs, zi = np.unique(part["z"].to_numpy(), return_inverse=True)
+        zs, zi = np.unique(pdf["z"].to_numpy(), return_inverse=True)
+        gap = zs[:, None] - zs[None, :]
+        hi, lo = np.nonzero((gap > 0) & (gap <= reach) & (zs[:, None] >= first))
+        blocks: dict[tuple[int, int], np.ndarray] = {}
+        for (lx, hx, ly, hy), rows in pdf.groupby(list(CELL), sort=False).indices.items():
+            part = pdf.iloc[rows]
             _, pi = np.unique(part["x"].to_numpy() * 2**31 + part["y"].to_numpy(), return_inverse=True)
             vals = np.zeros((len(zs), pi.max() + 1))
             mask = np.zeros_like(vals)
-            vals[zi, pi] = part["v"].to_numpy()
-            mask[zi, pi] = 1.0
-            gap = zs[:, None] - zs[None, :]
-            hi, lo = np.nonzero((gap > 0) & (gap <= reach) & (zs[:, None] >= first))
+            vals[zi[rows], pi] = part["v"].to_numpy()
+            mask[zi[rows], pi] = 1.0
             sq = vals * vals
-            sums = (mask @ mask.T, vals @ mask.T, sq @ mask.T, mask @ vals.T, mask @ sq.T, vals @ vals.T)
-            cols = {"z1": zs[hi], "z2": zs[lo], **{m: s[hi, lo] for m, s in zip(MOMENTS, sums, strict=True)}}
-            out = pd.DataFrame({**dict(zip(CELL, cell, strict=True)), **cols})
-            parts.append(out[out["n"] > 0])
-        merged = pd.concat(parts)
-        merged.insert(0, "chunk", pdf["chunk"].iat[0])
-        merged["n"] = merged["n"].round().astype("int64")
-        return merged[names]
-
-    ints = ", ".join(f"{c} bigint" for c in ("chunk", *CELL, *PAIR, "n"))
+            products = (mask @ mask.T, vals @ mask.T, sq @ mask.T, mask @ vals.T, mask @ sq.T, vals @ vals.T)
+            sums = np.stack([p[hi, lo] for p in products])
+            for by in range(ly, hy + 1):
+                for bx in range(lx, hx + 1):
+                    seen = blocks.get((bx, by))
+                    blocks[bx, by] = sums.copy() if seen is None else np.add(seen, sums, out=seen)
+        if not blocks or not len(hi):
+            return pd.DataFrame(columns=names)
+        at = np.array(list(blocks))
+        sums = np.concatenate(list(blocks.values()), axis=1)
+        out = pd.DataFrame(dict(zip(MOMENTS, sums, strict=True)))
+        out["bx"], out["by"] = np.repeat(at[:, 0], len(hi)), np.repeat(at[:, 1], len(hi))
+        out["z1"], out["z2"] = np.tile(zs[hi], len(at)), np.tile(zs[lo], len(at))
+        out = out[out["n"] > 0]
+        return out.assign(n=out["n"].round().astype("int64"))[names]
+
+    ints = ", ".join(f"{c} bigint" for c in ("bx", "by", *PAIR, "n"))
     reals = ", ".join(f"{c} double" for c in MOMENTS[1:])
-    return (
-        tagged.groupBy("chunk", "tx", "ty")
-        .applyInPandas(banded, f"{ints}, {reals}")
-        .groupBy(*CELL, *PAIR)
-        .agg(*merge_aggs())
-    )
+    return tagged.groupBy("chunk", "tx", "ty").applyInPandas(banded, f"{ints}, {reals}")
 
 
-def blocks_from_cells(moments: DataFrame) -> DataFrame:
-    """sim(bx, by, z1, z2, n, s) from cell moments.
-
-    Overlap between blocks repeats small moment rows, never pixels.
-    """
+def block_similarity(moments: DataFrame) -> DataFrame:
+    """sim(bx, by, z1, z2, n, s) from partial block moments."""
     keys = ["bx", "by", *PAIR]
-    return cells_to_blocks(moments).groupBy(*keys).agg(*merge_aggs()).select(*keys, "n", ncc().alias("s"))
+    return moments.groupBy(*keys).agg(*merge_aggs()).select(*keys, "n", ncc().alias("s"))
 
 
 def block_ncc(pixels: DataFrame, grid: Grid, reach: int, packed: bool = False, tile: int = TILE) -> DataFrame:
     """Correlation of every block of every section pair within reach."""
     step = default_step(reach)
     chunked = tiled_chunks(pixels.where("v IS NOT NULL"), reach, step, tile)
-    return blocks_from_cells((cell_moments_packed if packed else cell_moments)(chunked, grid, reach, step))
+    return block_similarity((block_moments_packed if packed else block_moments)(chunked, grid, reach, step))
 
 
 def block_pair_map(sim: DataFrame) -> DataFrame:

@@ -2,28 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectionflow.functions.chunks import owned, with_halo
+from sectionflow.functions.chunks import with_halo
 from sectionflow.functions.grid import Grid
-from sectionflow.functions.stats import MOMENTS, ncc
 from sectionflow.operators.grid import CELL, cells_to_blocks, with_cell
 from sectionflow.operators.pairs import default_step
 
 TILE = 32
 
 
-def _offsets(reach: tuple[int, int]):
-    return F.explode(
-        F.array(
-            *(
-                F.struct(F.lit(dx).cast("bigint").alias("dx"), F.lit(dy).cast("bigint").alias("dy"))
-                for dx in range(-reach[0], reach[0] + 1)
-                for dy in range(-reach[1], reach[1] + 1)
-            )
-        )
-    )
+def _moved(a: np.ndarray, dx: int, dy: int) -> np.ndarray:
+    """a[..., y + dy, x + dx], zero where that lies outside."""
+    h, w = a.shape[-2:]
+    out = np.zeros_like(a)
+    ys, xs = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
+    out[..., ys, xs] = a[..., max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
+    return out
+
+
+def _box(a: np.ndarray, rx: int, ry: int) -> np.ndarray:
+    """Sums over closed windows of the given radii."""
+    across = sum(_moved(a, d, 0) for d in range(-rx, rx + 1))
+    return sum(_moved(across, 0, d) for d in range(-ry, ry + 1))
+
+
+class _Tile:
+    """The pixels of one (chunk, tile) group as dense arrays."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.zs, zi = np.unique(pdf["z"].to_numpy(), return_inverse=True)
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        self.x = np.arange(x.min(), x.max() + 1)
+        self.y = np.arange(y.min(), y.max() + 1)
+        shape = (len(self.zs), len(self.y), len(self.x))
+        self.values, self.mask = np.zeros(shape), np.zeros(shape)
+        self.exists = np.zeros(shape, bool)
+        at = (zi, y - self.y[0], x - self.x[0])
+        v = pdf["v"].to_numpy()
+        self.values[at] = np.nan_to_num(v)
+        self.mask[at] = ~np.isnan(v)
+        self.exists[at] = True
+
+
+def _best_scores(
+    tile: _Tile, first: int, width: int, height: int, reach: int, offsets: tuple[int, int], radius: tuple[int, int]
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(larger, smaller, scores[pair, y, x]) for each distance between sections."""
+    (rx, ry), (mx, my) = radius, offsets
+    fits_x = lambda p: (p >= rx) & (p <= width - rx)
+    fits_y = lambda p: (p >= ry) & (p <= height - ry)
+    b, mb = tile.values, tile.mask
+    bb = b * b
+    for lag in range(1, reach + 1):
+        at = np.minimum(np.searchsorted(tile.zs, tile.zs - lag), len(tile.zs) - 1)
+        hi = np.nonzero((tile.zs[at] == tile.zs - lag) & (tile.zs >= first))[0]
+        if not len(hi):
+            continue
+        lo = at[hi]
+        best = np.zeros((len(hi), len(tile.y), len(tile.x)))
+        for dy in range(-my, my + 1):
+            for dx in range(-mx, mx + 1):
+                a, ma = _moved(tile.values[hi], dx, dy), _moved(tile.mask[hi], dx, dy)
+                n = _box(ma * mb[lo], rx, ry)
+                sa, sb = _box(a * mb[lo], rx, ry), _box(b[lo] * ma, rx, ry)
+                va = n * _box(a * a * mb[lo], rx, ry) - sa * sa
+                vb = n * _box(bb[lo] * ma, rx, ry) - sb * sb
+                allowed = np.outer(
+                    fits_y(tile.y) & fits_y(tile.y + dy), fits_x(tile.x) & fits_x(tile.x + dx)
+                )
+                good = (va > 0) & (vb > 0) & allowed
+                top = n * _box(a * b[lo], rx, ry) - sa * sb
+                va, vb = np.where(good, va, 1.0), np.where(good, vb, 1.0)
+                best = np.maximum(best, np.where(good, top / np.sqrt(va) / np.sqrt(vb), 0.0))
+        yield hi, lo, best
+
+
+def _tiled(pixels: DataFrame, reach: int, halo: tuple[int, int], step: int, tile: tuple[int, int]) -> DataFrame:
+    cut = with_halo(pixels.select("z", "x", "y", "v"), tile[0], halo[0], halo[0], axis="x", chunk="tx")
+    cut = with_halo(cut, tile[1], halo[1], halo[1], axis="y", chunk="ty")
+    return with_halo(cut, step, before=reach).groupBy("chunk", "tx", "ty")
+
+
+def _setup(width, height, reach, offsets, radius, step, tile):
+    radius = (min(radius[0], width - 1), min(radius[1], height - 1))
+    halo = (radius[0] + offsets[0], radius[1] + offsets[1])
+    return radius, halo, step or default_step(reach), (max(tile, halo[0]), max(tile, halo[1]))
 
 
 def tolerant_ncc(
@@ -42,73 +111,37 @@ def tolerant_ncc(
     window is closed and holds only pixels both sections have.  Negative and
     undefined correlations give 0.  Windows reaching past the section are not
     tried (one pixel past the far border is allowed), and pixels within the
-    radius of a border carry no weight.
+    radius of a border carry no weight.  Missing pixels are NULL rows.
 
-    One shuffle by (z chunk, tile with halo); offsets, pairing and both window
-    passes run inside a group whose size the chunk and tile bound.
+    One shuffle by (z chunk, tile), both with halo.  The work multiplies pixels
+    by distances, offsets and window size, so it runs on arrays inside a group
+    whose size the chunk and tile bound.
     """
-    rx, ry = min(radius[0], width - 1), min(radius[1], height - 1)
-    mx, my = offsets
-    step = step or default_step(reach)
-    tile_x, tile_y = max(tile, rx + mx), max(tile, ry + my)
-    cut = with_halo(pixels, tile_x, rx + mx, rx + mx, axis="x", chunk="tx")
-    cut = with_halo(cut, tile_y, ry + my, ry + my, axis="y", chunk="ty")
-    cut = with_halo(cut, step, before=reach).repartition("chunk", "tx", "ty")
-
-    # Every pixel plays two parts per offset: moved (larger section) and fixed.
-    roles = F.explode(
-        F.array(
-            F.struct((F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), F.lit(True).alias("moved")),
-            F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.lit(False).alias("moved")),
-        )
-    )
-    parts = (
-        cut.withColumn("o", _offsets(offsets))
-        .select("chunk", "tx", "ty", "z", "v", "o", roles.alias("r"))
-        .select("chunk", "tx", "ty", "z", "v", "o.dx", "o.dy", "r.x", "r.y", "r.moved")
-    )
-    group = ["chunk", "tx", "ty", "dx", "dy"]
-    below = Window.partitionBy(*group, "x", "y").orderBy("z").rangeBetween(-reach, -1)
-    fixed = F.collect_list(F.when(~F.col("moved"), F.struct(F.col("z").alias("z2"), F.col("v").alias("b")))).over(below)
-    pairs = (
-        parts.withColumn("near", fixed)
-        .where(F.col("moved") & owned(step))
-        .select(*group, "x", "y", F.col("z").alias("z1"), F.col("v").alias("a"), F.explode("near").alias("n"))
-        .select(*group, "x", "y", "z1", F.col("n.z2").alias("z2"), "a", F.col("n.b").alias("b"))
-    )
-    a, b = F.col("a"), F.col("b")
-    both = a.isNotNull() & b.isNotNull()
-    terms = zip(MOMENTS, (F.lit(1.0), a, a * a, b, b * b, a * b), strict=True)
-    # A missing pixel still yields a row of zeros: its position is a valid centre.
-    sums = pairs.select(
-        *group, "x", "y", "z1", "z2", *(F.when(both, e).otherwise(0.0).alias(m) for m, e in terms)
-    )
-    key = [*group, "z1", "z2"]
-    boxed = (
-        sums.withColumn("x", F.explode(F.sequence(F.col("x") - rx, F.col("x") + rx)))
-        .groupBy(*key, "x", "y")
-        .agg(*(F.sum(m).alias(m) for m in MOMENTS))
-        .withColumn("y", F.explode(F.sequence(F.col("y") - ry, F.col("y") + ry)))
-        .where(owned(tile_x, "x", "tx") & owned(tile_y, "y", "ty"))
-        .groupBy(*key, "x", "y")
-        .agg(*(F.sum(m).alias(m) for m in MOMENTS))
-    )
-
-    def inside(axis: str, r: int, extent: int):
-        at, moved = F.col(axis), F.col(axis) + F.col("d" + axis)
-        fits = lambda p: (p >= r) & (p <= extent - r)
-        return at.between(0, extent - 1) & fits(at) & fits(moved)
+    radius, halo, step, sides = _setup(width, height, reach, offsets, radius, step, tile)
+
+    def scores(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk, tx, ty = (int(pdf[c].iat[0]) for c in ("chunk", "tx", "ty"))
+        group, parts = _Tile(pdf), [pd.DataFrame({"z1": [], "z2": [], "x": [], "y": [], "s": []})]
+        core = np.outer(group.y // sides[1] == ty, group.x // sides[0] == tx)
+        for hi, lo, best in _best_scores(group, chunk * step, width, height, reach, offsets, radius):
+            p, y, x = np.nonzero(group.exists[hi] & group.exists[lo] & core)
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "z1": group.zs[hi][p], "z2": group.zs[lo][p],
+                        "x": group.x[x], "y": group.y[y], "s": best[p, y, x],
+                    }
+                )
+            )
+        return pd.concat(parts)
 
-    border = ~(F.col("x").between(rx, width - rx - 1) & F.col("y").between(ry, height - ry - 1))
+    inner = F.col("x").between(radius[0], width - radius[0] - 1) & F.col("y").between(
+        radius[1], height - radius[1] - 1
+    )
     return (
-        boxed.select(
-            "chunk", "tx", "ty", "z1", "z2", "x", "y",
-            F.when(inside("x", rx, width) & inside("y", ry, height), ncc()).alias("s"),
-        )
-        .where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
-        .groupBy("chunk", "tx", "ty", "z1", "z2", "x", "y")
-        .agg(F.greatest(F.lit(0.0), F.coalesce(F.max("s"), F.lit(0.0))).alias("s"))
-        .select("z1", "z2", "x", "y", "s", F.when(~border, 1.0).alias("weight"))
+        _tiled(pixels, reach, halo, step, sides)
+        .applyInPandas(scores, "z1 bigint, z2 bigint, x bigint, y bigint, s double")
+        .withColumn("weight", F.when(inner, 1.0))
     )
 
 
@@ -120,23 +153,77 @@ def block_average(values: DataFrame, grid: Grid, keys: tuple[str, ...] = ("z1",
         .groupBy(*CELL, *keys)
         .agg(F.sum(F.col("weight") * F.col(value)).alias("_wv"), F.sum("weight").alias("_w"))
     )
+    return _mean(cells_to_blocks(cells), keys, value)
+
+
+def _mean(sums: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     return (
-        cells_to_blocks(cells)
-        .groupBy("bx", "by", *keys)
+        sums.groupBy("bx", "by", *keys)
         .agg(F.sum("_wv").alias("_wv"), F.sum("_w").alias("_w"))
         .where("_w > 0")
         .select("bx", "by", *keys, (F.col("_wv") / F.col("_w")).alias(value))
     )
 
 
+def tolerant_similarity(
+    pixels: DataFrame,
+    grid: Grid,
+    reach: int,
+    offsets: tuple[int, int],
+    radius: tuple[int, int],
+    step: int | None = None,
+    tile: int = TILE,
+) -> DataFrame:
+    """sim(bx, by, z1, z2, s): ``block_average`` of ``tolerant_ncc``.
+
+    Block sums are taken inside each group, so scores of single pixels never
+    leave it.
+    """
+    width, height = grid.width, grid.height
+    radius, halo, step, sides = _setup(width, height, reach, offsets, radius, step, tile)
+
+    def spans(axis: str, at: np.ndarray, core: np.ndarray, r: int) -> list[tuple[int, np.ndarray]]:
+        count, gr, gs, extent = grid.axis(axis)
+        usable = at[core & (at >= r) & (at < extent - r)]
+        if not len(usable):
+            return []
+        first, last = max(0, -(-(int(usable[0]) - 2 * gr) // gs)), min(count - 1, int(usable[-1]) // gs)
+        spans_ = ((b, usable[(usable >= b * gs) & (usable <= b * gs + 2 * gr)] - at[0]) for b in range(first, last + 1))
+        return [(b, i) for b, i in spans_ if len(i)]
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk, tx, ty = (int(pdf[c].iat[0]) for c in ("chunk", "tx", "ty"))
+        group, parts = _Tile(pdf), [pd.DataFrame({"bx": [], "by": [], "z1": [], "z2": [], "_wv": [], "_w": []})]
+        across = spans("x", group.x, group.x // sides[0] == tx, radius[0])
+        down = spans("y", group.y, group.y // sides[1] == ty, radius[1])
+        if not (across and down):
+            return parts[0]
+        for hi, lo, best in _best_scores(group, chunk * step, width, height, reach, offsets, radius):
+            weight = (group.exists[hi] & group.exists[lo]).astype(float)
+            scored = best * weight
+            for by, yi in down:
+                rows, rows_w = scored[:, yi].sum(axis=1), weight[:, yi].sum(axis=1)
+                for bx, xi in across:
+                    parts.append(
+                        pd.DataFrame(
+                            {
+                                "bx": bx, "by": by, "z1": group.zs[hi], "z2": group.zs[lo],
+                                "_wv": rows[:, xi].sum(axis=1), "_w": rows_w[:, xi].sum(axis=1),
+                            }
+                        )
+                    )
+        return pd.concat(parts)
+
+    partial = _tiled(pixels, reach, halo, step, sides).applyInPandas(
+        sums, "bx bigint, by bigint, z1 bigint, z2 bigint, _wv double, _w double"
+    )
+    return _mean(partial, ("z1", "z2"), "s")
+
+
 def tolerant_strategy(offsets: tuple[int, int], radius: tuple[int, int]):
     """A similarity for ``block_matrices`` based on the tolerant correlation."""
 
     def strategy(pixels: DataFrame, grid: Grid, reach: int) -> DataFrame:
-        return block_average(
-            tolerant_ncc(pixels, grid.width, grid.height, reach, offsets, radius), grid
-        )
+        return tolerant_similarity(pixels, grid, reach, offsets, radius)
 
     return strategy
-
-

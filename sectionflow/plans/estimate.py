@@ -23,7 +23,7 @@ from sectionflow.operators.pairs import default_step, tiled_chunks
 from sectionflow.operators.prep import downsample
 from sectionflow.operators.render import render, warp_matrix
 from sectionflow.operators.repair import fill_lut, invert_lut
-from sectionflow.operators.similarity import blocks_from_cells, cell_moments, cell_moments_packed, similarity_matrix
+from sectionflow.operators.similarity import block_moments, block_moments_packed, block_similarity, similarity_matrix
 from sectionflow.plans.options import JobOptions, Stage
 from sectionflow.session import materialize
 from sectionflow.sources.stacks import load_sections, write_report, write_sections
@@ -60,8 +60,10 @@ def estimate_stages(
     spark = pixels.sparkSession
     reach = max(s.infer.comparison_range for s in stages)
     step = max(join_step, default_step(reach))
-    chunked = tiled_chunks(pixels.where("v IS NOT NULL"), reach, step).persist(StorageLevel.MEMORY_AND_DISK)
-    moments = cell_moments_packed if packed else cell_moments
+    # Sorted once as both ways of pairing need it, so no stage sorts or shuffles pixels.
+    chunked = tiled_chunks(pixels.where("v IS NOT NULL"), reach, step)
+    chunked = chunked.sortWithinPartitions("chunk", "tx", "ty", "x", "y", "z").persist(StorageLevel.MEMORY_AND_DISK)
+    moments = block_moments_packed if packed else block_moments
     coords, before = init_coords(spark, sections), None
     results: list[StageResult] = []
     for number, stage in enumerate(stages):
@@ -72,7 +74,7 @@ def estimate_stages(
         if before is not None:
             coords = interp_nearest(coords, grid_mapping(spark, grid, before))
         near = stage.infer.comparison_range
-        sim = materialize(blocks_from_cells(moments(chunked, grid, near, step)), "sim")
+        sim = materialize(block_similarity(moments(chunked, grid, near, step)), "sim")
         gate = quality_gate(sim, grid, sections, near)
         found = infer_coords(
             sim.join(gate.where("ok"), ["bx", "by"], "left_semi"),
