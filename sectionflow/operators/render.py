@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from sectionflow.functions.chunks import owned, with_halo
 from sectionflow.functions.grid import Grid, explode_range
+from sectionflow.session import materialize
 
 TILE = 64
 STEP = 256
+GROUP = ("chunk", "tx", "ty", "part")
 
 
 def _term(value: Column, weight: Column) -> Column:
@@ -88,15 +90,42 @@ def _keyed(df: DataFrame, tile: int) -> DataFrame:
     return df.withColumn("tx", F.expr(f"x div {tile}")).withColumn("ty", F.expr(f"y div {tile}"))
 
 
-def section_steps(pixels: DataFrame, step: int = STEP, tile: int = TILE) -> DataFrame:
-    """(chunk, tx, ty, z, x, y, v0, has0, v1, has1): a pixel and the one above it.
+def chunk_copies(lut: DataFrame, sections: int, step: int = STEP) -> DataFrame:
+    """(chunk, copies): into how many parts the targets of a z chunk are split.
 
-    A row exists where either does.  One shuffle, by bounded (chunk, tile) groups.
+    Where coordinates pile up (a plateau, say) most targets may read one chunk.
+    A chunk asked for ``k`` times as often as the average gets about ``k`` copies,
+    so copies add up to at most twice the number of chunks.
     """
-    column = Window.partitionBy("chunk", "tx", "ty", "x", "y").orderBy("z")
+    usable = lut.where(F.col("c").between(0.0, float(sections - 1)))
+    asked = usable.groupBy(F.expr(f"cast(floor(c) AS bigint) div {step}").alias("chunk")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    total = lut.agg((F.count(F.lit(1)) * F.lit(step) / F.lit(sections)).alias("_fair"))
+    fair = F.greatest(F.lit(1.0), F.lit(total.first()[0] or 1.0))
+    return asked.select("chunk", F.greatest(F.lit(1), F.round(F.col("_n") / fair)).cast("bigint").alias("copies"))
+
+
+def section_steps(
+    pixels: DataFrame, step: int = STEP, tile: int = TILE, copies: DataFrame | None = None
+) -> DataFrame:
+    """(chunk, tx, ty, part, z, x, y, v0, has0, v1, has1): a pixel and the one above.
+
+    A row exists where either does.  One shuffle, by bounded (chunk, tile) groups;
+    ``copies`` repeats the groups of busy chunks.
+    """
+    spread = with_halo(pixels, step, after=1)
+    if copies is None:
+        spread = spread.withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        last = F.coalesce("copies", F.lit(1)) - 1
+        spread = spread.join(copies, "chunk", "left").withColumn(
+            "part", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+        )
+    column = Window.partitionBy(*GROUP, "x", "y").orderBy("z")
     near = (
-        _keyed(with_halo(pixels, step, after=1), tile)
-        .repartition("chunk", "tx", "ty")
+        _keyed(spread, tile)
+        .repartition(*GROUP)
         .withColumn("zn", F.lead("z").over(column))
         .withColumn("vn", F.lead("v").over(column))
         .withColumn("zp", F.lag("z").over(column))
@@ -114,28 +143,42 @@ def section_steps(pixels: DataFrame, step: int = STEP, tile: int = TILE) -> Data
     )
     rows = F.explode(F.when(alone_above, F.array(before, here)).otherwise(F.array(here)))
     return (
-        near.select("chunk", "tx", "ty", "x", "y", rows.alias("r"))
-        .select("chunk", "tx", "ty", "x", "y", "r.*")
+        near.select(*GROUP, "x", "y", rows.alias("r"))
+        .select(*GROUP, "x", "y", "r.*")
         .where((F.col("z") >= 0) & owned(step))
     )
 
 
 def resample(
-    pixels: DataFrame, coords: DataFrame, sections: int, renormalise: bool = True, step: int = STEP, tile: int = TILE
+    pixels: DataFrame,
+    coords: DataFrame,
+    sections: int,
+    renormalise: bool = True,
+    step: int = STEP,
+    tile: int = TILE,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """(z, x, y, v): source values read at position p of each target pixel.
 
     Linear between the two sections around p.  With ``renormalise`` an absent
     section is left out of the mean; without it the result is missing.  A pixel
     that is present as missing always makes the result missing, and so does p
-    outside [0, sections - 1].
+    outside [0, sections - 1].  ``copies`` (see ``chunk_copies``) splits chunks
+    that many targets read.
     """
-    usable = F.col("p").between(0.0, float(sections - 1))
-    targets = coords.select(
-        F.col("z").alias("target"), "x", "y", F.when(usable, F.col("p")).alias("p")
-    ).withColumn("z", F.floor("p").cast("bigint"))
-    targets = _keyed(targets.withColumn("chunk", F.expr(f"z div {step}")), tile)
-    found = targets.join(section_steps(pixels, step, tile), ["chunk", "tx", "ty", "z", "x", "y"], "left")
+    usable = F.when(F.col("p").between(0.0, float(sections - 1)), F.col("p"))
+    targets = coords.select(F.col("z").alias("target"), "x", "y", usable.alias("p"))
+    # Targets without a source keep apart from each other: negative keys match nothing.
+    at = F.coalesce(F.floor("p").cast("bigint"), -1 - F.col("target"))
+    targets = _keyed(targets.withColumn("z", at), tile)
+    targets = targets.withColumn("chunk", F.expr(f"if(z < 0, z, z div {step})"))
+    part = F.lit(0).cast("bigint")
+    if copies is not None:
+        targets = targets.join(copies, "chunk", "left")
+        part = F.col("target") % F.coalesce("copies", F.lit(1))
+    found = targets.withColumn("part", part).join(
+        section_steps(pixels, step, tile, copies), [*GROUP, "z", "x", "y"], "left"
+    )
     up = F.col("p") - F.col("z")
     if renormalise:
         w0, w1 = F.when(F.col("has0"), 1 - up).otherwise(0.0), F.when(F.col("has1"), up).otherwise(0.0)
@@ -152,10 +195,13 @@ def render(
 
     Targets none of whose source sections exist are dropped.
     """
+    # Small beside the pixels, and read several times below.
+    lut = materialize(lut.select("bx", "by", "z", "c"), "positions")
     coords = upsample_lut(lut, grid, width, height, scale)
     have = pixels.select(F.col("z").alias("source")).distinct()
     kept = required_sections(coords).join(have, "source", "left_semi").select(F.col("target").alias("z")).distinct()
-    return resample(pixels, coords, sections).join(kept, "z", "left_semi")
+    out = resample(pixels, coords, sections, copies=chunk_copies(lut, sections))
+    return out.join(kept, "z", "left_semi")
 
 
 def transform_roundtrip(

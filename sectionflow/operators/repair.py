@@ -71,13 +71,16 @@ def fill_lut(lut: DataFrame) -> DataFrame:
     )
 
 
-def invert_lut(lut: DataFrame, step: int = CHUNK) -> DataFrame:
+def invert_lut(lut: DataFrame, step: int = CHUNK, sections: int | None = None) -> DataFrame:
     """Per block and integer i, the position where the coordinates reach i.
 
     Linear between neighbouring sections, NULL beyond the first and last
     coordinate; falling or flat stretches give nothing and the smallest position
-    wins.  Neighbours come from a window over (block, chunk), not a whole column.
+    wins.  Neighbours come from a window over (block, chunk), not a whole column,
+    and a steep stretch is followed only as far as there are sections.
     """
+    if sections is None:
+        sections = (lut.agg(F.max("z")).first()[0] or 0) + 1
     ahead = Window.partitionBy("bx", "by", "chunk").orderBy("z")
     segments = (
         with_halo(lut.select("bx", "by", "z", "c"), step, after=1)
@@ -89,7 +92,7 @@ def invert_lut(lut: DataFrame, step: int = CHUNK) -> DataFrame:
     first, last = F.ceil("c"), F.when(rising, F.ceil("c1") - 1).otherwise(F.floor("c"))
     hits = (
         segments.withColumn("first", F.greatest(first, F.lit(0)).cast("bigint"))
-        .withColumn("last", last.cast("bigint"))
+        .withColumn("last", F.least(last, F.lit(sections - 1)).cast("bigint"))
         .where("first <= last")
         .withColumn("i", F.explode(F.sequence("first", "last")))
     )

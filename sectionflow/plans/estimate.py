@@ -87,7 +87,7 @@ def estimate_stages(
         result = materialize(found.unionByName(kept), "estimate")
         status = status_grid(result, grid)
         coords = materialize(fill_lut(full_sections(result, grid, sections)), "forward")
-        backward = materialize(invert_lut(coords), "backward")
+        backward = materialize(invert_lut(coords, sections=sections), "backward")
         failed = result.where("c IS NULL").select("bx", "by").distinct().count()
         results.append(
             StageResult(grid, sim, coords, backward, status, grid.size, failed, time.monotonic() - began)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +28,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@contextmanager
-def settings(spark: SparkSession, **pairs: str):
-    """Temporarily set options; key dots are written as double underscores."""
-    wanted = {k.replace("__", "."): v for k, v in pairs.items()}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's shared checkpoint folder.
 
@@ -74,3 +59,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it when results are saved."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/sectionflow/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -24,20 +24,25 @@ def load_sections(
 ) -> DataFrame:
     """Sections ``start <= z < stop`` of a stack, renumbered from 0.
 
-    The range reaches the scan as a filter (a partition filter when the stack is
-    partitioned by z).  ``keep_path`` adds the source file of each row.
+    The range reaches the scan as a filter (a partition filter when the stack was
+    written by ``write_sections``).  ``keep_path`` adds the source file of each row.
     """
     raw = spark.read.parquet(path)
-    path_col = [F.col("_metadata.file_path").alias("path")] if keep_path else []
-    raw = raw.select(*KEYS, "v", *path_col)
+    grouped = {"z_from", "z_to"} <= set(raw.columns)
     if start is not None:
         raw = raw.where(F.col("z") >= start)
+        raw = raw.where(F.col("z_to") > start) if grouped else raw
     if stop is not None:
         raw = raw.where(F.col("z") < stop)
-    pixels = as_pixels(raw) if not keep_path else raw.select(
-        *(F.col(k).cast("bigint").alias(k) for k in KEYS), present(F.col("v").cast("double")).alias("v"), "path"
+        raw = raw.where(F.col("z_from") < stop) if grouped else raw
+    source = [F.col("_metadata.file_path").alias("path")] if keep_path else []
+    number = F.col("z").cast("bigint") - F.lit(start or 0)
+    return raw.select(
+        number.alias("z"),
+        *(F.col(k).cast("bigint").alias(k) for k in ("x", "y")),
+        present(F.col("v").cast("double")).alias("v"),
+        *source,
     )
-    return pixels.withColumn("z", F.col("z") - F.lit(start)) if start else pixels
 
 
 def section_order(pixels: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -84,15 +89,23 @@ def pack_channels(stacked: DataFrame, names: list[str]) -> DataFrame:
     return stacked.groupBy(*KEYS).agg(*picks)
 
 
-def write_sections(pixels: DataFrame, path: str, single: bool = False, mode: str = "errorifexists") -> None:
+def write_sections(
+    pixels: DataFrame, path: str, single: bool = False, per_folder: int = 1, mode: str = "errorifexists"
+) -> None:
     """Write a stack as one folder per section, pixels sorted inside it.
 
     A range split on (z, y, x) spreads one oversized section over several tasks
     and leaves each task few open folders.  ``single`` narrows values to float.
+    ``per_folder`` puts that many sections into a folder, for very many small ones.
     """
     out = pixels.withColumn("v", F.col("v").cast("float")) if single else pixels
     ordered = out.repartitionByRange("z", "y", "x").sortWithinPartitions("z", "y", "x")
-    ordered.write.mode(mode).partitionBy("z").parquet(path)
+    if per_folder == 1:
+        ordered.write.mode(mode).partitionBy("z").parquet(path)
+        return
+    first = F.expr(f"z div {per_folder} * {per_folder}")
+    ordered = ordered.withColumns({"z_from": first, "z_to": first + per_folder})
+    ordered.write.mode(mode).partitionBy("z_from", "z_to").parquet(path)
 
 
 def write_report(expected: DataFrame, written: DataFrame) -> DataFrame:

@@ -177,3 +177,9 @@ def test_fill_lut_keeps_present_blocks(spark):
     filled = repair.fill_lut(lut)
     assert filled.where("c IS NULL").count() == 0
     assert filled.where("c != z + 0.5").count() == 0
+
+
+def test_steep_stretch_stops_at_the_last_section(spark):
+    lut = spark.createDataFrame([(0, 0, 0, 0.0), (0, 0, 1, 1e15)], LUT)
+    got = [r[3] for r in rows(repair.invert_lut(lut), "z")]
+    assert got == [0.0, 1e-15]

@@ -30,6 +30,17 @@ def test_load_range_is_rebased_and_pushed_down(spark, tmp_path, random_stack):
     assert stacks.load_sections(spark, path, 3, 4, keep_path=True).where("path LIKE '%z=3%'").count() == 70
 
 
+def test_several_sections_per_folder(spark, tmp_path, random_stack):
+    df, _ = random_stack
+    path = str(tmp_path / "grouped")
+    stacks.write_sections(df, path, per_folder=16)
+    got = stacks.load_sections(spark, path, 15, 17)
+    assert rows(got.select("z").distinct(), "z") == [(0,), (1,)] and got.count() == 140
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "z_to" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert rows(stacks.load_sections(spark, path), "z", "x", "y") == rows(df, "z", "x", "y")
+
+
 def test_write_report_lists_lost_sections(spark, tmp_path, random_stack):
     df, _ = random_stack
     path = str(tmp_path / "partial")

@@ -89,6 +89,18 @@ def test_resample(spark, random_stack, renormalise, step, tile):
         assert want is None or abs(r.v - want) < 1e-9
 
 
+def test_busy_chunks_are_split(spark, random_stack):
+    df, _ = random_stack
+    # Two thirds of the coordinates read section 5.
+    lut = block_sections(spark, GRID, 40).withColumn("c", F.when(F.col("z") % 3 > 0, 5.5).otherwise(F.col("z")))
+    copies = render.chunk_copies(lut, 40, step=4)
+    assert dict(tuple(r) for r in copies.collect())[1] == 7
+    assert copies.agg(F.sum("copies")).first()[0] <= 20
+    coords = render.upsample_lut(lut, GRID, 10, 7)
+    plain, split = (rows(render.resample(df, coords, 40, step=4, copies=c), "z", "x", "y") for c in (None, copies))
+    assert plain == split and len(plain) == 40 * 70
+
+
 def test_targets_without_sources_are_dropped(spark, random_stack):
     df, _ = random_stack
     lut = block_sections(spark, GRID, 6).withColumn("c", F.col("z") * 1.0)
