@@ -40,7 +40,9 @@ def running_max(
     """Inclusive running maximum of ``value`` along ``order`` within ``keys``.
 
     Two levels: chunk maxima are scanned first (one row per chunk), then each
-    chunk is scanned on its own with the carry of the chunks before it.
+    chunk is scanned on its own with the carry of the chunks before it.  The small
+    carry table is hashed by chunk again, so that the join does not gather a whole
+    group of the large side where the carry was scanned.
     """
     keys = list(keys)
     marked = df.withColumn("_chunk", F.expr(f"{order} div {step}"))
@@ -49,6 +51,7 @@ def running_max(
         marked.groupBy(*keys, "_chunk")
         .agg(F.max(value).alias("_top"))
         .select(*keys, "_chunk", F.max("_top").over(before).alias("_carry"))
+        .repartition(*keys, "_chunk")
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -69,6 +72,7 @@ def row_rank(
         marked.groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        .repartition(*keys, "_bucket")
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value, tie)
     return (

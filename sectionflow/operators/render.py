@@ -197,11 +197,12 @@ def render(
     """
     # Small beside the pixels, and read several times below.
     lut = materialize(lut.select("bx", "by", "z", "c"), "positions")
-    coords = upsample_lut(lut, grid, width, height, scale)
     have = pixels.select(F.col("z").alias("source")).distinct()
-    kept = required_sections(coords).join(have, "source", "left_semi").select(F.col("target").alias("z")).distinct()
-    out = resample(pixels, coords, sections, copies=chunk_copies(lut, sections))
-    return out.join(kept, "z", "left_semi")
+    needed = required_sections(upsample_lut(lut, grid, width, height, scale))
+    kept = needed.join(have, "source", "left_semi").select(F.col("target").alias("z")).distinct()
+    # Dropping targets here keeps the rendered pixels out of that join.
+    coords = upsample_lut(lut.join(kept, "z", "left_semi"), grid, width, height, scale)
+    return resample(pixels, coords, sections, copies=chunk_copies(lut, sections))
 
 
 def transform_roundtrip(

@@ -2,65 +2,89 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectionflow.functions.chunks import CHUNK, owned, with_halo
+from sectionflow.functions.stats import present
 from sectionflow.session import materialize
 
 EDGE, DIAGONAL = 1.0, 0.5
+TILE, PASSES, DEPTH = 64, 8, 64
 
 
-def _around(x: str, y: str):
-    """The eight neighbours of a cell with their weights."""
-    return F.explode(
-        F.array(
-            *(
-                F.struct(
-                    (F.col(x) + dx).alias("x"),
-                    (F.col(y) + dy).alias("y"),
-                    F.lit(EDGE if dx == 0 or dy == 0 else DIAGONAL).alias("w"),
-                )
-                for dx in (-1, 0, 1)
-                for dy in (-1, 0, 1)
-                if (dx, dy) != (0, 0)
-            )
-        )
-    )
+def _shifted(a: np.ndarray, dx: int, dy: int) -> np.ndarray:
+    """a[..., y + dy, x + dx], zero outside."""
+    h, w = a.shape[-2:]
+    padded = np.pad(a, ((0, 0), (1, 1), (1, 1)))
+    return padded[:, 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+
+
+def _fill_pass(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every hole with a present neighbour gets the weighted mean of the last pass."""
+    around = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+    weights = [EDGE if dx == 0 or dy == 0 else DIAGONAL for dx, dy in around]
+    den = sum(w * _shifted(known.astype(float), *d) for w, d in zip(weights, around, strict=True))
+    num = sum(w * _shifted(values, *d) for w, d in zip(weights, around, strict=True))
+    ready = ~known & (den > 0)
+    return np.where(ready, num / np.where(ready, den, 1.0), values), known | ready
+
 
+def _fill_kernel(tile: int):
+    """Passes inside one (sections, tile) group; returns the holes the tile owns."""
 
-def fill_holes(cells: DataFrame, max_passes: int | None = None) -> DataFrame:
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        tx, ty = int(pdf["tx"].iat[0]), int(pdf["ty"].iat[0])
+        zs, zi = np.unique(pdf["z"].to_numpy(), return_inverse=True)
+        x, y, v = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["v"].to_numpy()
+        shape = (len(zs), y.max() - y.min() + 1, x.max() - x.min() + 1)
+        at = (zi, y - y.min(), x - x.min())
+        # Positions without a row lie outside the section and never get a value.
+        values, known, cell = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+        values[at], known[at], cell[at] = np.nan_to_num(v), ~np.isnan(v), True
+        for _ in range(PASSES):
+            if known[cell].all():
+                break
+            filled, reached = _fill_pass(values, known)
+            values, known = np.where(cell, filled, values), reached & cell
+        own = np.isnan(v) & (x // tile == tx) & (y // tile == ty)
+        out = pdf.loc[own, ["z", "x", "y"]]
+        return out.assign(v=np.where(known[at], values[at], np.nan)[own])
+
+    return fill
+
+
+def fill_holes(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """Fill NULL cells of every section from their present neighbours, pass by pass.
 
-    Each pass reads the previous one.  A hole beside a present cell is filled in
-    the very next pass, so from the second pass on only the cells filled last can
-    have holes as neighbours: a pass touches that front and the remaining holes,
-    never the whole stack again.  Sections without any value stay missing.
+    Each pass reads the previous one; sections without any value stay missing.  A
+    pass looks one cell sideways, so on tiles with a halo of ``PASSES`` cells that
+    many passes are exact without exchanging anything.  A round of passes is one
+    shuffle of the tiles that have holes; rounds go on while holes get filled.
     """
-    known = cells.where("v IS NOT NULL")
-    holes = materialize(cells.where("v IS NULL").select("z", "x", "y"), "holes")
-    front = known.select("z", "x", "y", "v")
-    filled: list[DataFrame] = []
-    while max_passes is None or len(filled) < max_passes:
-        if holes.isEmpty():
-            break
-        if filled:
-            given = front.select("z", "v", _around("x", "y").alias("n")).select("z", "n.x", "n.y", "n.w", "v")
-            votes = given.join(holes, ["z", "x", "y"], "left_semi")
-        else:
-            asked = holes.select("z", F.col("x").alias("hx"), F.col("y").alias("hy"), _around("x", "y").alias("n"))
-            asked = asked.select("z", "hx", "hy", "n.*").join(front, ["z", "x", "y"])
-            votes = asked.select("z", F.col("hx").alias("x"), F.col("hy").alias("y"), "w", "v")
-        mean = (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v")
-        front = materialize(votes.groupBy("z", "x", "y").agg(mean), "front")
-        if front.isEmpty():
+    # Read several times below; written once so that whatever made it runs once.
+    cells = materialize(cells.select("z", "x", "y", "v"), "cells")
+    done, open_ = cells.where("v IS NOT NULL"), cells.where("v IS NULL")
+    left = open_.count()
+    while left:
+        key = [F.expr(f"x div {tile}").alias("tx"), F.expr(f"y div {tile}").alias("ty")]
+        wanted = open_.select("z", *key).distinct()
+        spread = with_halo(done.unionByName(open_), tile, PASSES, PASSES, axis="x", chunk="tx")
+        spread = with_halo(spread, tile, PASSES, PASSES, axis="y", chunk="ty")
+        result = (
+            spread.join(wanted, ["z", "tx", "ty"], "left_semi")
+            .groupBy(F.expr(f"z div {DEPTH}").alias("zs"), "tx", "ty")
+            .applyInPandas(_fill_kernel(tile), "z bigint, x bigint, y bigint, v double")
+            .withColumn("v", present(F.col("v")))
+        )
+        result = materialize(result, "filled")
+        done, open_ = done.unionByName(result.where("v IS NOT NULL")), result.where("v IS NULL")
+        before, left = left, open_.count()
+        if left == before:
             break
-        filled.append(front)
-        holes = materialize(holes.join(front, ["z", "x", "y"], "left_anti"), "holes")
-    out = known.select("z", "x", "y", "v")
-    for part in filled:
-        out = out.unionByName(part)
-    return out.unionByName(holes.withColumn("v", F.lit(None).cast("double")))
+    return done.unionByName(open_)
 
 
 def fill_lut(lut: DataFrame) -> DataFrame:

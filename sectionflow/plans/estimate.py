@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -23,7 +24,13 @@ from sectionflow.operators.pairs import default_step, tiled_chunks
 from sectionflow.operators.prep import downsample
 from sectionflow.operators.render import render, warp_matrix
 from sectionflow.operators.repair import fill_lut, invert_lut
-from sectionflow.operators.similarity import block_moments, block_moments_packed, block_similarity, similarity_matrix
+from sectionflow.operators.similarity import (
+    MatrixStrategy,
+    block_moments,
+    block_moments_packed,
+    block_similarity,
+    similarity_matrix,
+)
 from sectionflow.plans.options import JobOptions, Stage
 from sectionflow.session import materialize
 from sectionflow.sources.stacks import load_sections, write_report, write_sections
@@ -50,9 +57,14 @@ def estimate_stages(
     join_step: int = 0,
     packed: bool = True,
     target: str | None = None,
+    strategy: MatrixStrategy | None = None,
+    transfer: Callable[[DataFrame, DataFrame], DataFrame] = interp_nearest,
 ) -> list[StageResult]:
     """Run the stages in order; each starts from the coordinates of the one before.
 
+    ``strategy`` replaces the block correlation by another similarity, and
+    ``transfer`` the way coordinates pass from one grid to the next.
+
     The stack is shuffled once, by (z chunk with halo, tile), and reused by every
     stage.  With ``target`` the results are also written there, one folder per
     stage.
@@ -72,9 +84,10 @@ def estimate_stages(
         if grid.size == 0:
             raise ValueError(f"stage {number}: radius {stage.radii} leaves no block in {width} x {height}")
         if before is not None:
-            coords = interp_nearest(coords, grid_mapping(spark, grid, before))
+            coords = transfer(coords, grid_mapping(spark, grid, before))
         near = stage.infer.comparison_range
-        sim = materialize(block_similarity(moments(chunked, grid, near, step)), "sim")
+        sim = strategy(pixels, grid, near) if strategy else block_similarity(moments(chunked, grid, near, step))
+        sim = materialize(sim, "sim")
         gate = quality_gate(sim, grid, sections, near)
         found = infer_coords(
             sim.join(gate.where("ok"), ["bx", "by"], "left_semi"),

@@ -117,15 +117,16 @@ def test_fill_golden(spark):
     assert [r.v for r in empty.collect()] == [None] * 4
 
 
-def test_fill_equals_full_passes(spark):
+@pytest.mark.parametrize("tile", [64, 8])
+def test_fill_equals_full_passes(spark, tile):
     rng = np.random.default_rng(3)
     imgs = []
-    for keep in (0.02, 0.1, 0.5, 1.0):
-        img = rng.normal(size=(9, 13))
+    for keep in (0.004, 0.02, 0.1, 0.5, 1.0):
+        img = rng.normal(size=(21, 30))
         img[rng.random(img.shape) > keep] = np.nan
         imgs.append(img)
-    filled = {(r.z, r.x, r.y): r.v for r in repair.fill_holes(to_pixels(spark, imgs)).collect()}
-    assert len(filled) == 4 * 9 * 13
+    filled = {(r.z, r.x, r.y): r.v for r in repair.fill_holes(to_pixels(spark, imgs), tile).collect()}
+    assert len(filled) == 5 * 21 * 30
     for z, img in enumerate(imgs):
         for (y, x), want in np.ndenumerate(fill_brute(img.copy())):
             got = filled[z, x, y]

@@ -224,3 +224,18 @@ def test_packed_and_expression_stages_agree(spark, random_stack):
         rows(estimate.estimate_stages(df, stages, 40, 10, 7, packed=p)[0].forward, "bx", "by", "z") for p in (True, False)
     )
     assert max(abs(a[3] - b[3]) for a, b in zip(packed, plain, strict=True)) < 1e-9
+
+
+def test_other_similarity_and_transfer(spark, random_stack):
+    from sectionflow.operators.coords import interp_linear
+    from sectionflow.operators.tolerant import tolerant_strategy
+
+    df, _ = random_stack
+    stages = list(job_options(CONFIG).stages[:2])
+    results = estimate.estimate_stages(
+        df, stages, 40, 10, 7, strategy=tolerant_strategy((1, 1), (1, 1)), transfer=interp_linear
+    )
+    assert [r.failed for r in results] == [0, 0]
+    assert results[1].forward.where("c IS NULL").count() == 0
+    grid = results[1].grid
+    assert results[1].forward.count() == grid.size * 40
