@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sectionflow.functions.chunks import owned, with_halo
 from sectionflow.functions.grid import Grid
-from sectionflow.operators.grid import block_sections
+from sectionflow.operators.grid import block_members, block_sections
 from sectionflow.sources.stacks import unpack_pixels
 
 SIDE = 8
@@ -110,8 +110,6 @@ def lut_li(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lut_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lut_li`` with every block missing whose column total is even."""
-    from sectionflow.operators.grid import block_members
-
     totals = block_members(line_pixels(spark, sf_dir), GRID).groupBy("bx", "by").agg(
         F.sum("l_quantity").cast("bigint").alias("q")
     )

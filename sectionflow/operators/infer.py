@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectionflow.functions.chunks import CHUNK, row_rank, running_max, with_halo
@@ -199,27 +199,57 @@ def _round_kernel(o: InferOptions, step: int):
     return run
 
 
-def _monotone(state: DataFrame, eps: float, reorder: bool) -> DataFrame:
-    """c(z) = max over j <= z of (c(j) - j eps) + z eps, along z or along rank."""
-    along = "z"
-    if reorder:
-        state, along = row_rank(state, BLOCK, "c", "z", "_rank"), "_rank"
-    lowered = state.withColumn("_low", F.col("c") - F.col(along) * eps)
-    scanned = running_max(lowered, BLOCK, along, "_low", "_high", CHUNK)
-    return scanned.withColumn("c", F.col("_high") + F.col(along) * eps).select(*BLOCK, "z", "c", "m", "c0")
+def _reordered(state: DataFrame, eps: float) -> DataFrame:
+    """Monotone along the rank of the coordinates instead of along z."""
+    ranked = row_rank(state, BLOCK, "c", "z", "_rank").withColumn("_low", F.col("c") - F.col("_rank") * eps)
+    scanned = running_max(ranked, BLOCK, "_rank", "_low", "_high", CHUNK)
+    return scanned.select(*BLOCK, "z", (F.col("_high") + F.col("_rank") * eps).alias("c"), "m", "c0")
 
 
-def _border(state: DataFrame) -> DataFrame:
-    """Affine map per block that puts the first and last section back."""
-    ends = state.groupBy(*BLOCK).agg(
-        F.min_by("c", "z").alias("_a"), F.max_by("c", "z").alias("_b"),
-        F.min_by("c0", "z").alias("_a0"), F.max_by("c0", "z").alias("_b0"),
-    )
-    span = F.col("_b") - F.col("_a")
-    factor = F.when(span != 0, (F.col("_b0") - F.col("_a0")) / span).otherwise(1.0)
-    return state.join(ends, BLOCK).select(
-        *BLOCK, "z", (F.col("_a0") + (F.col("c") - F.col("_a")) * factor).alias("c"), "m", "c0"
+def _settle(state: DataFrame, o: InferOptions, step: int = CHUNK) -> DataFrame:
+    """Monotone coordinates, c(z) = max over j <= z of (c(j) - j eps) + z eps, and
+    the affine map per block that puts the first and last section back.
+
+    One summary row per (block, chunk) gives a chunk everything it needs from the
+    others, so the coordinate rows are shuffled once.
+    """
+    if o.monotone and o.reorder:
+        state = _reordered(state, o.min_thickness)
+    eps = o.min_thickness if o.monotone and not o.reorder else None
+    low = F.col("c") - F.col("z") * eps if eps is not None else F.col("c")
+    state = state.withColumn("_low", low).withColumn("_chunk", F.expr(f"z div {step}"))
+    order = Window.partitionBy(*BLOCK).orderBy("_chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summary = (
+        state.groupBy(*BLOCK, "_chunk")
+        .agg(
+            F.max("_low").alias("_top"),
+            F.min_by(F.struct("c", "c0"), "z").alias("_head"),
+            F.max_by(F.struct("z", "c", "c0"), "z").alias("_tail"),
+        )
+        .select(
+            *BLOCK,
+            "_chunk",
+            F.max("_top").over(before).alias("_carry"),
+            F.max("_top").over(whole).alias("_peak"),
+            F.first("_head").over(whole).alias("_head"),
+            F.last("_tail").over(whole).alias("_tail"),
+        )
+        # Hashed by chunk again, or the join would gather whole blocks.
+        .repartition(*BLOCK, "_chunk")
     )
+    state = state.join(summary, [*BLOCK, "_chunk"])
+    c, last = F.col("c"), F.col("_tail.c")
+    if eps is not None:
+        inside = Window.partitionBy(*BLOCK, "_chunk").orderBy("z").rowsBetween(Window.unboundedPreceding, 0)
+        c = F.greatest(F.max("_low").over(inside), F.col("_carry")) + F.col("z") * eps
+        last = F.col("_peak") + F.col("_tail.z") * eps
+    if o.regularization == "BORDER":
+        span = last - F.col("_head.c")
+        factor = F.when(span != 0, (F.col("_tail.c0") - F.col("_head.c0")) / span).otherwise(1.0)
+        c = F.col("_head.c0") + (c - F.col("_head.c")) * factor
+    return state.select(*BLOCK, "z", c.alias("c"), "m", "c0")
 
 
 _GROUP = [*BLOCK, "chunk"]
@@ -263,43 +293,41 @@ def _iterate(edges: DataFrame, state: DataFrame, o: InferOptions, step: int) ->
     moved = (1 - o.grid_weight) * moved + o.grid_weight * F.col("z")
     # Written out because the scans below read it more than once.
     state = materialize(voted.select(*BLOCK, "z", moved.alias("c"), "m", "c0"), "votes")
-    if o.monotone:
-        state = _monotone(state, o.min_thickness, o.reorder)
-    if o.regularization == "BORDER":
-        state = _border(state)
-    return state
+    return _settle(state, o) if o.monotone or o.regularization == "BORDER" else state
 
 
-def infer_trace(
-    sim: DataFrame, lut: DataFrame, options: InferOptions, step: int = STEP, partitions: int | None = None
-) -> DataFrame:
-    """trace(iter, bx, by, z, c): coordinates before and after every round.
+def _rounds(
+    sim: DataFrame, lut: DataFrame, options: InferOptions, step: int, partitions: int | None
+) -> list[DataFrame]:
+    """The coordinate table before and after every round.
 
     Edges are hashed once by (block, z chunk with halo), sorted and kept; a round
     shuffles only coordinate rows, and all its multiplier steps share that one
     exchange.  Coordinates are written out after each round, so plans stay short
     and a lost executor costs one round at most.
     """
-    spark = lut.sparkSession
     halo = options.multiplier_iterations * options.comparison_range
     step = max(step, options.comparison_range, halo)
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = (
-        with_halo(both_ways(sim, options.comparison_range), step, halo, halo)
-        .repartition(partitions, *_GROUP)
-        .sortWithinPartitions(*_GROUP)
-        .persist()
-    )
-    state = materialize(
-        lut.where("c IS NOT NULL").select(*BLOCK, "z", "c", F.lit(1.0).alias("m"), F.col("c").alias("c0")),
-        "coordinates",
-    )
-    rounds = [state.select(F.lit(0).cast("bigint").alias("iter"), *BLOCK, "z", "c")]
-    for i in range(1, options.iterations + 1):
-        state = materialize(_iterate(edges, state, options, step), "coordinates")
-        rounds.append(state.select(F.lit(i).cast("bigint").alias("iter"), *BLOCK, "z", "c"))
+    edges = with_halo(both_ways(sim, options.comparison_range), step, halo, halo)
+    edges = edges.repartition(partitions, *_GROUP) if partitions else edges.repartition(*_GROUP)
+    edges = edges.sortWithinPartitions(*_GROUP).persist()
+    start = lut.where("c IS NOT NULL").select(*BLOCK, "z", "c", F.lit(1.0).alias("m"), F.col("c").alias("c0"))
+    states = [materialize(start, "coordinates")]
+    for _ in range(options.iterations):
+        states.append(materialize(_iterate(edges, states[-1], options, step), "coordinates"))
     edges.unpersist()
-    return reduce(DataFrame.unionByName, rounds)
+    return states
+
+
+def infer_trace(
+    sim: DataFrame, lut: DataFrame, options: InferOptions, step: int = STEP, partitions: int | None = None
+) -> DataFrame:
+    """trace(iter, bx, by, z, c): coordinates before and after every round."""
+    states = _rounds(sim, lut, options, step, partitions)
+    return reduce(
+        DataFrame.unionByName,
+        (s.select(F.lit(i).cast("bigint").alias("iter"), *BLOCK, "z", "c") for i, s in enumerate(states)),
+    )
 
 
 def infer_coords(
@@ -310,8 +338,7 @@ def infer_coords(
     A block fails when a start or estimated coordinate is missing or when fewer
     than two pairs are usable.
     """
-    trace = infer_trace(sim, lut, options, step, partitions)
-    final = trace.where(F.col("iter") == options.iterations).select(*BLOCK, "z", F.col("c").alias("_c"))
+    final = _rounds(sim, lut, options, step, partitions)[-1].select(*BLOCK, "z", F.col("c").alias("_c"))
     enough = (
         sim.where((F.col("z1") - F.col("z2") <= options.comparison_range) & F.col("s").isNotNull())
         .groupBy(*BLOCK)

@@ -102,6 +102,8 @@ VARIANTS = {
     "local": {"window_radius": 4},
     "reorder": {"reorder": True, "regularization": "NONE", "shift_proportion": 1.5, "min_thickness": 0.01},
     "thick": {"min_thickness": 0.6, "regularization": "NONE"},
+    "free_border": {"monotone": False},
+    "reorder_border": {"reorder": True, "shift_proportion": 1.5, "min_thickness": 0.01},
     "free": {"monotone": False, "regularization": "NONE", "multiplier_iterations": 0},
     "many_multipliers": {"multiplier_iterations": 6, "multiplier_weight": 0.3},
 }
@@ -164,3 +166,16 @@ def test_curve_fills_empty_bins(spark):
     assert infer.decay_curve(edges, 4).first()["f"] == [1.0, 0.7, 0.7, 0.7, 0.7]
     local = dict(tuple(r) for r in infer.decay_curve_local(edges, 2, 0).select("z", "f").collect())
     assert local[0] == [1.0, 0.8, 0.8] and local[1] == [1.0, 0.6, 0.6]
+
+
+def test_settling_in_small_chunks(spark):
+    rng = np.random.default_rng(11)
+    c = np.arange(N) + rng.normal(scale=2.0, size=N)
+    rows_ = [(0, 0, z, float(c[z]), 1.0, float(z)) for z in range(N)]
+    state = spark.createDataFrame(rows_, "bx bigint, by bigint, z bigint, c double, m double, c0 double")
+    at = np.arange(N) * 0.1
+    want = np.maximum.accumulate(c - at) + at
+    want = (want - want[0]) * (N - 1) / (want[-1] - want[0])
+    for step in (1, 7, 4096):
+        got = infer._settle(state, replace(BASE, min_thickness=0.1), step)
+        assert np.abs(np.array([r[3] for r in rows(got, "z")]) - want).max() < 1e-9
