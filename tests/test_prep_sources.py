@@ -1,8 +1,10 @@
 import math
+import subprocess
+import sys
 
 import numpy as np
 import pytest
-from conftest import rows
+from conftest import ROOT, rows
 from pyspark.sql import functions as F
 
 from sectionflow.operators import prep
@@ -138,3 +140,21 @@ def test_explode_map_and_ranges(spark, random_stack):
     px, _ = random_stack
     assert prep.filter_range(px, 3, 5).select("z").distinct().count() == 2
     assert stacks.extent(px) == (40, 10, 7)
+
+
+def test_clear_scratch_removes_intermediate_tables(tmp_path):
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+from sectionflow import configure, materialize
+from sectionflow.session import clear_scratch
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+materialize(configure(spark).range(3), "t")
+folder = os.path.join({str(tmp_path)!r}, "sectionflow", spark.sparkContext.applicationId)
+assert os.listdir(folder)
+clear_scratch(spark)
+assert not os.path.exists(folder)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
