@@ -176,7 +176,8 @@ def resample(
     if copies is not None:
         targets = targets.join(copies, "chunk", "left")
         part = F.col("target") % F.coalesce("copies", F.lit(1))
-    found = targets.withColumn("part", part).join(
+    # Hashed like the sources, so that the join cannot settle for the chunk alone.
+    found = targets.withColumn("part", part).repartition(*GROUP).join(
         section_steps(pixels, step, tile, copies), [*GROUP, "z", "x", "y"], "left"
     )
     up = F.col("p") - F.col("z")
