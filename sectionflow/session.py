@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,6 @@ SETTINGS = {
 }
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-_local_scratch: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -31,18 +29,11 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's shared checkpoint folder.
 
-    Only a local-mode session may do without the setting; it gets one temporary
-    folder per application.
+    Without that setting the session's own storage, ``spark.sql.warehouse.dir``,
+    is used, which executors share as well.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="sectionflow-")
-    return _local_scratch[app]
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -61,8 +52,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete one folder through the file system that its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when results are saved."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/sectionflow/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(spark, f"{scratch_dir(spark)}/sectionflow/{spark.sparkContext.applicationId}")
