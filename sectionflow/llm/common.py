@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import TypeVar
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The ASCII white space of the word pattern [^\x20\x09-\x0D]+.
-ASCII_SPACE = r"[\x20\x09-\x0D]+"
+
+Value = TypeVar("Value")
+
+
+def ship(spark: SparkSession, value: Value) -> Callable[[], Value]:
+    """Broadcast a model of bounded size; the returned function gives it to a task.
+
+    It travels pickled with its classes, so executors need not have this package,
+    and a worker process unpickles it once for all its tasks.
+    """
+    shared = spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(value)})
+
+    def get() -> Value:
+        held = shared.value
+        if "value" not in held:
+            held["value"] = pickle.loads(held.pop("pickled"))
+        return held["value"]
+
+    return get
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +40,6 @@ def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def text_key(text: str | Column = "text") -> Column:
-    """128 bits that stand for a text; NULL counts as a text of its own."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.struct(F.xxhash64(text).alias("h"), F.substring(F.md5(text.cast("binary")), 1, 16).alias("m"))
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo the number of folds; a NULL id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")

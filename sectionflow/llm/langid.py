@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sectionflow.llm.common import ship
 from sectionflow.llm.wordtable import WordTable, code_points
 
 UNKNOWN = "und"
@@ -238,10 +239,10 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _kernel(docs: DataFrame, model: Model, keep: list[str]):
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS
+    shared = ship(docs.sparkSession, model)  # bounded by MAX_GRAMS
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value)
+        labeller = Labeller(shared())
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [labeller.language(words, path) for _, words, path in labeller.paths(texts)]
@@ -254,10 +255,10 @@ def _kernel(docs: DataFrame, model: Model, keep: list[str]):
 
 def label_spans(docs: DataFrame, model: Model) -> DataFrame:
     """Columns doc_id, first_word, end_word, lang: the spans of mixed-language texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labeller = Labeller(shared.value)
+        labeller = Labeller(shared())
         for batch in batches:
             ids, rows = batch["doc_id"].tolist(), []
             for i, words, path in labeller.paths(batch["text"].tolist()):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectionflow.llm.common import fold
+from sectionflow.llm.common import fold, ship
 from sectionflow.llm.wordtable import WordTable, code_points
 
 SAMPLE = 2000
@@ -148,10 +148,11 @@ def text_blocks(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Columns doc_id, score, predicted; one row per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.table
+        model = shared()
+        table = model.table
         for batch in batches:
             hidden = np.zeros((batch.num_rows, DIM), np.float32)
             for block in text_blocks(batch.column("text").to_pylist()):
@@ -161,7 +162,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 for i, own in words.items():
                     end += len(own)
                     hidden[i] = table.table[rows[end - len(own) : end]].mean(axis=0, dtype=np.float64)
-            p = shared.value.probability(hidden)
+            p = model.probability(hidden)
             columns = [batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted"])
 

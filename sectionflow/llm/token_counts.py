@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from sectionflow.llm.common import ship
+
 # Fixed value: how byte-level vocabularies of this family cut a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -158,12 +160,13 @@ def token_count(spark: SparkSession, text: Column, vocabulary: str) -> Column:
     What is broadcast is the merges of one vocabulary file, whose size does not
     depend on the data.
     """
-    shared = spark.sparkContext.broadcast(Counter(read_merges(vocabulary)))
+    shared = ship(spark, Counter(read_merges(vocabulary)))
 
     @pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counter = shared()
         for batch in batches:
-            yield batch.map(shared.value).astype("int64")
+            yield batch.map(counter).astype("int64")
 
     return count(text)
 
