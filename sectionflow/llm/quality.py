@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ RATE = 0.3
 GRAMS = (3, 4)
 WORD_CHARS = 40  # longer words have n-grams of their shape only: first and last letters and length
 MEMO_WORDS = 1_000_000
+REPEATED = "\x00="  # stands for every pair of equal words, the only word 2-grams used
 CHUNK_CHARS = 8_000_000
 
 # Odd constants of the rolling hash; products wrap at 64 bits.
@@ -42,6 +44,12 @@ _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.cumprod(np.full(WORD_CHARS + 4, 0xC2B2AE3D27D4EB4F, np.uint64), dtype=np.uint64)
 
 
+def tokens(text: str | None) -> list[str]:
+    """Words of a text, and one sign for each word that repeats the one before it."""
+    words = (text or "").split()
+    return words + [REPEATED] * sum(map(eq, words, words[1:]))
+
+
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word and of its n-grams, one word after the other, and their number for each word."""
     short = [w if len(w) <= WORD_CHARS else f"{w[:8]}~{len(w).bit_length()}~{w[-8:]}" for w in words]
@@ -67,7 +75,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights, which sum to 1 (none for a text without words)."""
-    words = Counter((text or "").split())
+    words = Counter(tokens(text))
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     buckets, sizes = word_features(list(words))
@@ -156,7 +164,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         for batch in batches:
             hidden = np.zeros((batch.num_rows, DIM), np.float32)
             for block in text_blocks(batch.column("text").to_pylist()):
-                words = {i: w for i, text in block if (w := text.split())}
+                words = {i: w for i, text in block if (w := tokens(text))}
                 rows = table.rows([w for own in words.values() for w in own])
                 end = 0
                 for i, own in words.items():

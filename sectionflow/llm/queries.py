@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectionflow.llm import langid, quality, simhash, token_counts
+from sectionflow.llm import decontaminate, langid, mixing, pii, quality, simhash, token_counts
 from sectionflow.llm.common import bound_batches, fold, read_table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
@@ -39,8 +43,29 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), entropy=0.9, passes=4.0)
+    return mixed.select("doc_id", "source", "pass_no", "block", "slot", "weight")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(docs, benchmark, size=10)
+    names = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names, "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op5_quality_classifier, op7_language_id)
+    f.__name__: f
+    for f in (
+        op1_pii,
+        op2_token_counts,
+        op3_simhash_near_dedup,
+        op5_quality_classifier,
+        op7_language_id,
+        op8_source_mixing,
+        op10_decontamination,
+    )
 }
 
 ORACLES: dict[str, str] = {}
