@@ -186,6 +186,11 @@ class Labeller:
         best = int(letters.argmax())
         return self.model.languages[best], float(letters[best] / letters.sum())
 
+    def languages(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and share of each text."""
+        found = [self.language(words, path) for _, words, path in self.paths(texts)]
+        return [x[0] for x in found], [x[1] for x in found]
+
     def spans(self, words: list[str], path: np.ndarray) -> list[tuple[int, int, str]]:
         """First word, last word (exclusive) and language of each span of one language."""
         cuts = np.flatnonzero(np.diff(path)) + 1
@@ -228,29 +233,30 @@ def fit(docs: DataFrame, train: Column, per_language: int = DOCS_PER_LANGUAGE) -
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Columns doc_id, lang_pred, score; one row per row."""
-    schema = "doc_id long, lang_pred string, score double"
-    return docs.select("doc_id", "text").mapInArrow(_kernel(docs, model, ["doc_id"]), schema)
+    shared = ship(docs.sparkSession, model)  # bounded by MAX_GRAMS
 
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared())
+        for batch in batches:
+            names, shares = labeller.languages(batch.column("text").to_pylist())
+            columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(shares, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score."""
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(_kernel(docs, model, docs.columns), schema)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(kernel, "doc_id long, lang_pred string, score double")
 
 
-def _kernel(docs: DataFrame, model: Model, keep: list[str]):
-    shared = ship(docs.sparkSession, model)  # bounded by MAX_GRAMS
+def in_one_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language has at least the given share of the letters."""
+    shared = ship(docs.sparkSession, model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared())
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [labeller.language(words, path) for _, words, path in labeller.paths(texts)]
-            names = pa.array([x[0] for x in found], pa.string())
-            shares = pa.array([x[1] for x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), names, shares], [*keep, "lang_pred", "score"])
+            names, shares = labeller.languages(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and x >= least for n, x in zip(names, shares)], pa.bool_()))
 
-    return kernel
+    return docs.mapInArrow(kernel, docs.schema)
 
 
 def label_spans(docs: DataFrame, model: Model) -> DataFrame:

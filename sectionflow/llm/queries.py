@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectionflow.llm import decontaminate, langid, mixing, pii, quality, simhash, token_counts
+from sectionflow.llm import decontaminate, langid, mixing, pii, quality, simhash, substrings, token_counts, topk, warc
 from sectionflow.llm.common import bound_batches, fold, read_table
+from sectionflow.session import scratch_path
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=4, radius=4)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    kept = substrings.without_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
@@ -35,6 +42,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, threshold=0.3).select("doc_id", held_out, "score", "predicted")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
@@ -48,6 +59,13 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "pass_no", "block", "slot", "weight")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark, 500)
+    folder = scratch_path(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs, benchmark, size=10)
@@ -61,9 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_pii,
         op2_token_counts,
         op3_simhash_near_dedup,
+        op4_substring_dedup,
         op5_quality_classifier,
+        op6_top_k,
         op7_language_id,
         op8_source_mixing,
+        op9_warc,
         op10_decontamination,
     )
 }

@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectionflow.llm.components import connected_components
@@ -58,17 +58,23 @@ def text_fingerprint(text: bytes | None, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """Columns doc_id, fp (the 64 bits as a signed long); one row per row."""
+    """Columns doc_id, row (hash of id and text), fp (the 64 bits as a signed long); one row per row."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter(
                 (text_fingerprint(x.as_py(), size) for x in batch.column("text")), np.uint64, batch.num_rows
             )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(found.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return rows.mapInArrow(kernel, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row"), F.col("text").cast("binary"))
+    return rows.mapInArrow(kernel, "doc_id long, row long, fp long")
+
+
+def row_hash() -> Column:
+    """Hash of id and text, which stands for a document."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
 
 
 def block_cells(fp: Column, radius: int) -> Column:
@@ -186,15 +192,28 @@ def _last_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         yield before, True
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
-    """Columns doc_id, fingerprint (16 hex digits), component_id; one row per row of ``docs``."""
+def components(docs: DataFrame, size: int, radius: int) -> DataFrame:
+    """Columns doc_id, row, fp, root (smallest linked fingerprint), component_id; one row per row."""
     rows = materialize(fingerprints(docs, size), "fingerprints")
     named = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(fingerprint_links(named.select("fp"), radius), "fingerprint-links")
     linked = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = linked.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return rows.join(linked.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
+    """Columns doc_id, fingerprint (16 hex digits), component_id; one row per row of ``docs``."""
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return components(docs, size, radius).select("doc_id", digits, "component_id")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
+    """The row with the smallest doc_id of each component, unchanged; a row without id only if all have none."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = components(docs, size, radius).groupBy("root").agg(first).select(F.col("first.row").alias("simhash_row"))
+    rows = docs.withColumn("simhash_row", row_hash()).join(materialize(kept, "group-firsts"), "simhash_row", "left_semi")
+    # equal rows are one group; they come together by the join already
+    number = F.row_number().over(Window.partitionBy("simhash_row").orderBy("simhash_row"))
+    return rows.withColumn("simhash_no", number).where("simhash_no = 1").select(*docs.columns)
