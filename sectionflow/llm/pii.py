@@ -171,8 +171,10 @@ def report(docs: DataFrame) -> DataFrame:
     spans = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
     found = all_spans(docs).groupBy("doc_id", "h").agg(spans.alias("all"))
     base = F.filter("all", lambda s: s["kind"] < len(KINDS))
-    counts = [F.size(F.filter("all", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{x}") for k, x in enumerate(KINDS)]
-    found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), *counts, F.sha2(_digest(base), 256).alias("sha"), _digest(F.col("all")).alias("s"))
+    kinds = F.transform("all", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{x}") for k, x in enumerate(KINDS)]
+    digests = F.sha2(_digest(base), 256).alias("sha"), _digest(F.col("all")).alias("s")
+    found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), *counts, *digests)
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     return joined.select(
