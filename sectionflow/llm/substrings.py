@@ -41,7 +41,7 @@ SORTED = 16  # words by which suffixes are sorted; at least WINDOW, a power of t
 SYMBOL_BYTES = 5
 ANCHOR_MASK = (1 << 48) - 1
 BLOCK_SEGMENTS = 500_000  # segments that a task combines before they leave it
-INDEX_SYMBOLS = 1_500_000  # symbols of one index; a larger group of one anchor makes a larger index
+INDEX_SYMBOLS = 3_000_000  # symbols of a block, copies counted; a larger group of one anchor makes a larger block
 MEMO_WORDS = 1_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -249,44 +249,54 @@ class FMIndex:
             rank[self.order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
             step *= 2
         levels = max(1, int(text.max()).bit_length())
-        self.before = np.searchsorted(np.sort(text), np.arange(1 << levels))  # smaller symbols in the text
+        self.before = np.searchsorted(np.sort(text), np.arange((1 << levels) + 1))  # smaller symbols in the text
         self.last = WaveletMatrix(text[self.order - 1], levels)
 
     def backward(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Interval in ``order`` of the occurrences of each run of ``length`` symbols."""
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(text))
-        for i in reversed(range(length)):
+        symbol = text[starts + length - 1]
+        low, high = self.before[symbol], self.before[symbol + 1]
+        for i in reversed(range(length - 1)):
             symbol = text[starts + i]
             low = self.before[symbol] + self.last.rank(symbol, low)
             high = self.before[symbol] + self.last.rank(symbol, high)
         return low, high
 
 
-def search_block(doc: np.ndarray, n: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For the segments of a shard: number of the segment and offset of every window that a smaller document has."""
-    raw = np.frombuffer(b"".join(words), np.uint8).reshape(-1, SYMBOL_BYTES)
+def search_block(doc: np.ndarray, n: np.ndarray, code: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For the segments of a shard: number of the segment and offset of every window that a smaller document has.
+
+    ``code`` is the number of a segment's words in ``contents``; equal segments are
+    indexed and searched once, for the smallest of their documents.
+    """
+    first_doc, windows = np.full(len(contents), np.iinfo(np.int64).max), np.zeros(len(contents), np.int64)
+    np.minimum.at(first_doc, code, doc)
+    windows[code] = n
+    raw = np.frombuffer(b"".join(contents), np.uint8).reshape(-1, SYMBOL_BYTES)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :SYMBOL_BYTES] = raw
     _, symbols = np.unique(wide.view("<u8").ravel(), return_inverse=True)
-    lengths = n + WINDOW - 1
-    owner = np.repeat(np.arange(len(n)), lengths)
-    text = np.zeros(len(symbols) + len(n), np.int64)
+    lengths = windows + WINDOW - 1
+    owner = np.repeat(np.arange(len(contents)), lengths)
+    text = np.zeros(len(symbols) + len(contents), np.int64)
     places = np.arange(len(symbols)) + owner  # one sign after each segment before
     text[places] = symbols + 1
     index = FMIndex(text)
-    owners = np.full(len(text), np.iinfo(np.int64).max)
-    owners[places] = doc[owner]
-    segment = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-    starts = (np.cumsum(lengths + 1) - lengths - 1)[segment] + offset
+    owners = np.full(len(text) + 1, np.iinfo(np.int64).max)
+    owners[places] = first_doc[owner]
+    begin = np.cumsum(windows) - windows
+    within = np.repeat(np.arange(len(contents)), windows)
+    starts = (np.cumsum(lengths + 1) - lengths - 1 - begin)[within] + np.arange(len(within))
     low, high = index.backward(text, starts, WINDOW)
     # intervals of one length are equal or apart
     first, place = np.unique(low, return_inverse=True)
     ends = np.zeros(len(first), np.int64)
     ends[place] = high
-    ordered = np.r_[owners[index.order], np.iinfo(np.int64).max]
-    smallest = np.minimum.reduceat(ordered, np.stack([first, ends], axis=1).ravel())[::2]
-    repeated = smallest[place] < doc[segment]
+    ordered = np.r_[owners[index.order], owners[-1]]
+    smallest = np.minimum.reduceat(ordered, np.stack([first, ends], axis=1).ravel())[::2][place]
+    segment = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+    repeated = smallest[begin[code[segment]] + offset] < doc[segment]
     return segment[repeated], offset[repeated]
 
 
@@ -298,8 +308,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         open_ = table.column("words").is_valid().to_numpy()
         spans = [np.stack([doc[~open_], at[~open_], at[~open_] + n[~open_] + WINDOW - 1])]
         if open_.any():
-            words = table.column("words").drop_null().to_pylist()
-            segment, offset = search_block(doc[open_], n[open_], words)
+            words = table.column("words").drop_null().combine_chunks().dictionary_encode()
+            if isinstance(words, pa.ChunkedArray):
+                words = words.combine_chunks()
+            code = words.indices.to_numpy().astype(np.int64)
+            segment, offset = search_block(doc[open_], n[open_], code, words.dictionary.to_pylist())
             # consecutive windows make one span
             cut = np.flatnonzero(np.r_[True, (np.diff(segment) != 0) | (np.diff(offset) != 1)]) if len(segment) else segment
             last = np.r_[cut[1:], len(segment)] - 1 if len(segment) else segment
