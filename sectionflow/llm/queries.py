@@ -89,4 +89,69 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# Kinds of words as in the operators; DuckDB's translate() leaves letters beyond ASCII alone.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+runs AS (
+  SELECT doc_id, spot, array_to_string(w[spot:spot + 12], ' ') AS run
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS spot FROM d)
+),
+firsts AS (SELECT doc_id, spot, min(doc_id) OVER (PARTITION BY run) AS first_id FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(spot, spot + 13)) AS pos FROM firsts WHERE first_id < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept
+  FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+    "op6_top_k": """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+named AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, ((5 * i) // 4 + 1)::INT, 2))::INT >> (3 - (5 * i) % 4)::INT) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM named""",
+    "op10_decontamination": rf"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 10 THEN list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9])
+                                       WHEN len(w) > 0 THEN [w] ELSE [] END) AS win
+  FROM b
+),
+lengths AS (SELECT DISTINCT len(win) AS l FROM windows),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS spot FROM d),
+hits AS (
+  SELECT doc_id, spot, l, item_id
+  FROM (SELECT doc_id, spot, l, w[spot:spot + l - 1] AS win FROM places, lengths WHERE spot + l - 1 <= len(w)) JOIN windows USING (win)
+),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(spot, spot + l)) AS pos FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
