@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 MOMENTS = ("n", "sa", "saa", "sb", "sbb", "sab")
 
+# Variance below this share of the mean square is what summing leaves of a constant.
+FLAT = 1e-13
+
 
 def present(value: Column) -> Column:
     """NaN to NULL; the only place where NaN is looked at."""
@@ -37,7 +40,21 @@ def ncc() -> Column:
     """Pearson correlation from moment columns; NULL when a side does not vary."""
     n, sa, saa, sb, sbb, sab = (F.col(c) for c in MOMENTS)
     va, vb = n * saa - sa * sa, n * sbb - sb * sb
-    return F.when((va > 0) & (vb > 0), (n * sab - sa * sb) / F.sqrt(va) / F.sqrt(vb))
+    varies = (va > FLAT * n * saa) & (vb > FLAT * n * sbb)
+    return F.when(varies, (n * sab - sa * sb) / F.sqrt(va) / F.sqrt(vb))
+
+
+def centred_ncc(a: str = "a", b: str = "b") -> Column:
+    """The same as an aggregate over pairs, by centred moments, which a large offset does not cancel.
+
+    A constant side has variance 0 exactly, or next to it where partial results merge.
+    """
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    va, vb = (F.var_pop(F.when(both, F.col(c))) for c in (a, b))
+    ma, mb = (F.avg(F.when(both, F.col(c))) for c in (a, b))
+    tiny = 1e-24  # square of the relative spacing of doubles, rounded up generously
+    varies = (va > tiny * ma * ma) & (vb > tiny * mb * mb)
+    return F.when(varies, F.covar_pop(a, b) / F.sqrt(va) / F.sqrt(vb))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

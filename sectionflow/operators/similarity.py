@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectionflow.functions.grid import Grid
-from sectionflow.functions.stats import MOMENTS, merge_aggs, moment_aggs, ncc
+from sectionflow.functions.stats import MOMENTS, centred_ncc, merge_aggs, moment_aggs, ncc
 from sectionflow.operators.grid import CELL, block_sections, cells_to_blocks, with_cell
 from sectionflow.operators.pairs import TILE, band_join, default_step, pairs_in_chunks, tiled_chunks
 
@@ -19,7 +19,8 @@ PAIR = ("z1", "z2")
 
 def correlate(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Pairwise-complete correlation of columns a and b under ``keys``."""
-    return pairs.groupBy(*keys).agg(*moment_aggs()).select(*keys, "n", ncc().alias("s"))
+    both = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.lit(1)))
+    return pairs.groupBy(*keys).agg(both.alias("n"), centred_ncc().alias("s"))
 
 
 def section_ncc(pixels: DataFrame, reach: int) -> DataFrame:
@@ -126,13 +127,13 @@ def similarity_matrix(sim: DataFrame, sections: int, grid: Grid | None = None) -
     absent.
     """
     keys = ["bx", "by"] if grid else []
-    upper = sim.select(*keys, "z1", "z2", "s")
-    lower = sim.select(*keys, F.col("z2").alias("z1"), F.col("z1").alias("z2"), "s")
+    ends = F.struct("z1", "z2"), F.struct(F.col("z2").alias("z1"), F.col("z1").alias("z2"))
+    both = sim.select(*keys, "s", F.explode(F.array(*ends)).alias("p")).select(*keys, "p.z1", "p.z2", "s")
     unit = block_sections(sim.sparkSession, grid, sections) if grid else sim.sparkSession.range(sections).toDF("z")
     if grid:
         unit = unit.join(sim.select(*keys).distinct(), keys, "left_semi")
     unit = unit.select(*keys, F.col("z").alias("z1"), F.col("z").alias("z2"), F.lit(1.0).alias("s"))
-    return upper.unionByName(lower).unionByName(unit)
+    return both.unionByName(unit)
 
 
 def dense_rows(matrix: DataFrame, reach: int, first: int, last: int) -> DataFrame:
