@@ -25,7 +25,8 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,23 +43,64 @@ SYMBOL_BYTES = 5
 ANCHOR_MASK = (1 << 48) - 1
 BLOCK_SEGMENTS = 500_000  # segments that a task combines before they leave it
 INDEX_SYMBOLS = 3_000_000  # symbols of a block, copies counted; a larger group of one anchor makes a larger block
-MEMO_WORDS = 1_000_000
+LONG_WORD = 256  # bytes
+CHUNK_BYTES = 2 << 20  # text hashed at once
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered within bounds."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _random(seed: int, n: int) -> np.ndarray:
+    """Fixed 64-bit numbers that look random."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * _A + np.uint64(seed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_OF_BYTE = np.where(_IN_WORD, _random(1, 256), np.uint64(0))
+_OF_PLACE = _random(2, LONG_WORD) | np.uint64(1)
+
+
+def hashed_words(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """64-bit hashes of the words of each text; short texts are hashed together."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= CHUNK_BYTES:
+            yield from _hash_together(held)
+            held, size = [], 0
+    yield from _hash_together(held)
+
+
+def _hash_together(texts: list[bytes]) -> list[np.ndarray]:
+    """Hash of a word: sum over its bytes of a number of the byte times one of its place; longer ones by XXH64."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    inside = _IN_WORD[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = ends[:-1][ends[:-1] < len(data)]
+    first[begins] = inside[begins]
+    starts = np.flatnonzero(first)
+    hashes = np.zeros(len(starts), np.uint64)
+    cuts = np.unique(np.r_[np.searchsorted(starts, np.arange(0, len(data), CHUNK_BYTES)), len(starts)])
+    for a, b in zip(cuts, cuts[1:]):
+        low, high = starts[a], starts[b] if b < len(starts) else len(data)
+        own = starts[a:b] - low
+        sizes = np.diff(np.r_[own, high - low])  # up to the next word, white space counts nothing
+        place = np.arange(high - low) - np.repeat(own, sizes)
+        values = _OF_BYTE[data[low:high]] * _OF_PLACE[np.minimum(place, LONG_WORD - 1)]
+        hashes[a:b] = np.add.reduceat(values, own)
+        for i in np.flatnonzero(sizes > LONG_WORD):
+            word = data[low + own[i] : low + own[i] + sizes[i]].tobytes().split()[0]
+            if len(word) > LONG_WORD:
+                hashes[a + i] = xxhash.xxh64_intdigest(word)
+    hashes = (hashes ^ hashes >> np.uint64(32)) * _B
+    hashes ^= hashes >> np.uint64(29)
+    return np.split(hashes, np.searchsorted(starts, ends[:-1]))
 
 
 def segments(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +147,6 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -119,8 +160,9 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(told)], ["anchor", "doc", "shared"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                anchors = np.unique(segments(hashes.of(text.as_py()))[0])
+            texts = (text.as_py() or b"" for text in batch.column("text"))
+            for doc, words in zip(batch.column("doc").to_pylist(), hashed_words(texts)):
+                anchors = np.unique(segments(words)[0])
                 held.append((anchors, np.full(len(anchors), doc)))
                 size += len(anchors)
                 if size >= BLOCK_SEGMENTS:
@@ -168,7 +210,7 @@ def segment_rows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor().decompress
         held: list[tuple] = []
         size = 0
 
@@ -184,8 +226,8 @@ def segment_rows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(doc), pa.array(at), pa.array(n), words], schema=schema)
 
         for batch in batches:
-            for doc, packed, own in zip(batch.column("doc").to_pylist(), batch.column("packed"), batch.column("anchors")):
-                words = hashes.of(unpack(packed.as_py()))
+            texts = (unpack(packed.as_py()) for packed in batch.column("packed"))
+            for doc, words, own in zip(batch.column("doc").to_pylist(), hashed_words(texts), batch.column("anchors")):
                 anchor, at, n = segments(words)
                 kept = np.isin(anchor, own.values.to_numpy())
                 anchor, at, n = anchor[kept], at[kept], n[kept]
@@ -253,13 +295,22 @@ class FMIndex:
         self.last = WaveletMatrix(text[self.order - 1], levels)
 
     def backward(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Interval in ``order`` of the occurrences of each run of ``length`` symbols."""
+        """Interval of the occurrences of each run of ``length`` symbols that starts in the indexed text.
+
+        Intervals of runs that occur more than once are places in ``order``.  A run
+        whose end occurs once is not followed further and keeps that interval of
+        length 1; runs that are equal so far take a step as one.
+        """
         symbol = text[starts + length - 1]
         low, high = self.before[symbol], self.before[symbol + 1]
         for i in reversed(range(length - 1)):
-            symbol = text[starts + i]
-            low = self.before[symbol] + self.last.rank(symbol, low)
-            high = self.before[symbol] + self.last.rank(symbol, high)
+            many = np.flatnonzero(high - low > 1)
+            symbol = text[starts[many] + i]
+            _, one, place = np.unique(low[many] * len(self.before) + symbol, return_index=True, return_inverse=True)
+            symbol, one = symbol[one], many[one]
+            low[many], high[many] = (
+                (self.before[symbol] + self.last.rank(symbol, bound[one]))[place] for bound in (low, high)
+            )
         return low, high
 
 
@@ -287,13 +338,16 @@ def search_block(doc: np.ndarray, n: np.ndarray, code: np.ndarray, contents: lis
     begin = np.cumsum(windows) - windows
     within = np.repeat(np.arange(len(contents)), windows)
     starts = (np.cumsum(lengths + 1) - lengths - 1 - begin)[within] + np.arange(len(within))
+    smallest = first_doc[within]  # of windows that only one segment has
     low, high = index.backward(text, starts, WINDOW)
-    # intervals of one length are equal or apart
-    first, place = np.unique(low, return_inverse=True)
-    ends = np.zeros(len(first), np.int64)
-    ends[place] = high
-    ordered = np.r_[owners[index.order], owners[-1]]
-    smallest = np.minimum.reduceat(ordered, np.stack([first, ends], axis=1).ravel())[::2][place]
+    runs = np.flatnonzero(high - low > 1)
+    if len(runs):
+        # intervals of one length are equal or apart
+        first, place = np.unique(low[runs], return_inverse=True)
+        ends = np.zeros(len(first), np.int64)
+        ends[place] = high[runs]
+        ordered = np.r_[owners[index.order], owners[-1]]
+        smallest[runs] = np.minimum.reduceat(ordered, np.stack([first, ends], axis=1).ravel())[::2][place]
     segment = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
     repeated = smallest[begin[code[segment]] + offset] < doc[segment]
@@ -355,14 +409,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             total, gone, kept = [], [], []
             for packed, spans in zip(batch.column("packed"), batch.column("spans").to_pylist()):
                 words = unpack(packed.as_py()).split()
+                total.append(len(words))
+                if not spans:
+                    gone.append(0)
+                    kept.append(b" ".join(words))
+                    continue
                 change = np.zeros(len(words) + 1, np.int64)
-                for span in spans or ():
+                for span in spans:
                     change[span["start"]] += 1
                     change[span["end"]] -= 1
                 stays = np.cumsum(change[:-1]) == 0
-                total.append(len(words))
                 gone.append(len(words) - int(stays.sum()))
-                kept.append(b" ".join(w for w, s in zip(words, stays.tolist()) if s))
+                kept.append(b" ".join(compress(words, stays.tolist())))
             digests = [hashlib.sha256(k).hexdigest() for k in kept]
             columns = [batch.column("doc"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
