@@ -35,6 +35,7 @@ from sectionflow.session import delete_path
 
 SHARD_BYTES = 16 << 20  # payload of a shard, about
 FILE_BYTES = 4 << 20  # compressed size at which a file is closed
+FILES_PER_TASK = 4  # files that a task reads back, about
 SLICES = 16  # id ranges for each shard, from which shards are put together
 RECORD_BYTES = 1000  # what a record counts besides its payload
 DATE = "2020-01-01T00:00:00Z"
@@ -241,7 +242,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     schema = pa.schema(list(zip(names, kinds)))
-    files = manifest(spark, folder).select("file").repartition("file")  # a task for a few files each
+    files = manifest(spark, folder).select("file")
+    tasks = max(1, -(-files.count() // FILES_PER_TASK))  # a number, or the small rows would be put into one task
+    files = files.repartition(tasks, "file")
     return files.mapInArrow(
         kernel,
         "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary",
