@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectionflow.functions.chunks import owned, with_halo
+from sectionflow.functions.chunks import with_halo
 
 TILE = 64
+SECTIONS = 16  # blurred together in a tile
 
 
 def filter_range(df: DataFrame, start: int, stop: int) -> DataFrame:
@@ -78,33 +81,28 @@ def gaussian_taps(sigma: float, accuracy: float = 1e-4) -> list[float]:
     return [w / total for w in raw]
 
 
-def _blur_axis(df: DataFrame, axis: str, other: str, taps: list[float], extent: int) -> DataFrame:
-    k = len(taps) - 1
-    if k == 0:
-        return df
-    window = Window.partitionBy("z", "_tx", "_ty", other).orderBy(axis).rangeBetween(-k, k)
-    near = F.collect_list(F.when(F.col("v").isNotNull(), F.struct(F.col(axis).alias("p"), "v"))).over(window)
-    half = F.array(*(F.lit(w) for w in taps))
-    # Weight of everything a clamped edge pixel stands in for: taps beyond it.
-    beyond = F.array(*(F.lit(sum(taps[d + 1 :])) for d in range(k + 1)))
-
-    def weight(p):
-        d = (F.abs(p - F.col(axis)) + 1).cast("int")
-        at_edge = lambda e: F.when(p == e, F.element_at(beyond, d)).otherwise(0.0)
-        return F.element_at(half, d) + at_edge(0) + at_edge(extent - 1)
-
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    total = F.aggregate(
-        "_near",
-        zero,
-        lambda acc, e: F.struct((acc["s"] + weight(e["p"]) * e["v"]).alias("s"), (acc["w"] + weight(e["p"])).alias("w")),
-    )
-    return (
-        df.withColumn("_near", near)
-        .withColumn("_sum", total)
-        .withColumn("v", F.when(F.col("_sum.w") > 0, F.col("_sum.s") / F.col("_sum.w")))
-        .drop("_near", "_sum")
-    )
+def _blur_last(
+    v: np.ndarray, there: np.ndarray, first: int, taps: list[float], extent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted mean along the last axis, which starts at position ``first``, and where a pixel is in reach.
+
+    ``v`` is 0 where ``there`` is, and so are the means.  A pixel at an edge of the
+    section also stands for the taps beyond it.
+    """
+    k, n = len(taps) - 1, v.shape[-1]
+    sums = []
+    for a in (v, there):
+        total = np.zeros_like(a)
+        for d in range(max(-k, 1 - n), min(k, n - 1) + 1):
+            low, high = max(0, -d), min(n, n - d)
+            total[..., low:high] += taps[abs(d)] * a[..., low + d : high + d]
+        for edge in (0 - first, extent - 1 - first):
+            if 0 <= edge < n:
+                for i in range(max(0, edge - k + 1), min(n, edge + k)):
+                    total[..., i] += sum(taps[abs(i - edge) + 1 :]) * a[..., edge]
+        sums.append(total)
+    reached = sums[1] > 0
+    return np.where(reached, sums[0] / np.where(reached, sums[1], 1.0), 0.0), reached
 
 
 def gaussian_blur(
@@ -112,19 +110,38 @@ def gaussian_blur(
 ) -> DataFrame:
     """Separable blur with clamped edges; missing pixels are left out of the mean.
 
-    One shuffle: sections are cut into tiles with a halo as wide as the kernel,
-    and both passes run inside a tile.
+    One shuffle: a few sections at a time are cut into tiles with a halo as wide as
+    the kernel, and both passes run on the arrays of a tile, one shifted sum a tap.
     """
-    tx, ty = gaussian_taps(sigma[0]), gaussian_taps(sigma[1])
-    kx, ky = len(tx) - 1, len(ty) - 1
-    cut = with_halo(pixels, max(tile, kx), kx, kx, axis="x", chunk="_tx")
-    cut = with_halo(cut, max(tile, ky), ky, ky, axis="y", chunk="_ty").repartition("z", "_tx", "_ty")
-    rows = _blur_axis(cut, "x", "y", tx, width).where(owned(max(tile, kx), "x", "_tx"))
-    return (
-        _blur_axis(rows, "y", "x", ty, height)
-        .where(owned(max(tile, ky), "y", "_ty"))
-        .select("z", "x", "y", "v")
-    )
+    taps = gaussian_taps(sigma[0]), gaussian_taps(sigma[1])
+    reach = [len(t) - 1 for t in taps]
+    sides = [max(tile, k) for k in reach]
+
+    def kernel(group: pa.Table) -> pa.Table:
+        z, x, y, tx, ty = (group.column(c).to_numpy() for c in ("z", "x", "y", "_tx", "_ty"))
+        zs, zi = np.unique(z, return_inverse=True)
+        x0, y0 = x.min(), y.min()
+        at = (zi, y - y0, x - x0)
+        there = np.zeros((len(zs), int(y.max() - y0) + 1, int(x.max() - x0) + 1))
+        values, exists, known = np.zeros_like(there), np.zeros_like(there), group.column("v").is_valid().to_numpy()
+        exists[at] = 1.0
+        there[at] = known
+        values[at] = np.where(known, group.column("v").to_numpy(), 0.0)
+        if reach[0]:
+            values, reached = _blur_last(values, there, int(x0), taps[0], width)
+            there = exists * reached  # only rows of the table get a value
+            values = np.where(there > 0, values, 0.0)
+        if reach[1]:
+            down = (np.swapaxes(a, 1, 2) for a in (values, there))
+            values, there = (np.swapaxes(a, 1, 2) for a in _blur_last(*down, int(y0), taps[1], height))
+        own = (x // sides[0] == tx) & (y // sides[1] == ty)
+        v = pa.array(values[at][own], mask=there[at][own] == 0)
+        return pa.table({"z": z[own], "x": x[own], "y": y[own], "v": v})
+
+    cut = with_halo(pixels.select("z", "x", "y", "v"), sides[0], reach[0], reach[0], axis="x", chunk="_tx")
+    cut = with_halo(cut, sides[1], reach[1], reach[1], axis="y", chunk="_ty")
+    groups = cut.withColumn("_tz", F.expr(f"z div {SECTIONS}")).groupBy("_tz", "_tx", "_ty")
+    return groups.applyInArrow(kernel, "z bigint, x bigint, y bigint, v double")
 
 
 def explode_map(df: DataFrame, column: str, key: str = "key", value: str = "value") -> DataFrame:

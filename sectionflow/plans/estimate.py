@@ -31,9 +31,12 @@ from sectionflow.operators.similarity import (
     block_similarity,
     similarity_matrix,
 )
+from sectionflow.operators.tolerant import tolerant_strategy
 from sectionflow.plans.options import JobOptions, Stage
 from sectionflow.session import materialize
-from sectionflow.sources.stacks import load_sections, write_report, write_sections
+from sectionflow.sources.stacks import full_report, load_masked, load_sections, write_sections
+
+BAND = 1024  # pixel rows in a file of the rendered stack
 
 
 @dataclass
@@ -48,6 +51,13 @@ class StageResult:
     seconds: float
 
 
+def stage_strategy(stage: Stage) -> MatrixStrategy | None:
+    """The tolerant similarity if the stage asks for offsets or for its own window, else None."""
+    if stage.max_offsets == (0, 0) and stage.correlation_radii == stage.radii:
+        return None
+    return tolerant_strategy(stage.max_offsets, stage.correlation_radii)
+
+
 def estimate_stages(
     pixels: DataFrame,
     stages: list[Stage],
@@ -62,8 +72,9 @@ def estimate_stages(
 ) -> list[StageResult]:
     """Run the stages in order; each starts from the coordinates of the one before.
 
-    ``strategy`` replaces the block correlation by another similarity, and
-    ``transfer`` the way coordinates pass from one grid to the next.
+    ``strategy`` replaces the block correlation by another similarity in all stages,
+    and ``transfer`` the way coordinates pass from one grid to the next.  Without it
+    a stage with offsets or a correlation window of its own uses the tolerant one.
 
     The stack is shuffled once, by (z chunk with halo, tile), and reused by every
     stage.  With ``target`` the results are also written there, one folder per
@@ -86,7 +97,8 @@ def estimate_stages(
         if before is not None:
             coords = transfer(coords, grid_mapping(spark, grid, before))
         near = stage.infer.comparison_range
-        sim = strategy(pixels, grid, near) if strategy else block_similarity(moments(chunked, grid, near, step))
+        own = strategy or stage_strategy(stage)
+        sim = own(pixels, grid, near) if own else block_similarity(moments(chunked, grid, near, step))
         sim = materialize(sim, "sim")
         gate = quality_gate(sim, grid, sections, near)
         found = infer_coords(
@@ -130,14 +142,36 @@ def stage_report(spark: SparkSession, results: list[StageResult]) -> DataFrame:
     return spark.createDataFrame(rows, "stage bigint, blocks bigint, failed bigint, seconds double")
 
 
-def estimation_job(spark: SparkSession, options: JobOptions, width: int, height: int) -> DataFrame:
-    """Load, downsample, estimate, write; returns the stage report."""
+def estimation_job(
+    spark: SparkSession,
+    options: JobOptions,
+    width: int,
+    height: int,
+    strategy: MatrixStrategy | None = None,
+    transfer: Callable[[DataFrame, DataFrame], DataFrame] = interp_nearest,
+) -> DataFrame:
+    """Load, mask, downsample, estimate, write; returns the stage report.
+
+    ``options.mask`` names a stack like the source; where it is 0 pixels count as
+    missing.  An empty name means no mask.
+    """
     pixels = load_sections(spark, options.source, options.start, options.stop)
+    if options.mask:
+        masked = load_masked(pixels, load_sections(spark, options.mask, options.start, options.stop))
+        pixels = masked.withColumn("v", F.when(F.col("weight") != 0, F.col("v"))).drop("weight")
     if options.scale:
         pixels = downsample(pixels, options.scale, width, height)
         width, height = width >> options.scale, height >> options.scale
     results = estimate_stages(
-        pixels, list(options.stages), options.sections, width, height, options.join_step, target=options.target
+        pixels,
+        list(options.stages),
+        options.sections,
+        width,
+        height,
+        options.join_step,
+        target=options.target,
+        strategy=strategy,
+        transfer=transfer,
     )
     return stage_report(spark, results)
 
@@ -145,13 +179,13 @@ def estimation_job(spark: SparkSession, options: JobOptions, width: int, height:
 def render_job(spark: SparkSession, options: JobOptions, stage: int, width: int, height: int, output: str) -> DataFrame:
     """Render the full-resolution stack by a stage's backward table.
 
-    Returns the write report, failures included.
+    Returns the write report over all sections; those without a source are not ok.
     """
     pixels = load_sections(spark, options.source, options.start, options.stop)
     side = 1 << options.scale
     chosen = options.stages[stage]
     grid = Grid(width // side, height // side, chosen.radii, chosen.steps)
     backward = spark.read.parquet(f"{options.target}/stage={stage}/backward")
-    rendered = materialize(render(pixels, backward, grid, width, height, options.sections, side), "rendered")
-    write_sections(rendered, output, single=True)
-    return write_report(rendered, spark.read.parquet(output)).orderBy(F.col("z"))
+    rendered = render(pixels, backward, grid, width, height, options.sections, side)
+    write_sections(rendered, output, single=True, band=BAND)
+    return full_report(spark.read.parquet(output), options.sections, width * height).orderBy("z")

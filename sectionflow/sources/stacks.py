@@ -90,16 +90,24 @@ def pack_channels(stacked: DataFrame, names: list[str]) -> DataFrame:
 
 
 def write_sections(
-    pixels: DataFrame, path: str, single: bool = False, per_folder: int = 1, mode: str = "errorifexists"
+    pixels: DataFrame,
+    path: str,
+    single: bool = False,
+    per_folder: int = 1,
+    mode: str = "errorifexists",
+    band: int | None = None,
 ) -> None:
     """Write a stack as one folder per section, pixels sorted inside it.
 
     A range split on (z, y, x) spreads one oversized section over several tasks
     and leaves each task few open folders.  ``single`` narrows values to float.
     ``per_folder`` puts that many sections into a folder, for very many small ones.
+    With ``band`` that many pixel rows of a section make a file and meet by hash; a
+    range split samples its input first, so it computes a lazy stack twice.
     """
     out = pixels.withColumn("v", F.col("v").cast("float")) if single else pixels
-    ordered = out.repartitionByRange("z", "y", "x").sortWithinPartitions("z", "y", "x")
+    dealt = out.repartition("z", F.expr(f"y div {band}")) if band else out.repartitionByRange("z", "y", "x")
+    ordered = dealt.sortWithinPartitions("z", "y", "x")
     if per_folder == 1:
         ordered.write.mode(mode).partitionBy("z").parquet(path)
         return
@@ -119,6 +127,14 @@ def write_report(expected: DataFrame, written: DataFrame) -> DataFrame:
     )
 
 
+def full_report(written: DataFrame, sections: int, pixels: int) -> DataFrame:
+    """(z, pixels, ok) for every section from 0, each of which should have the given number of pixels."""
+    have = written.groupBy(F.col("z").cast("bigint").alias("z")).agg(F.count(F.lit(1)).alias("pixels"))
+    every = written.sparkSession.range(sections).select(F.col("id").alias("z"))
+    found = F.coalesce("pixels", F.lit(0)).cast("bigint")
+    return every.join(have, "z", "left").select("z", found.alias("pixels"), (found == pixels).alias("ok"))
+
+
 def extent(pixels: DataFrame) -> tuple[int, int, int]:
     """(sections, width, height): one row of maxima, read by the driver."""
     top = pixels.agg(*(F.max(k) for k in KEYS)).first()

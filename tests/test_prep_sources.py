@@ -118,9 +118,16 @@ def test_blur(random_stack, tile, sigma):
             want = blur_brute(want, axis, taps)
     got = prep.gaussian_blur(df.where("z < 2"), sigma, 10, 7, tile).collect()
     assert len(got) == 140
+    assert all((r.v is None) == np.isnan(want[r.z, r.y, r.x]) for r in got)
     assert all(abs(r.v - want[r.z, r.y, r.x]) < 1e-9 for r in got if r.v is not None)
 
 
+def test_blur_keeps_to_the_rows_there_are(spark):
+    df = spark.createDataFrame([(0, 0, 0, None), (0, 9, 0, 2.0), (40, 1, 0, 3.0), (40, 2, 0, None)], "z long, x long, y long, v double")
+    blurred = prep.gaussian_blur(df, (0.5, 0.0), 10, 1).withColumn("v", F.round("v", 9))
+    assert rows(blurred, "z", "x") == [(0, 0, 0, None), (0, 9, 0, 2.0), (40, 1, 0, 3.0), (40, 2, 0, 3.0)]
+
+
 def test_taps():
     taps = prep.gaussian_taps(1.0)
     assert len(taps) == math.ceil(math.sqrt(-2 * math.log(1e-4))) + 1

@@ -9,7 +9,7 @@ from sectionflow.operators.coords import interp_linear
 from sectionflow.operators.grid import block_sections
 from sectionflow.operators.infer import InferOptions
 from sectionflow.operators.repair import invert_lut
-from sectionflow.operators.tolerant import tolerant_strategy
+from sectionflow.operators.tolerant import tolerant_similarity, tolerant_strategy
 from sectionflow.plans import estimate
 from sectionflow.plans.options import halving_stages, job_options
 from sectionflow.sources import stacks
@@ -197,7 +197,7 @@ def test_estimation_and_render_jobs(spark, random_stack, tmp_path):
     df, _ = random_stack
     source, target = str(tmp_path / "source"), str(tmp_path / "target")
     stacks.write_sections(df.withColumn("z", F.col("z") + 3), source)
-    o = job_options({**CONFIG, "source": source, "target": target, "logMatrices": [1]})
+    o = job_options({**CONFIG, "source": source, "mask": "", "target": target, "logMatrices": [1]})
     report = rows(estimate.estimation_job(spark, o, 10, 7), "stage")
     grids = [Grid(10, 7, s.radii, s.steps) for s in o.stages]
     assert [r[:2] for r in report] == [(i, g.size) for i, g in enumerate(grids)]
@@ -208,7 +208,42 @@ def test_estimation_and_render_jobs(spark, random_stack, tmp_path):
     assert (tmp_path / "target/stage=1/transformed_matrices").exists()
     assert not (tmp_path / "target/stage=0/matrices").exists()
     written = estimate.render_job(spark, o, 2, 10, 7, str(tmp_path / "out"))
-    assert written.where("NOT ok").count() == 0 and written.count() >= 38
+    report, found = rows(written, "z"), {int(p.name[2:]) for p in (tmp_path / "out").glob("z=*")}
+    assert [r[0] for r in report] == list(range(40)) and len(found) >= 38
+    assert all((n, ok) == ((70, True) if z in found else (0, False)) for z, n, ok in report)
+
+
+def test_render_job_lists_targets_without_source(spark, random_stack, tmp_path):
+    df, _ = random_stack
+    source, target = str(tmp_path / "source"), str(tmp_path / "target")
+    stacks.write_sections(df.where("z NOT IN (2, 3)").withColumn("z", F.col("z") + 3), source)
+    o = job_options({**CONFIG, "source": source, "mask": "", "target": target})
+    grid = Grid(10, 7, o.stages[0].radii, o.stages[0].steps)
+    lut = block_sections(spark, grid, 6).withColumn("c", F.col("z") * 1.0)
+    lut.write.parquet(f"{target}/stage=0/backward")
+    report = rows(estimate.render_job(spark, o, 0, 10, 7, str(tmp_path / "out")), "z")
+    assert [z for z, _, ok in report if ok] == [0, 1, 4, 5] and len(report) == 40
+
+
+def test_mask_and_offsets_take_effect(spark, random_stack, tmp_path):
+    df, _ = random_stack
+    source, mask = str(tmp_path / "source"), str(tmp_path / "mask")
+    shifted = df.withColumn("z", F.col("z") + 3)
+    stacks.write_sections(shifted, source)
+    keep = (F.col("x") > 0) | (F.col("z") % 5 > 0)
+    stacks.write_sections(shifted.withColumn("v", F.when(keep, 1.0).otherwise(0.0)), mask)
+    config = {**CONFIG, "source": source, "mask": mask, "options": CONFIG["options"][:1] + CONFIG["options"][2:]}
+    o = job_options({**config, "target": str(tmp_path / "masked")})
+    estimate.estimation_job(spark, o, 10, 7)
+    keep = (F.col("x") > 0) | ((F.col("z") + 3) % 5 > 0)
+    hidden = df.withColumn("v", F.when(keep, F.col("v")))
+    want = estimate.estimate_stages(hidden, list(o.stages), 40, 10, 7, o.join_step)
+    for i in range(2):
+        got = rows(spark.read.parquet(f"{tmp_path}/masked/stage={i}/forward"), "bx", "by", "z")
+        assert np.allclose([r[3] for r in got], [r[3] for r in rows(want[i].forward, "bx", "by", "z")])
+    direct = tolerant_similarity(hidden, want[1].grid, 4, (1, 1), (3, 3))
+    assert rows(want[1].sim, "bx", "by", "z1", "z2") == rows(direct, "bx", "by", "z1", "z2")
+    assert estimate.stage_strategy(o.stages[0]) is None
 
 
 def test_radius_without_blocks_is_an_error(spark, random_stack):
