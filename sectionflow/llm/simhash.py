@@ -212,8 +212,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
 def one_of_each_group(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """The row with the smallest doc_id of each component, unchanged; a row without id only if all have none."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    kept = components(docs, size, radius).groupBy("root").agg(first).select(F.col("first.row").alias("simhash_row"))
-    rows = docs.withColumn("simhash_row", row_hash()).join(materialize(kept, "group-firsts"), "simhash_row", "left_semi")
+    kept = components(docs, size, radius).groupBy("root").agg(first)
+    return named_rows(docs, kept.select("first.row"))
+
+
+def named_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each once, whose hash is in ``kept(row)``."""
+    kept = materialize(kept.select(F.col("row").alias("simhash_row")), "group-firsts")
+    rows = docs.withColumn("simhash_row", row_hash()).join(kept, "simhash_row", "left_semi")
     # equal rows are one group; they come together by the join already
     number = F.row_number().over(Window.partitionBy("simhash_row").orderBy("simhash_row"))
     return rows.withColumn("simhash_no", number).where("simhash_no = 1").select(*docs.columns)

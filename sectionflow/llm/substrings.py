@@ -72,7 +72,8 @@ def hashed_words(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         if size >= CHUNK_BYTES:
             yield from _hash_together(held)
             held, size = [], 0
-    yield from _hash_together(held)
+    if held:
+        yield from _hash_together(held)
 
 
 def _hash_together(texts: list[bytes]) -> list[np.ndarray]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sectionflow.llm import decontaminate, langid, mixing, pii, quality, simhash, substrings, token_counts, topk, warc
+from sectionflow.llm import decontaminate, langid, mixing, pii, quality, shingles, simhash, substrings, token_counts, topk, warc
 from sectionflow.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -173,6 +173,54 @@ def test_links_of_crowded_shards(spark, spread):
     assert parts([roots.get(s[0], s[0]) for s in signed]) == parts(label)
 
 
+def jaccard_groups(texts):
+    """Labels of the groups linked by five-word similarity of 0.8 or more, from all pairs."""
+    sets = []
+    for text in texts:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = len(a & b)
+            if (5 * common >= 4 * (len(a) + len(b) - common)) and label[i] != label[j]:
+                high, low = max(label[i], label[j]), min(label[i], label[j])
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_one_of_each_group_by_similarity(spark, docs, no_docs, corpus_rows):
+    assert shingles.one_of_each_group(no_docs).count() == 0
+    assert not list(shingles.text_shingles([]))
+    label = jaccard_groups([r[1] for r in corpus_rows])
+    smallest = {g: min((r[0] for r, x in zip(corpus_rows, label) if x == g and r[0] is not None), default=None) for g in label}
+    kept = shingles.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(smallest.values())
+
+    rng = np.random.default_rng(8)
+    fill = lambda n: ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n)]
+    line, texts = fill(14), []
+    for length in (6, 9, 25, 60, 300, 900):  # edits that leave similarities on both sides of 0.8
+        for _ in range(4):
+            base = fill(length)
+            texts.append(" ".join(base))
+            for edits in range(1, 9):
+                copy = list(base)
+                for at in rng.integers(0, length, max(1, edits * length // 160)):
+                    copy[at] = fill(1)[0]
+                texts.append(" ".join(copy))
+    texts += [" ".join(fill(20) + line + fill(20)) for _ in range(40)]  # unlike texts with a common line
+    texts += [" ".join(fill(int(n)) + line) for n in rng.integers(0, 8, 40)]  # the line is most of the text
+    bits = [fingerprint(t) for t in texts]
+    label = jaccard_groups(texts)
+    assert groups(bits, 4) != label  # four bits are another rule
+    rows = [(i, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in shingles.one_of_each_group(table).collect())
+    assert got == sorted(min(i for i, x in enumerate(label) if x == g) for g in set(label))
+
+
 # ---- 4: substrings
 
 
