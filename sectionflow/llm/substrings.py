@@ -7,7 +7,9 @@ Shards follow content, not documents, so that a document is streamed to the few
 shards that can hold its passages.  A window's anchor is the smallest hash of its
 runs of ``ANCHOR`` words; equal windows have equal anchors, and consecutive
 windows with one anchor form a segment.  Anchors that only one document has are
-left out.  The segments of the others meet by anchor; each shard builds an
+left out.  The segments of the others meet by anchor; those of an anchor with more
+than ``ANCHOR_SEGMENTS`` are cut into windows, which meet by the hash of the whole
+window, so that no group grows with the corpus.  Each shard builds an
 FM-index of its segments (a wavelet matrix of packed bits over the transform of
 suffixes sorted by their first 16 words) and a backward search gives for every
 window the interval of its occurrences and so the smallest document.
@@ -36,13 +38,16 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sectionflow.session import materialize
+
 WINDOW = 13
 ANCHOR = 4
 SORTED = 16  # words by which suffixes are sorted; at least WINDOW, a power of two
 SYMBOL_BYTES = 5
 ANCHOR_MASK = (1 << 48) - 1
 BLOCK_SEGMENTS = 500_000  # segments that a task combines before they leave it
-INDEX_SYMBOLS = 3_000_000  # symbols of a block, copies counted; a larger group of one anchor makes a larger block
+INDEX_SYMBOLS = 3_000_000  # symbols of a block, copies counted; a group of one anchor is not parted
+ANCHOR_SEGMENTS = 50_000  # segments around one anchor that meet as they are
 LONG_WORD = 256  # bytes
 CHUNK_BYTES = 2 << 20  # text hashed at once
 
@@ -141,37 +146,36 @@ def _smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """Columns anchor, doc, shared: anchors of every document, combined in each task.
+    """Columns anchor, doc, n, shared: anchors of every document and their segments, combined in each task.
 
     A row that is shared already has company in its task and needs none elsewhere;
     the row of the smallest document is there twice, once to be found by others.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            anchors = np.concatenate([a for a, _ in held] or [np.zeros(0, np.int64)])
-            owners = np.concatenate([d for _, d in held] or [np.zeros(0, np.int64)])
+            anchors, owners, counts = (np.concatenate([h[i] for h in held] or [np.zeros(0, np.int64)]) for i in range(3))
             low, high = _smallest(anchors, owners)
             shared, open_ = low < high, owners == low
-            columns = [np.concatenate([x[shared], x[open_]]) for x in (anchors, owners)]
+            columns = [np.concatenate([x[shared], x[open_]]) for x in (anchors, owners, counts)]
             told = np.r_[np.ones(shared.sum(), bool), np.zeros(open_.sum(), bool)]
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(told)], ["anchor", "doc", "shared"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(told)], ["anchor", "doc", "n", "shared"])
 
         for batch in batches:
             texts = (text.as_py() or b"" for text in batch.column("text"))
             for doc, words in zip(batch.column("doc").to_pylist(), hashed_words(texts)):
-                anchors = np.unique(segments(words)[0])
-                held.append((anchors, np.full(len(anchors), doc)))
+                anchors, counts = np.unique(segments(words)[0], return_counts=True)
+                held.append((anchors, np.full(len(anchors), doc), counts))
                 size += len(anchors)
                 if size >= BLOCK_SEGMENTS:
                     yield flush()
                     held, size = [], 0
         yield flush()
 
-    return _texts(docs).mapInArrow(kernel, "anchor long, doc long, shared boolean")
+    return _texts(docs).mapInArrow(kernel, "anchor long, doc long, n long, shared boolean")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -193,19 +197,27 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
-    """Columns doc, anchors: for each document its anchors that other documents have too."""
+    """Columns doc, anchors (anchor, n): for each document its anchors that other documents have too."""
     rows = anchor_rows(docs)
     # rows known to be shared need no meeting: they are spread by document
     group = F.struct(F.when(~F.col("shared"), F.col("anchor")), F.when(F.col("shared"), F.xxhash64("doc", "anchor")))
     w = Window.partitionBy(group.alias("g"))
     met = rows.withColumn("low", F.min("doc").over(w)).withColumn("high", F.max("doc").over(w))
     met = met.where(F.col("shared") | (F.col("low") < F.col("high")))
-    return met.groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
+    return met.groupBy("doc").agg(F.collect_set(F.struct("anchor", "n")).alias("anchors"))
+
 
+def busy_anchors(anchors: DataFrame, most: int) -> np.ndarray:
+    """The anchors with more than ``most`` segments, in order; their number is at most that of all segments by ``most``."""
+    each = anchors.select(F.explode("anchors").alias("a")).groupBy("a.anchor").agg(F.sum("a.n").alias("n"))
+    return np.sort(each.where(F.col("n") > most).select("anchor").toArrow()["anchor"].to_numpy())
 
-def segment_rows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+
+def segment_rows(docs: DataFrame, anchors: DataFrame, busy: np.ndarray) -> DataFrame:
     """Columns anchor, doc, at, n, words: segments with shared anchors, combined in each task.
 
+    Those of a busy anchor are cut into their windows, with the hash of a window for an anchor.
+
     A segment that a smaller document has word by word in the same task is decided:
     it has no words and an anchor that only spreads it.
     """
@@ -222,6 +234,20 @@ def segment_rows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             contents = [c for h in held for c in h[5]]
             low, _ = _smallest(key, doc)
             decided = doc > low
+            cut = np.flatnonzero(np.isin(anchor, busy) & ~decided)
+            if len(cut):
+                keep = np.delete(np.arange(len(anchor)), cut)
+                windows = n[cut]
+                offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                parts = [contents[i][a * SYMBOL_BYTES : (a + WINDOW) * SYMBOL_BYTES] for i, m in zip(cut.tolist(), windows.tolist()) for a in range(m)]
+                part_key = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+                part_doc = np.repeat(doc[cut], windows)
+                part_low, _ = _smallest(part_key, part_doc)
+                anchor = np.r_[anchor[keep], (part_key & np.uint64(ANCHOR_MASK)).astype(np.int64)]
+                doc, at = np.r_[doc[keep], part_doc], np.r_[at[keep], np.repeat(at[cut], windows) + offset]
+                n, key = np.r_[n[keep], np.ones(len(parts), np.int64)], np.r_[key[keep], part_key]
+                decided = np.r_[decided[keep], part_doc > part_low]
+                contents = [contents[i] for i in keep.tolist()] + parts
             words = pa.array([None if d else c for d, c in zip(decided.tolist(), contents)], pa.binary())
             spread = np.where(decided, -1 - ((key ^ doc.astype(np.uint64) * _A) & np.uint64(ANCHOR_MASK)).astype(np.int64), anchor)
             return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(doc), pa.array(at), pa.array(n), words], schema=schema)
@@ -230,7 +256,7 @@ def segment_rows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             texts = (unpack(packed.as_py()) for packed in batch.column("packed"))
             for doc, words, own in zip(batch.column("doc").to_pylist(), hashed_words(texts), batch.column("anchors")):
                 anchor, at, n = segments(words)
-                kept = np.isin(anchor, own.values.to_numpy())
+                kept = np.isin(anchor, own.values.field("anchor").to_numpy())
                 anchor, at, n = anchor[kept], at[kept], n[kept]
                 raw = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SYMBOL_BYTES].tobytes()
                 contents = [raw[a * SYMBOL_BYTES : (a + m + WINDOW - 1) * SYMBOL_BYTES] for a, m in zip(at.tolist(), n.tolist())]
@@ -426,7 +452,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns = [batch.column("doc"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    spans = repeated_spans(segment_rows(docs, shared_anchors(docs)))
+    anchors = materialize(shared_anchors(docs), "shared-anchors")
+    spans = repeated_spans(segment_rows(docs, anchors, busy_anchors(anchors, ANCHOR_SEGMENTS)))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = packed_texts(docs).join(spans, "doc", "left")
     return joined.mapInArrow(kernel, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

@@ -243,6 +243,32 @@ def test_substring_dedup(docs, corpus_rows):
     assert sum(r.n_removed for r in got) > 60
 
 
+def test_substrings_around_a_common_phrase(spark, monkeypatch):
+    """No group grows with the contexts of one phrase, and results stay those of all windows."""
+    rng = np.random.default_rng(11)
+    fill = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    phrase, shared = fill(4), fill(12)
+    words = [fill(12) + phrase + fill(12) + (phrase + fill(12) if i % 3 else []) for i in range(60)]
+    words += [fill(2) + shared[:6] + phrase + shared[6:] + fill(i % 4) for i in range(30)]
+    words += [words[5], words[70], words[5][3:]]
+    first = {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    expected = []
+    for i, w in enumerate(words):
+        gone = {x for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for x in range(k, k + 13)}
+        expected.append((i, len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substrings, "ANCHOR_SEGMENTS", 20)
+    got = substrings.without_repeats(table).select("doc_id", "n_removed", "kept_sha256").collect()
+    assert bag(got) == bag(expected)
+    anchors = substrings.shared_anchors(table)
+    segments = substrings.segment_rows(table, anchors, substrings.busy_anchors(anchors, 20))
+    groups = segments.where("words is not null").groupBy("anchor").agg(F.countDistinct("words").alias("n"))
+    assert groups.agg(F.max("n")).first()[0] <= 20
+
+
 def test_fm_index_counts_every_run():
     rng = np.random.default_rng(2)
     text = np.r_[rng.integers(1, 4, 500), 0]
