@@ -6,8 +6,9 @@ base kind) and a term t near it, PMI(t; e) is set against the information conten
 IC(e) of the entity.  A term whose PMI reaches ``RATIO`` of the IC, that is a term
 from which the entity can nearly be told, exceeds the disclosure threshold; it is
 marked wherever it occurs in documents with that entity and later generalised or
-removed.  Probabilities are shares of distinct texts; a pair needs ``SUPPORT``
-different contexts, so copies of one passage disclose nothing by themselves.
+removed.  Probabilities are shares of distinct texts; a pair needs ``SUPPORT`` of
+them, so copies of one text disclose nothing by themselves.  An entity that every
+text holds has no information, so nothing discloses it.
 
 Only DataFrame operations are used.  Offsets come from the lengths of what lies
 between the matches, summed up in rows, not in one row's arrays.
@@ -37,10 +38,8 @@ WORD = r"\p{L}++"
 
 REACH_CHARS = 80  # context on each side of a value ...
 REACH_WORDS = 5  # ... of at most so many words
-TERM_CHARS = 4  # shorter words are not looked at
-SUPPORT = 3
+SUPPORT = 3  # distinct texts in which a term stands near an entity
 RATIO = 0.9
-MIN_BITS = 6.0  # entities of less information are no secret
 
 
 def _luhn(digits: Column) -> Column:
@@ -118,24 +117,20 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Columns entity, term, bits (PMI), content (IC): pairs above the disclosure threshold."""
     entity = F.concat_ws(":", F.col("kind").cast("string"), F.lower("value"))
     before, behind = _context(F.col("left"), F.col("right"))
-    near = spans.select(entity.alias("entity"), "h", F.struct(before.alias("b"), behind.alias("a")).alias("c"))
-    terms = F.array_distinct(F.concat("c.b", "c.a"))
-    near = near.select("entity", "h", F.xxhash64("c").alias("context"), F.explode(terms).alias("term"))
-    near = near.where(F.length("term") >= TERM_CHARS)
-    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").count()
-    pairs = materialize(contexts.where(F.col("count") >= SUPPORT).select("entity", "term"), "disclosure-pairs")
-    together = near.join(pairs, ["entity", "term"]).select("entity", "term", "h").distinct()
-    together = together.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    near = spans.select(entity.alias("entity"), "h", F.explode(F.array_distinct(F.concat(before, behind))).alias("term"))
+    together = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    together = materialize(together, "disclosure-pairs")
     entities = spans.select(entity.alias("entity"), "h").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    wanted = materialize(pairs.select("term").distinct(), "disclosure-terms")
-    own = docs.select(F.xxhash64("text").alias("h"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
+    wanted = materialize(together.select("term").distinct(), "disclosure-terms")
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    own = docs.select(F.xxhash64("text").alias("h"), F.explode(terms).alias("term"))
     counts = own.join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     texts = docs.select(F.xxhash64("text")).distinct().count()
     scored = together.join(entities, "entity").join(counts, "term")
     content = F.log2(F.lit(texts) / F.col("n_e"))
     bits = F.log2(F.lit(texts) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     scored = scored.select("entity", "term", bits.alias("bits"), content.alias("content"))
-    return scored.where((F.col("content") >= MIN_BITS) & (F.col("bits") >= RATIO * F.col("content")))
+    return scored.where((F.col("content") > 0) & (F.col("bits") >= RATIO * F.col("content")))
 
 
 def term_spans(docs: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:

@@ -87,6 +87,25 @@ def test_pii_disclosing_terms(spark):
     assert all(clean[i] == t for i, t in rest)
 
 
+def test_pii_disclosing_terms_in_fixed_lines(spark):
+    """A fixed line discloses, whatever the length of its words, the number of texts and the share with the entity."""
+    rng = np.random.default_rng(1)
+    fill = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    line = "you may always write to Ann 李 at ann@example.org on any of these days"
+    signed = [(i, f"{fill(9)} {line} {fill(9)}") for i in range(12)]
+    copies = [(20 + i, f"{fill(5)} once Zed zed@example.org {fill(5)}") for i in range(2)]
+    copies += [(30 + i, copies[0][1]) for i in range(5)]
+    rest = [(100 + i, f"{fill(30)} you may write to any of these on days at always") for i in range(20)]
+    table = spark.createDataFrame(signed + copies + rest, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
+    for i, text in signed:
+        assert clean[i] == text.replace("Ann 李", "<TERM> <TERM>").replace("ann@example.org", "<EMAIL>")
+    assert all(clean[i] == t.replace("zed@example.org", "<EMAIL>") for i, t in copies)  # two distinct texts
+    assert all(clean[i] == t for i, t in rest)
+    everywhere = pii.sanitise(spark.createDataFrame(signed, "doc_id long, text string"))
+    assert not any("<TERM>" in r.text for r in everywhere.collect())  # the entity is no information there
+
+
 def test_pii_sanitise_keeps_columns_and_other_texts(docs, corpus_rows):
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.count() == len(corpus_rows)
