@@ -34,14 +34,15 @@ DIM = 8
 EPOCHS = 12
 RATE = 0.3
 GRAMS = (3, 4)
-WORD_CHARS = 40  # longer words have n-grams of their shape only: first and last letters and length
+WORD_CHARS = 40  # longer words are not remembered
+BULK_CHARS = 4096  # longer words are read in pieces of this size
 MEMO_WORDS = 1_000_000
 REPEATED = "\x00="  # stands for every pair of equal words, the only word 2-grams used
 CHUNK_CHARS = 8_000_000
 
 # Odd constants of the rolling hash; products wrap at 64 bits.
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_POWERS = np.cumprod(np.full(WORD_CHARS + 4, 0xC2B2AE3D27D4EB4F, np.uint64), dtype=np.uint64)
+_POWERS = np.cumprod(np.full(BULK_CHARS + 4, 0xC2B2AE3D27D4EB4F, np.uint64), dtype=np.uint64)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -51,9 +52,11 @@ def tokens(text: str | None) -> list[str]:
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word and of its n-grams, one word after the other, and their number for each word."""
-    short = [w if len(w) <= WORD_CHARS else f"{w[:8]}~{len(w).bit_length()}~{w[-8:]}" for w in words]
-    points, lengths = code_points([f"<{w}>" for w in short])
+    """Buckets of each word and of its n-grams, one word after the other, and their number for each word.
+
+    For words of at most ``BULK_CHARS`` letters.
+    """
+    points, lengths = code_points([f"<{w}>" for w in words])
     ends = np.cumsum(lengths)
     left = np.repeat(ends, lengths) - np.arange(len(points))  # places up to the word's end
     rank = np.repeat(lengths, lengths) - left
@@ -69,8 +72,46 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(owner[whole])
     at = np.concatenate(owners)
     order = np.argsort(at, kind="stable")
-    bucket = (np.concatenate(hashes) * _SPREAD >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-    return bucket[order], np.bincount(at, minlength=len(words))
+    return _bucket(np.concatenate(hashes))[order], np.bincount(at, minlength=len(words))
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * _SPREAD >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def long_word_features(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a word of any length and of its n-grams, and how often each occurs; read in pieces."""
+    counts, whole, power = np.zeros(BUCKETS, np.int64), np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    end, more = len(word) + 2, max(GRAMS) - 1
+    for start in range(0, end, BULK_CHARS):
+        stop = min(start + BULK_CHARS, end)
+        # the word with its signs, and as much of the next piece as an n-gram needs
+        piece = "<" * (start == 0) + word[max(start - 1, 0) : stop - 1 + more] + ">" * (stop + more >= end)
+        points, _ = code_points([piece])
+        own = stop - start
+        whole += power * (points[:own] * _POWERS[:own]).sum(dtype=np.uint64)
+        power *= _POWERS[own - 1]
+        for n in GRAMS:
+            h = np.full(max(0, min(own, len(points) - n + 1)), n, np.uint64)
+            for k in range(n):
+                h = h * _BASE + points[k : k + len(h)]
+            counts += np.bincount(_bucket(h), minlength=BUCKETS)
+    counts[_bucket(whole)] += 1
+    ids = np.flatnonzero(counts)
+    return ids, counts[ids]
+
+
+def bulks(words: list[str]) -> Iterator[list[str]]:
+    """The words in order, in lists of bounded size."""
+    held, chars = [], 0
+    for word in words:
+        held.append(word)
+        chars += len(word)
+        if chars >= CHUNK_CHARS // 8:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
 
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +119,16 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = Counter(tokens(text))
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    buckets, sizes = word_features(list(words))
-    share = np.fromiter(words.values(), np.float64, len(words)) / words.total() / sizes
-    ids, place = np.unique(buckets, return_inverse=True)
-    return ids.astype(np.int32), np.bincount(place, np.repeat(share, sizes)).astype(np.float32)
+    total, weight = words.total(), np.zeros(BUCKETS)
+    for part in bulks([w for w in words if len(w) <= BULK_CHARS]):
+        buckets, sizes = word_features(part)
+        share = np.fromiter(map(words.__getitem__, part), np.float64, len(part)) / total / sizes
+        weight += np.bincount(buckets, np.repeat(share, sizes), BUCKETS)
+    for word in (w for w in words if len(w) > BULK_CHARS):
+        ids, counts = long_word_features(word)
+        weight[ids] += counts * (words[word] / total / counts.sum())
+    ids = np.flatnonzero(weight)
+    return ids.astype(np.int32), weight[ids].astype(np.float32)
 
 
 class Model:
@@ -96,6 +143,16 @@ class Model:
         buckets, sizes = word_features(words)
         return np.add.reduceat(self.vectors[buckets], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
 
+    def long_words(self, words: Counter[str]) -> np.ndarray:
+        """Sum of the vectors of words that are not remembered, each as often as it occurs."""
+        total = np.zeros(DIM)
+        for part in bulks([w for w in words if len(w) <= BULK_CHARS]):
+            total += np.fromiter(map(words.__getitem__, part), np.float64, len(part)) @ self.word_vectors(part)
+        for word in (w for w in words if len(w) > BULK_CHARS):
+            ids, counts = long_word_features(word)
+            total += counts @ self.vectors[ids].astype(np.float64) * (words[word] / counts.sum())
+        return total
+
     def probability(self, hidden: np.ndarray) -> np.ndarray:
         logits = (hidden @ self.weights + self.bias).astype(np.float64)
         shifted = np.exp(logits - logits.max(axis=-1, keepdims=True))
@@ -165,11 +222,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             hidden = np.zeros((batch.num_rows, DIM), np.float32)
             for block in text_blocks(batch.column("text").to_pylist()):
                 words = {i: w for i, text in block if (w := tokens(text))}
-                rows = table.rows([w for own in words.values() for w in own])
+                short = {i: [w for w in own if len(w) <= WORD_CHARS] for i, own in words.items()}
+                rows = table.rows([w for own in short.values() for w in own])
                 end = 0
                 for i, own in words.items():
-                    end += len(own)
-                    hidden[i] = table.table[rows[end - len(own) : end]].mean(axis=0, dtype=np.float64)
+                    end += len(short[i])
+                    total = table.table[rows[end - len(short[i]) : end]].sum(axis=0, dtype=np.float64)
+                    if len(short[i]) < len(own):
+                        total += model.long_words(Counter(w for w in own if len(w) > WORD_CHARS))
+                    hidden[i] = total / len(own)
             p = model.probability(hidden)
             columns = [batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted"])

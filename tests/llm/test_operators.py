@@ -320,6 +320,36 @@ def test_quality_learns_and_ignores_the_held_out_fold(spark):
     assert np.array_equal(quality.fit(docs, flipped).vectors, model.vectors)
 
 
+def test_quality_reads_long_words_whole(spark):
+    rng = np.random.default_rng(5)
+    letters = lambda pool, n: "".join(rng.choice(list(pool), n))
+    ends = "abcdefgh", "stuvwxyz"
+    rows = [(i, ends[0] + letters("好文章" if i % 2 else "买便宜", 60) + ends[1]) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert all((got[i] > 0.5) == bool(i % 2) for i, _ in rows)
+
+    model = quality.Model()
+    for n in (41, 4093, 4094, 4095, 4096, 4097, 8190, 8191, 8192, 8193, 20_001):  # pieces against the whole
+        word = letters("abc é好", n).replace(" ", "x")
+        points = np.array([ord(c) for c in f"<{word}>"], np.uint64)
+        powers = np.cumprod(np.full(len(points), 0xC2B2AE3D27D4EB4F, np.uint64), dtype=np.uint64)
+        hashes = [(points * powers).sum(keepdims=True, dtype=np.uint64)]
+        for size in quality.GRAMS:
+            h = np.full(len(points) - size + 1, size, np.uint64)
+            for k in range(size):
+                h = h * quality._BASE + points[k : len(h) + k]
+            hashes.append(h)
+        plain = np.bincount((np.concatenate(hashes) * quality._SPREAD >> np.uint64(48)).astype(int), minlength=quality.BUCKETS)
+        ids, counts = quality.long_word_features(word)
+        assert np.array_equal(np.bincount(ids, counts, quality.BUCKETS), plain)
+        found, weight = quality.document_features(f"{word} one")
+        vector = (plain @ model.vectors / plain.sum() + model.word_vectors(["one"])[0]) / 2
+        assert weight @ model.vectors[found] == pytest.approx(vector, abs=1e-5)
+        assert model.long_words(Counter([word])) == pytest.approx(plain @ model.vectors / plain.sum(), abs=1e-5)
+
+
 # ---- 6: top-k
 
 
