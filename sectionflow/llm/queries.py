@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectionflow.llm import decontaminate, langid, mixing, pii, quality, simhash, substrings, token_counts, topk, warc
+from sectionflow.llm import collocations, decontaminate, hard_negatives, langid, lexicon, mixing, pii, quality, simhash, substrings, token_counts, topk, warc
 from sectionflow.llm.common import bound_batches, fold, read_table
 from sectionflow.session import scratch_path
 
@@ -73,6 +73,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names, "contaminated")
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    coded = lexicon.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), least=10, longest=3, top=2000, covered=50)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_warc,
         op10_decontamination,
+        op11_word_bpe,
+        op12_collocations,
+        op13_hard_negatives,
     )
 }
 
@@ -154,4 +180,66 @@ items AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_collocations": rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(coalesce({_LOWER}, ''), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (
+  SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS spot FROM p, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k
+),
+f AS (
+  SELECT lang, k, array_to_string(w[spot:spot + k - 1], ' ') AS phrase, any_value(w[spot:spot + k - 1]) AS ws, count(*) AS a
+  FROM runs GROUP BY lang, k, phrase
+),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cuts AS (
+  SELECT lang, phrase, a, k, cut, array_to_string(ws[1:cut], ' ') AS x, array_to_string(ws[cut + 1:k], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, one.a AS l, two.a AS r, cut,
+         (1000000::HUGEINT * cuts.a * cuts.a // (one.a::HUGEINT * two.a))::BIGINT AS score
+  FROM cuts JOIN f one ON one.lang = cuts.lang AND one.phrase = x JOIN f two ON two.lang = cuts.lang AND two.phrase = y
+),
+lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM scored
+),
+longer AS (
+  SELECT lang, phrase, max(a) AS top FROM (
+    SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3
+  ) GROUP BY lang, phrase
+),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE nth = 1 AND (top IS NULL OR 100 * top < 50 * a)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM pairs WHERE same)
+  WHERE nth <= 5
+),
+ranked AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM positives JOIN pairs USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3""",
 }
