@@ -47,6 +47,7 @@ WORDS = 100_000  # in the lexicon
 WORD_BYTES = 64  # longer words are not in it
 COUNTED_WORDS = 400_000  # different words a task holds before it hands their counts on
 MEMO_WORDS = 100_000  # words outside the lexicon that a worker remembers
+LONG_TEXT = 1 << 20  # characters; longer texts are cut at spaces, which no piece holds
 
 # Fixed value: how vocabularies of this family cut a text into words.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -78,11 +79,13 @@ def read_vocabulary(path: str) -> Vocabulary:
     """The vocabulary of a file of this family; others are refused."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    model, end = spec["model"], spec["model"]["end_of_word_suffix"]
-    kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
-    pattern = spec["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex")
+    model, end = spec["model"], spec["model"].get("end_of_word_suffix")
+    kinds = []
+    for name, steps in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")):
+        kinds.append([x["type"] for x in (spec[name] or {}).get(steps, [])])
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex") if kinds[1] else None
     odd = [model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")]
-    if kinds != (NORMALIZERS, PRE_TOKENIZERS) or pattern != PIECES or spec["decoder"] or not end or any(odd):
+    if kinds != [NORMALIZERS, PRE_TOKENIZERS] or pattern != PIECES or spec["decoder"] or not end or any(odd):
         raise ValueError("only vocabularies of words with an end mark, in lower case and without a decoder, are read")
     ids = model["vocab"]
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -127,6 +130,16 @@ def merged(word: bytes, vocabulary: Vocabulary) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+def cut(text: str | None) -> Iterator[str]:
+    """The text in parts of bounded length, unless it has no space for long."""
+    begin = 0
+    while text and begin < len(text):
+        end = text.find(" ", begin + LONG_TEXT)
+        end = end if end >= 0 else len(text)
+        yield text[begin:end]
+        begin = end
+
+
 class Splitter:
     """Cuts a text into the pieces that are merged, each by itself; special tokens stay whole."""
 
@@ -283,6 +296,16 @@ class Coder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if self.lexicon is None:
             self.lexicon = Lexicon(SparkFiles.get(self.file))
+        out = []
+        for text in texts:
+            if text and len(text) > LONG_TEXT:
+                out.append(b"".join(x for part in cut(text) for x in self._coded([part])))
+            else:
+                out.append(text)
+        short = iter(self._coded([x for x in out if not isinstance(x, bytes)]))
+        return [x if isinstance(x, bytes) else next(short) for x in out]
+
+    def _coded(self, texts: list[str | None]) -> list[bytes]:
         pieces = [self.split(text) for text in texts]
         known = dict.fromkeys(itertools.chain.from_iterable(pieces))
         words = [w.encode() for w in known]
@@ -310,9 +333,10 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text"):
-                counts.update(split(text.as_py()))
-                if len(counts) > COUNTED_WORDS:
-                    yield handed()
+                for part in cut(text.as_py()):
+                    counts.update(split(part))
+                    if len(counts) > COUNTED_WORDS:
+                        yield handed()
         yield handed()
 
     counted = docs.select("text").mapInArrow(kernel, "word string, n long")
