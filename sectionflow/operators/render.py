@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from sectionflow.session import materialize
 TILE = 64
 STEP = 256
 GROUP = ("chunk", "tx", "ty", "part")
+CORNERS = ("c00", "c10", "c01", "c11")
+SMALL = 1_000_000  # rows of a few numbers that every executor may hold
 
 
 def _term(value: Column, weight: Column) -> Column:
@@ -19,8 +23,8 @@ def _term(value: Column, weight: Column) -> Column:
     return F.when(weight == 0, 0.0).otherwise(weight * value)
 
 
-def _lattice_pixels(axis: str, cell: str, grid: Grid, scale: int, extent: int) -> Column:
-    """explode the pixels whose left (upper) block centre is block ``cell``.
+def _lattice_range(axis: str, cell: str, grid: Grid, scale: int, extent: int) -> tuple[Column, Column]:
+    """First and last of the pixels whose left (upper) block centre is block ``cell``.
 
     Border cells also take the pixels outside the outermost centres.
     """
@@ -28,7 +32,12 @@ def _lattice_pixels(axis: str, cell: str, grid: Grid, scale: int, extent: int) -
     start = (F.col(cell) * step + radius) * scale
     first = F.when(F.col(cell) == 0, 0).otherwise(start)
     last = F.when(F.col(cell) == count - 1, extent - 1).otherwise(start + step * scale - 1)
-    return explode_range(first.cast("bigint"), F.least(last, F.lit(extent - 1)).cast("bigint"))
+    return first.cast("bigint"), F.least(last, F.lit(extent - 1)).cast("bigint")
+
+
+def _lattice_pixels(axis: str, cell: str, grid: Grid, scale: int, extent: int) -> Column:
+    """explode the pixels of ``_lattice_range``."""
+    return explode_range(*_lattice_range(axis, cell, grid, scale, extent))
 
 
 def _fraction(axis: str, cell: str, grid: Grid, scale: int) -> Column:
@@ -37,13 +46,10 @@ def _fraction(axis: str, cell: str, grid: Grid, scale: int) -> Column:
     return F.least(F.greatest(local, F.lit(0.0)), F.lit(float(count - 1))) - F.col(cell)
 
 
-def upsample_lut(lut: DataFrame, grid: Grid, width: int, height: int, scale: int = 1) -> DataFrame:
-    """coords(z, x, y, p): block coordinates spread over width x height pixels.
+def lattice_cells(lut: DataFrame) -> DataFrame:
+    """cells(z, i, j, c00, c10, c01, c11): the corners of each lattice cell, named by their step in x and y.
 
-    Bilinear between block centres, constant beyond the outermost ones; pixel X
-    sits at ``(X / scale - radius) / step`` on the block grid.  The four corners
-    of a lattice cell meet in one row per section; its pixels are generated from
-    that row, so only coordinate rows are shuffled.
+    Cell (i, j) starts at the centre of block (i, j); those of the last column or row lack the corners beyond.
     """
     corner = F.explode(
         F.array(
@@ -56,28 +62,45 @@ def upsample_lut(lut: DataFrame, grid: Grid, width: int, height: int, scale: int
             )
         )
     )
-    names = ["c00", "c10", "c01", "c11"]
-    cells = (
+    return (
         lut.select("z", "bx", "by", "c", corner.alias("q"))
         .select("z", "q.*", "c")
         .where("i >= 0 AND j >= 0")
         .groupBy("z", "i", "j")
-        .agg(*(F.max(F.when(F.col("k") == n, F.col("c"))).alias(n) for n in names))
-    )
-    fx, fy = _fraction("x", "i", grid, scale), _fraction("y", "j", grid, scale)
-    pixels = (
-        cells.withColumn("y", _lattice_pixels("y", "j", grid, scale, height))
-        .withColumn("x", _lattice_pixels("x", "i", grid, scale, width))
-        .withColumns({"fx": fx, "fy": fy})
+        .agg(*(F.max(F.when(F.col("k") == n, F.col("c"))).alias(n) for n in CORNERS))
     )
+
+
+def _position() -> Column:
+    """Position of a pixel from the corners of its cell and its fractions fx, fy."""
     x1, y1 = F.col("fx"), F.col("fy")
-    mixed = (
+    return (
         _term(F.col("c00"), (1 - x1) * (1 - y1))
         + _term(F.col("c10"), x1 * (1 - y1))
         + _term(F.col("c01"), (1 - x1) * y1)
         + _term(F.col("c11"), x1 * y1)
     )
-    return pixels.select("z", "x", "y", mixed.alias("p"))
+
+
+def _upsampled(cells: DataFrame, grid: Grid, width: int, height: int, scale: int) -> DataFrame:
+    """coords(z, x, y, p) of the pixels of lattice cells."""
+    pixels = (
+        cells.withColumn("y", _lattice_pixels("y", "j", grid, scale, height))
+        .withColumn("x", _lattice_pixels("x", "i", grid, scale, width))
+        .withColumns({"fx": _fraction("x", "i", grid, scale), "fy": _fraction("y", "j", grid, scale)})
+    )
+    return pixels.select("z", "x", "y", _position().alias("p"))
+
+
+def upsample_lut(lut: DataFrame, grid: Grid, width: int, height: int, scale: int = 1) -> DataFrame:
+    """coords(z, x, y, p): block coordinates spread over width x height pixels.
+
+    Bilinear between block centres, constant beyond the outermost ones; pixel X
+    sits at ``(X / scale - radius) / step`` on the block grid.  The four corners
+    of a lattice cell meet in one row per section; its pixels are generated from
+    that row, so only coordinate rows are shuffled.
+    """
+    return _upsampled(lattice_cells(lut), grid, width, height, scale)
 
 
 def required_sections(coords: DataFrame) -> DataFrame:
@@ -189,21 +212,161 @@ def resample(
     return found.select(F.col("target").alias("z"), "x", "y", value.alias("v"))
 
 
+def _checked(small: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table of at most ``rows`` narrow rows if that is few enough; else the planner joins it."""
+    return F.broadcast(small) if rows <= SMALL else small
+
+
+def kept_targets(cells: DataFrame, have: DataFrame, grid: Grid, width: int, height: int, scale: int, rows: int) -> DataFrame:
+    """(z): targets any pixel of which lies next to a section of ``have(source)``.
+
+    One pixel of each cell tells for nearly all targets; all pixels are looked at only
+    for those where no such pixel does.  ``rows`` bounds the rows of ``cells``.
+    """
+
+    def near(coords: DataFrame) -> DataFrame:
+        need = required_sections(coords).select(F.col("target").alias("z"), "source")
+        return need.join(have, "source", "left_semi").select("z").distinct()
+
+    (x0, x1), (y0, y1) = (_lattice_range(a, c, grid, scale, n) for a, c, n in (("x", "i", width), ("y", "j", height)))
+    one = cells.withColumns({"x": x0, "y": y0}).where((x0 <= x1) & (y0 <= y1))
+    one = one.withColumns({"fx": _fraction("x", "i", grid, scale), "fy": _fraction("y", "j", grid, scale)})
+    sure = materialize(near(one.select("z", "x", "y", _position().alias("p"))), "sure-targets")
+    open_ = cells.join(_checked(sure, rows), "z", "left_anti")
+    return sure.union(near(_upsampled(open_, grid, width, height, scale)))
+
+
+def routed_cells(
+    cells: DataFrame, grid: Grid, width: int, height: int, sections: int, scale: int = 1, step: int = STEP, tile: int = TILE
+) -> DataFrame:
+    """Lattice cells copied to every (chunk, tx, ty) whose pixels they may read.
+
+    A cell's positions lie between those of its corners, so it goes to the chunks in
+    between (a hair more, for rounding).  Cells that may have a pixel without a position
+    in the stack also go to chunk -1 - q, q the chunk of the target itself.
+    """
+    (x0, x1), (y0, y1) = (_lattice_range(a, c, grid, scale, n) for a, c, n in (("x", "i", width), ("y", "j", height)))
+    known = [F.coalesce(c, *CORNERS) for c in CORNERS]
+    low, high = F.least(*known), F.greatest(*known)
+    hair = 1e-9 * (F.abs(low) + F.abs(high) + 1)
+    top = float(sections - 1)
+    # Corners beyond the last column or row have no weight and no value.
+    last_x, last_y = F.col("i") == grid.nx - 1, F.col("j") == grid.ny - 1
+    missing = F.col("c00").isNull() | (F.col("c10").isNull() & ~last_x) | (F.col("c01").isNull() & ~last_y)
+    missing = missing | (F.col("c11").isNull() & ~last_x & ~last_y)
+    outside = missing | (low - hair < 0) | (high + hair > top)
+    first = F.floor(F.greatest(low - hair, F.lit(0.0)) / step).cast("bigint")
+    last = F.floor(F.least(high + hair, F.lit(top)) / step).cast("bigint")
+    none = F.array().cast("array<bigint>")
+    chunks = F.concat(
+        F.when(first <= last, F.sequence(first, last)).otherwise(none),
+        F.when(outside, F.array(F.expr(f"-1 - z div {step}"))).otherwise(none),
+    )
+    spread = cells.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1}).where("x0 <= x1 AND y0 <= y1")
+    spread = spread.withColumn("chunk", F.explode(chunks))
+    spread = spread.withColumn("tx", F.explode(F.expr(f"sequence(x0 div {tile}, x1 div {tile})")))
+    return spread.withColumn("ty", F.explode(F.expr(f"sequence(y0 div {tile}, y1 div {tile})")))
+
+
+def _paint_kernel(grid: Grid, sections: int, scale: int, step: int, tile: int):
+    """Pixels of the cells that came to a (chunk, tile), read from the sections that did."""
+    gx, gy = grid.axis("x"), grid.axis("y")
+
+    def fractions(at: np.ndarray, cell: int, axis: tuple[int, int, int, int]) -> np.ndarray:
+        count, radius, stride, _ = axis
+        return np.minimum(np.maximum((at / float(scale) - radius) / float(stride), 0.0), float(count - 1)) - cell
+
+    def term(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return np.where(weight == 0, 0.0, weight * value)
+
+    def paint(key: tuple, sources: pa.Table, cells: pa.Table) -> pa.Table:
+        chunk, tx, ty = (k.as_py() for k in key[:3])
+        parts = []
+        here = np.full((step + 1, tile, tile), np.nan)
+        exists = np.zeros(here.shape, bool)
+        if len(sources) and len(cells):
+            z, x, y = (sources.column(c).to_numpy() for c in ("z", "x", "y"))
+            at = z - chunk * step, y - ty * tile, x - tx * tile
+            here[at], exists[at] = sources.column("v").to_numpy(zero_copy_only=False), True
+        ids = np.stack([cells.column(c).to_numpy() for c in ("i", "j")], axis=1)
+        kinds, kind = np.unique(ids, axis=0, return_inverse=True)
+        targets = cells.column("z").to_numpy()
+        corners = np.stack([cells.column(c).to_numpy(zero_copy_only=False) for c in CORNERS], axis=1).astype(float)
+        bounds = np.stack([cells.column(c).to_numpy() for c in ("x0", "x1", "y0", "y1")], axis=1)
+        for k, (i, j) in enumerate(kinds.tolist()):
+            own = np.flatnonzero(kind.reshape(-1) == k)
+            x0, x1, y0, y1 = bounds[own[0]].tolist()
+            xs = np.arange(max(x0, tx * tile), min(x1, tx * tile + tile - 1) + 1)
+            ys = np.arange(max(y0, ty * tile), min(y1, ty * tile + tile - 1) + 1)
+            wx, wy = fractions(xs, i, gx)[None, :], fractions(ys, j, gy)[:, None]
+            weights = (1 - wx) * (1 - wy), wx * (1 - wy), (1 - wx) * wy, wx * wy
+            # a few targets at a time, so that arrays stay of a tile's size
+            for begin in range(0, len(own), step):
+                some = own[begin : begin + step]
+                c = corners[some][:, :, None, None]
+                p = term(c[:, 0], weights[0]) + term(c[:, 1], weights[1]) + term(c[:, 2], weights[2]) + term(c[:, 3], weights[3])
+                usable = (p >= 0.0) & (p <= float(sections - 1))
+                floor = np.floor(np.where(usable, p, 0.0)).astype(np.int64)
+                t, yi, xi = np.nonzero(usable & (floor // step == chunk) if chunk >= 0 else ~usable)
+                if not len(t):
+                    continue
+                x, y = xs[xi], ys[yi]
+                v = np.full(len(t), np.nan)
+                if chunk >= 0:
+                    f = floor[t, yi, xi]
+                    up, low = p[t, yi, xi] - f, f - chunk * step
+                    dy, dx = y - ty * tile, x - tx * tile
+                    w0 = np.where(exists[low, dy, dx], 1 - up, 0.0)
+                    w1 = np.where(exists[low + 1, dy, dx], up, 0.0)
+                    total = term(here[low, dy, dx], w0) + term(here[low + 1, dy, dx], w1)
+                    v = np.divide(total, w0 + w1, out=v, where=w0 + w1 > 0)
+                parts.append((targets[some][t], x, y, v))
+        columns = [np.concatenate(c) for c in zip(*parts)] or [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        z, x, y, v = columns
+        return pa.table({"z": z, "x": x, "y": y, "v": pa.array(v, mask=np.isnan(v))})
+
+    return paint
+
+
 def render(
-    pixels: DataFrame, lut: DataFrame, grid: Grid, width: int, height: int, sections: int, scale: int = 1
+    pixels: DataFrame,
+    lut: DataFrame,
+    grid: Grid,
+    width: int,
+    height: int,
+    sections: int,
+    scale: int = 1,
+    step: int = STEP,
+    tile: int = TILE,
 ) -> DataFrame:
     """The stack resampled at the positions of a backward coordinate table.
 
     Targets none of whose source sections exist are dropped.
+
+    Target pixels are made late: what is sent to the pixels of a (z chunk, tile) are
+    lattice cells, a row each, and their pixels come into being where the sources are.
+    Source pixels are shuffled once, with a halo of one section, and chunks that many
+    targets read are split into parts (see ``chunk_copies``).
     """
-    # Small beside the pixels, and read several times below.
-    lut = materialize(lut.select("bx", "by", "z", "c"), "positions")
-    have = pixels.select(F.col("z").alias("source")).distinct()
-    needed = required_sections(upsample_lut(lut, grid, width, height, scale))
-    kept = needed.join(have, "source", "left_semi").select(F.col("target").alias("z")).distinct()
-    # Dropping targets here keeps the rendered pixels out of that join.
-    coords = upsample_lut(lut.join(kept, "z", "left_semi"), grid, width, height, scale)
-    return resample(pixels, coords, sections, copies=chunk_copies(lut, sections))
+    cells = materialize(lattice_cells(lut.select("bx", "by", "z", "c")), "cells")
+    blocks = cells.select("z", F.col("c00").alias("c"))
+    rows = blocks.count()
+    have = pixels.select(F.col("z").alias("source")).where(F.col("z").between(-1, sections)).distinct()
+    kept = kept_targets(cells, _checked(have, sections + 2), grid, width, height, scale, rows)
+    copies = _checked(chunk_copies(blocks, sections, step), -(-sections // step))
+    asked = routed_cells(cells.join(_checked(kept, rows), "z", "left_semi"), grid, width, height, sections, scale, step, tile)
+    asked = asked.join(copies, "chunk", "left").withColumn("part", F.col("z") % F.coalesce("copies", F.lit(1)))
+    last = F.coalesce("copies", F.lit(1)) - 1
+    given = with_halo(pixels.select("z", "x", "y", "v").where(F.col("z").between(0, sections - 1)), step, after=1)
+    given = given.join(copies, "chunk", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    paint = _paint_kernel(grid, sections, scale, step, tile)
+    return (
+        _keyed(given, tile)
+        .select(*GROUP, "z", "x", "y", "v")
+        .groupBy(*GROUP)
+        .cogroup(asked.select(*GROUP, "z", "i", "j", *CORNERS, "x0", "x1", "y0", "y1").groupBy(*GROUP))
+        .applyInArrow(paint, "z bigint, x bigint, y bigint, v double")
+    )
 
 
 def transform_roundtrip(
