@@ -216,12 +216,13 @@ def section_ncc(spark, d):
 
 @query
 def pair_moments(spark, d):
-    return r6(similarity.pair_moments(fx.emb(spark, d), REACH, (4, 4)), *MOMENTS[1:])
+    moments = similarity.pair_moments(fx.emb(spark, d), REACH, (4, 4))
+    return r6(moments.select("tx", "ty", "z1", "z2", *MOMENTS), *MOMENTS[1:])
 
 
 @query
 def tiled_ncc(spark, d):
-    return r6(similarity.tiled_ncc(similarity.pair_moments(fx.emb(spark, d), REACH, (4, 4))), "s")
+    return r6(similarity.tiled_ncc(similarity.pair_moments(fx.emb(spark, d), REACH, (4, 4)), (2, 2)), "s")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -62,6 +63,20 @@ def member_range(axis: str, grid: Grid, closed: bool = False) -> tuple[Column, C
     return first, last
 
 
+def cell_origin(axis: str, grids: Sequence[Grid]) -> Column:
+    """First coordinate of the stretch of ``axis`` that no window border of any grid cuts.
+
+    Windows begin at multiples of a grid's step and end two radii later, so the last
+    border at or before a pixel follows from its coordinate alone.
+    """
+    borders = [F.lit(0).cast("bigint")]
+    for grid in grids:
+        _, radius, step, _ = grid.axis(axis)
+        borders.append(F.expr(f"{axis} div {step} * {step}"))
+        borders.append(F.expr(f"CASE WHEN {axis} >= {2 * radius} THEN ({axis} - {2 * radius}) div {step} * {step} + {2 * radius} ELSE 0L END"))
+    return F.greatest(*borders)
+
+
 def explode_range(first: Column, last: Column) -> Column:
     """explode(first..last), giving no row for an empty range.
 

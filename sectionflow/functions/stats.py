@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOMENTS = ("n", "sa", "saa", "sb", "sbb", "sab")
 
-# Variance below this share of the mean square is what summing leaves of a constant.
-FLAT = 1e-13
+# Centred moments: pairs counted, means, sums of squares and of products about the means.
+CENTRED = ("n", "ma", "mb", "qa", "qb", "cab")
+
+# Square of the relative spacing of doubles, rounded up generously: what is left of a constant.
+TINY = 1e-24
 
 
 def present(value: Column) -> Column:
@@ -31,17 +36,65 @@ def moment_aggs(a: str = "a", b: str = "b") -> list[Column]:
     ]
 
 
-def merge_aggs() -> list[Column]:
-    """Sum already accumulated moments."""
-    return [F.sum(c).alias(c) for c in MOMENTS]
+def centred_aggs(a: str = "a", b: str = "b") -> list[Column]:
+    """``CENTRED`` over rows where both sides are present; a large offset does not cancel."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    one, two = (F.when(both, F.col(c)) for c in (a, b))
+    n = F.count(F.when(both, F.lit(1)))
+    none = F.lit(0.0)
+    return [
+        n.alias("n"),
+        F.coalesce(F.avg(one), none).alias("ma"),
+        F.coalesce(F.avg(two), none).alias("mb"),
+        F.coalesce(F.var_pop(one) * n, none).alias("qa"),
+        F.coalesce(F.var_pop(two) * n, none).alias("qb"),
+        F.coalesce(F.covar_pop(a, b) * n, none).alias("cab"),
+    ]
+
+
+def _joined(one: Column, two: Column) -> Column:
+    """Two sets of centred moments as one, by the distances of their means."""
+    n = one["n"] + two["n"]
+    share = F.when(n > 0, two["n"] / n).otherwise(0.0)
+    da, db, both = two["ma"] - one["ma"], two["mb"] - one["mb"], one["n"] * share
+    return F.struct(
+        n.alias("n"),
+        (one["ma"] + da * share).alias("ma"),
+        (one["mb"] + db * share).alias("mb"),
+        (one["qa"] + two["qa"] + da * da * both).alias("qa"),
+        (one["qb"] + two["qb"] + db * db * both).alias("qb"),
+        (one["cab"] + two["cab"] + da * db * both).alias("cab"),
+    )
+
+
+def merge_centred(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``CENTRED`` of all rows of a key, which must be few: they are merged one by one."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), *(F.lit(0.0).alias(c) for c in CENTRED[1:]))
+    found = rows.groupBy(*keys).agg(F.collect_list(F.struct(*CENTRED)).alias("_parts"))
+    return found.select(*keys, F.aggregate("_parts", zero, _joined).alias("_m")).select(*keys, "_m.*")
+
+
+def merge_centred_tree(
+    rows: DataFrame, keys: Sequence[str], place: tuple[str, str], side: int, span: tuple[int, int]
+) -> DataFrame:
+    """``CENTRED`` of the rows of a key that are spread over an area of ``span`` positions.
+
+    ``place`` names the columns with a row's position.  Squares of ``side`` positions are
+    merged first, then eight by eight squares at a time, so that no group grows with
+    the area.
+    """
+    while max(span) > side:
+        square = [F.expr(f"{c} div {side} * {side}").alias(c) for c in place]
+        rows = merge_centred(rows.select(*keys, *CENTRED, *square), [*keys, *place])
+        side *= 8
+    return merge_centred(rows, keys)
 
 
 def ncc() -> Column:
-    """Pearson correlation from moment columns; NULL when a side does not vary."""
-    n, sa, saa, sb, sbb, sab = (F.col(c) for c in MOMENTS)
-    va, vb = n * saa - sa * sa, n * sbb - sb * sb
-    varies = (va > FLAT * n * saa) & (vb > FLAT * n * sbb)
-    return F.when(varies, (n * sab - sa * sb) / F.sqrt(va) / F.sqrt(vb))
+    """Pearson correlation from ``CENTRED`` columns; NULL when a side does not vary."""
+    n, ma, mb, qa, qb, cab = (F.col(c) for c in CENTRED)
+    varies = (qa > TINY * n * ma * ma) & (qb > TINY * n * mb * mb)
+    return F.when(varies, cab / F.sqrt(qa) / F.sqrt(qb))
 
 
 def centred_ncc(a: str = "a", b: str = "b") -> Column:
@@ -52,8 +105,7 @@ def centred_ncc(a: str = "a", b: str = "b") -> Column:
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     va, vb = (F.var_pop(F.when(both, F.col(c))) for c in (a, b))
     ma, mb = (F.avg(F.when(both, F.col(c))) for c in (a, b))
-    tiny = 1e-24  # square of the relative spacing of doubles, rounded up generously
-    varies = (va > tiny * ma * ma) & (vb > tiny * mb * mb)
+    varies = (va > TINY * ma * ma) & (vb > TINY * mb * mb)
     return F.when(varies, F.covar_pop(a, b) / F.sqrt(va) / F.sqrt(vb))
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectionflow.functions.grid import Grid
-from sectionflow.functions.stats import MOMENTS, centred_ncc, merge_aggs, moment_aggs, ncc
+from sectionflow.functions.grid import Grid, cell_origin
+from sectionflow.functions.stats import CENTRED, centred_aggs, centred_ncc, merge_centred_tree, moment_aggs, ncc
 from sectionflow.operators.grid import CELL, block_sections, cells_to_blocks, with_cell
 from sectionflow.operators.pairs import TILE, band_join, default_step, pairs_in_chunks, tiled_chunks
 
@@ -29,88 +30,151 @@ def section_ncc(pixels: DataFrame, reach: int) -> DataFrame:
 
 
 def pair_moments(pixels: DataFrame, reach: int, tile: tuple[int, int]) -> DataFrame:
-    """Mergeable moments per image tile and section pair."""
-    return (
-        band_join(pixels, reach)
-        .groupBy(F.expr(f"x div {tile[0]}").alias("tx"), F.expr(f"y div {tile[1]}").alias("ty"), *PAIR)
-        .agg(*moment_aggs())
-    )
+    """Moments per image tile and section pair: plain sums, and centred ones, which merge without cancelling."""
+    keys = F.expr(f"x div {tile[0]}").alias("tx"), F.expr(f"y div {tile[1]}").alias("ty")
+    return band_join(pixels, reach).groupBy(*keys, *PAIR).agg(*moment_aggs(), *centred_aggs()[1:])
+
 
+def tiled_ncc(moments: DataFrame, tiles: tuple[int, int] | None = None) -> DataFrame:
+    """Whole-section correlation from tile moments; ``tiles`` across and down, looked up if not given."""
+    if tiles is None:
+        tiles = tuple((n or 0) + 1 for n in moments.agg(F.max("tx"), F.max("ty")).first())
+    merged = merge_centred_tree(moments, PAIR, ("tx", "ty"), 8, tiles)
+    return merged.select(*PAIR, "n", ncc().alias("s"))
 
-def tiled_ncc(moments: DataFrame) -> DataFrame:
-    """Whole-section correlation from tile moments."""
-    return moments.groupBy(*PAIR).agg(*merge_aggs()).select(*PAIR, "n", ncc().alias("s"))
 
+ORIGIN = ("x", "y")
 
-def block_moments(chunked: DataFrame, grid: Grid, reach: int, step: int) -> DataFrame:
-    """Partial moments per block and pair, from built-in expressions only.
 
-    ``chunked`` comes from ``tiled_chunks`` with the same or a larger reach.
-    Sums are taken per atomic cell first, so overlap between blocks repeats small
-    moment rows, never pixels.
+def cell_moments(chunked: DataFrame, grids: Sequence[Grid], reach: int, step: int) -> DataFrame:
+    """Centred moments of every cell and pair: (tx, ty, x, y, z1, z2, ``CENTRED``), built-in expressions only.
+
+    A cell is what no border of a block of any of the ``grids`` cuts, so it lies wholly
+    inside or outside of each block; x, y is its first pixel.  Blocks are merged from
+    cells, so pixels are paired once for any number of grids.  ``chunked`` comes from
+    ``tiled_chunks`` with the same or a larger reach.
     """
-    tagged = with_cell(chunked.where("v IS NOT NULL"), grid)
-    pairs = with_cell(pairs_in_chunks(tagged, reach, step), grid)
-    return cells_to_blocks(pairs.groupBy(*CELL, *PAIR).agg(*moment_aggs()))
+    pairs = pairs_in_chunks(chunked.where("v IS NOT NULL"), reach, step)
+    tile = [F.expr(f"{c} div {TILE}").alias(t) for c, t in (("x", "tx"), ("y", "ty"))]
+    origin = [cell_origin(c, grids).alias(c) for c in ORIGIN]
+    return pairs.select("z1", "z2", "a", "b", *tile, *origin).groupBy("tx", "ty", *ORIGIN, *PAIR).agg(*centred_aggs())
 
 
-def block_moments_packed(chunked: DataFrame, grid: Grid, reach: int, step: int) -> DataFrame:
-    """The same moments from matrix products inside each (chunk, tile) group.
+def cell_moments_packed(chunked: DataFrame, grids: Sequence[Grid], reach: int, step: int) -> DataFrame:
+    """The same from matrix products, as arrays over the pairs: a row for a cell of a (chunk, tile) group.
 
-    Pixel columns of a group become a sections x pixels matrix; one product per
-    atomic cell replaces a row per pixel pair, and cells are added up to blocks
-    before anything leaves the group.  Groups are bounded by chunk and tile size;
-    blocks cut by a tile border are merged by the aggregate that follows.
+    The pixels of a group's cell become a sections x pixels matrix; one product replaces
+    a row per pixel pair.  Values are taken relative to their section's mean in the
+    cell, so an offset does not cancel.  Groups are bounded by chunk and tile size.
     """
-    tagged = with_cell(chunked.where("v IS NOT NULL"), grid)
-    names = ["bx", "by", *PAIR, *MOMENTS]
+    origin = {f"o{c}": cell_origin(c, grids) for c in ORIGIN}
+    tagged = chunked.where("v IS NOT NULL").withColumns(origin)
+    names = ["tx", "ty", *ORIGIN, *PAIR, *CENTRED]
 
     def banded(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(pdf["chunk"].iat[0]) * step
+        chunk, tx, ty = (int(pdf[c].iat[0]) for c in ("chunk", "tx", "ty"))
         zs, zi = np.unique(pdf["z"].to_numpy(), return_inverse=True)
         gap = zs[:, None] - zs[None, :]
-        hi, lo = np.nonzero((gap > 0) & (gap <= reach) & (zs[:, None] >= first))
-        blocks: dict[tuple[int, int], np.ndarray] = {}
-        for (lx, hx, ly, hy), rows in pdf.groupby(list(CELL), sort=False).indices.items():
+        hi, lo = np.nonzero((gap > 0) & (gap <= reach) & (zs[:, None] >= chunk * step))
+        out: list[list] = []
+        for (x, y), rows in pdf.groupby(["ox", "oy"], sort=False).indices.items():
             part = pdf.iloc[rows]
             _, pi = np.unique(part["x"].to_numpy() * 2**31 + part["y"].to_numpy(), return_inverse=True)
-            vals = np.zeros((len(zs), pi.max() + 1))
-            mask = np.zeros_like(vals)
-            vals[zi[rows], pi] = part["v"].to_numpy()
+            mask = np.zeros((len(zs), pi.max() + 1))
             mask[zi[rows], pi] = 1.0
-            sq = vals * vals
-            products = (mask @ mask.T, vals @ mask.T, sq @ mask.T, mask @ vals.T, mask @ sq.T, vals @ vals.T)
-            sums = np.stack([p[hi, lo] for p in products])
-            for by in range(ly, hy + 1):
-                for bx in range(lx, hx + 1):
-                    seen = blocks.get((bx, by))
-                    blocks[bx, by] = sums.copy() if seen is None else np.add(seen, sums, out=seen)
-        if not blocks or not len(hi):
-            return pd.DataFrame(columns=names)
-        at = np.array(list(blocks))
-        sums = np.concatenate(list(blocks.values()), axis=1)
-        out = pd.DataFrame(dict(zip(MOMENTS, sums, strict=True)))
-        out["bx"], out["by"] = np.repeat(at[:, 0], len(hi)), np.repeat(at[:, 1], len(hi))
-        out["z1"], out["z2"] = np.tile(zs[hi], len(at)), np.tile(zs[lo], len(at))
-        out = out[out["n"] > 0]
-        return out.assign(n=out["n"].round().astype("int64"))[names]
-
-    ints = ", ".join(f"{c} bigint" for c in ("bx", "by", *PAIR, "n"))
-    reals = ", ".join(f"{c} double" for c in MOMENTS[1:])
-    return tagged.groupBy("chunk", "tx", "ty").applyInPandas(banded, f"{ints}, {reals}")
-
-
-def block_similarity(moments: DataFrame) -> DataFrame:
-    """sim(bx, by, z1, z2, n, s) from partial block moments."""
+            seen = np.maximum(mask.sum(axis=1), 1.0)
+            near = np.zeros_like(mask)
+            near[zi[rows], pi] = part["v"].to_numpy()
+            mean = near.sum(axis=1) / seen
+            near = (near - mean[:, None]) * mask
+            rest = near.sum(axis=1) / seen  # what rounding left of the mean
+            near, mean = (near - rest[:, None]) * mask, mean + rest
+            square = near * near
+            products = mask @ mask.T, near @ mask.T, square @ mask.T, near @ near.T
+            n, sums, squares = (p[hi, lo] for p in products[:3])
+            other, other_squares, both = (p[lo, hi] for p in products[1:])
+            n = np.where(n > 0, n, np.nan)
+            qa, qb = np.maximum(squares - sums * sums / n, 0.0), np.maximum(other_squares - other * other / n, 0.0)
+            held = np.stack([n, mean[hi] + sums / n, mean[lo] + other / n, qa, qb, both - sums * other / n])
+            kept = ~np.isnan(n)
+            if kept.any():
+                pairs = zs[hi][kept], zs[lo][kept], held[0, kept].round().astype(np.int64)
+                out.append([tx, ty, x, y, *pairs, *held[1:, kept]])
+        return pd.DataFrame(out, columns=names)
+
+    ints = ", ".join(f"{c} array<bigint>" for c in (*PAIR, "n"))
+    reals = ", ".join(f"{c} array<double>" for c in CENTRED[1:])
+    schema = f"tx bigint, ty bigint, x bigint, y bigint, {ints}, {reals}"
+    return tagged.groupBy("chunk", "tx", "ty").applyInPandas(banded, schema)
+
+
+def block_pieces(cells: DataFrame, grid: Grid, reach: int) -> DataFrame:
+    """Partial moments (bx, by, x, y, z1, z2, ``CENTRED``) of the blocks from the moments of their cells.
+
+    Rows of ``cell_moments`` are repeated for every block of the cell; those of
+    ``cell_moments_packed`` are merged to blocks as they are read, tile by tile, and x, y
+    is then the tile's first pixel.
+    """
+    tagged = with_cell(cells, grid)
+    if dict(cells.dtypes)["n"] == "bigint":
+        near = tagged.where((F.col("z1") - F.col("z2") <= reach) & (F.col("n") > 0))
+        return cells_to_blocks(near).select("bx", "by", *ORIGIN, *PAIR, *CENTRED)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks: dict[tuple, np.ndarray] = {}
+            keys = zip(*(batch.column(c).to_pylist() for c in ("tx", "ty", *CELL)))
+            for i, (tx, ty, lx, hx, ly, hy) in enumerate(keys):
+                z1, z2, *values = (batch.column(c)[i].values.to_numpy() for c in (*PAIR, *CENTRED))
+                one = np.stack([z1, z2, *values]).astype(np.float64)
+                one = one[:, z1 - z2 <= reach]
+                for at in ((bx, by, tx, ty) for bx in range(lx, hx + 1) for by in range(ly, hy + 1)):
+                    blocks[at] = _joined_arrays(blocks[at], one) if at in blocks else one
+            if not blocks:
+                continue
+            sizes = [b.shape[1] for b in blocks.values()]
+            at = np.repeat(np.array(list(blocks), np.int64), sizes, axis=0)
+            held = np.concatenate(list(blocks.values()), axis=1)
+            columns = [at[:, 0], at[:, 1], at[:, 2] * TILE, at[:, 3] * TILE, *held[:3].round().astype(np.int64), *held[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bx", "by", *ORIGIN, *PAIR, *CENTRED])
+
+    ints = ", ".join(f"{c} bigint" for c in ("bx", "by", *ORIGIN, *PAIR, "n"))
+    return tagged.mapInArrow(pieces, f"{ints}, " + ", ".join(f"{c} double" for c in CENTRED[1:]))
+
+
+def _joined_arrays(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Moments (z1, z2, ``CENTRED``) of the pairs of either, merged where both have a pair."""
+    if one.shape != two.shape or (one[:2] != two[:2]).any():
+        pairs, at = np.unique(np.concatenate([one[:2], two[:2]], axis=1), axis=1, return_inverse=True)
+        spread = []
+        for part, own in ((one, at[: one.shape[1]]), (two, at[one.shape[1] :])):
+            wide = np.zeros((len(part), pairs.shape[1]))
+            wide[:2] = pairs
+            wide[2:, own] = part[2:]
+            spread.append(wide)
+        one, two = spread
+    n = one[2] + two[2]
+    share = two[2] / n
+    da, db, both = two[3] - one[3], two[4] - one[4], one[2] * share
+    distance = np.stack([da * share, db * share, da * da * both, db * db * both, da * db * both])
+    means, rest = one[3:5], one[5:] + two[5:]
+    return np.concatenate([one[:2], n[None], np.concatenate([means, rest]) + distance])
+
+
+def block_similarity(pieces: DataFrame, grid: Grid) -> DataFrame:
+    """sim(bx, by, z1, z2, n, s) from ``block_pieces``."""
     keys = ["bx", "by", *PAIR]
-    return moments.groupBy(*keys).agg(*merge_aggs()).select(*keys, "n", ncc().alias("s"))
+    span = tuple(2 * r for r in grid.radius)
+    merged = merge_centred_tree(pieces, keys, ORIGIN, 2 * TILE, span)
+    return merged.select(*keys, "n", ncc().alias("s"))
 
 
 def block_ncc(pixels: DataFrame, grid: Grid, reach: int, packed: bool = False, tile: int = TILE) -> DataFrame:
     """Correlation of every block of every section pair within reach."""
     step = default_step(reach)
     chunked = tiled_chunks(pixels.where("v IS NOT NULL"), reach, step, tile)
-    return block_similarity((block_moments_packed if packed else block_moments)(chunked, grid, reach, step))
+    cells = (cell_moments_packed if packed else cell_moments)(chunked, [grid], reach, step)
+    return block_similarity(block_pieces(cells, grid, reach), grid)
 
 
 def block_pair_map(sim: DataFrame) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from sectionflow.functions.chunks import with_halo
 from sectionflow.functions.grid import Grid
+from sectionflow.functions.stats import TINY
 from sectionflow.operators.grid import CELL, cells_to_blocks, with_cell
 from sectionflow.operators.pairs import default_step
 
 TILE = 32
+ROUNDING = 1e-14  # of a tile's squares that running sums may be off, for each root of two counts
 
 
 def _moved(a: np.ndarray, dx: int, dy: int) -> np.ndarray:
@@ -26,10 +28,17 @@ def _moved(a: np.ndarray, dx: int, dy: int) -> np.ndarray:
     return out
 
 
+def _window_sums(a: np.ndarray, r: int, axis: int) -> np.ndarray:
+    """Sums over closed windows of radius ``r`` along an axis, as differences of running sums."""
+    n = a.shape[axis]
+    total = np.concatenate([np.zeros_like(a.take([0], axis)), np.cumsum(a, axis)], axis)
+    at = np.arange(n)
+    return total.take(np.minimum(at + r + 1, n), axis) - total.take(np.maximum(at - r, 0), axis)
+
+
 def _box(a: np.ndarray, rx: int, ry: int) -> np.ndarray:
-    """Sums over closed windows of the given radii."""
-    across = sum(_moved(a, d, 0) for d in range(-rx, rx + 1))
-    return sum(_moved(across, 0, d) for d in range(-ry, ry + 1))
+    """Sums over closed windows of the given radii; the cost does not depend on them."""
+    return _window_sums(_window_sums(a, rx, -1), ry, -2)
 
 
 class _Tile:
@@ -48,6 +57,14 @@ class _Tile:
         self.values[at] = np.nan_to_num(v)
         self.mask[at] = ~np.isnan(v)
         self.exists[at] = True
+        # Correlation does not change when a section's mean goes, and sums do not cancel then.
+        seen = np.maximum(self.mask.sum(axis=(1, 2), keepdims=True), 1.0)
+        size = np.abs(self.values).sum(axis=(1, 2), keepdims=True) / seen
+        for _ in range(2):  # again for what rounding left
+            self.values = (self.values - self.values.sum(axis=(1, 2), keepdims=True) / seen) * self.mask
+        # Of a variance below this only rounding is left, in the values or in the running sums.
+        squares = (self.values**2).sum(axis=(1, 2), keepdims=True)
+        self.floor = ROUNDING * np.sqrt(seen) * squares + TINY * size**2
 
 
 def _best_scores(
@@ -76,7 +93,8 @@ def _best_scores(
                 allowed = np.outer(
                     fits_y(tile.y) & fits_y(tile.y + dy), fits_x(tile.x) & fits_x(tile.x + dx)
                 )
-                good = (va > 0) & (vb > 0) & allowed
+                root = np.sqrt(n)
+                good = (va > root * tile.floor[hi]) & (vb > root * tile.floor[lo]) & allowed
                 top = n * _box(a * b[lo], rx, ry) - sa * sb
                 va, vb = np.where(good, va, 1.0), np.where(good, vb, 1.0)
                 best = np.maximum(best, np.where(good, top / np.sqrt(va) / np.sqrt(vb), 0.0))

@@ -6,7 +6,6 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +25,10 @@ from sectionflow.operators.render import render, warp_matrix
 from sectionflow.operators.repair import fill_lut, invert_lut
 from sectionflow.operators.similarity import (
     MatrixStrategy,
-    block_moments,
-    block_moments_packed,
+    block_pieces,
     block_similarity,
+    cell_moments,
+    cell_moments_packed,
     similarity_matrix,
 )
 from sectionflow.operators.tolerant import tolerant_strategy
@@ -76,29 +76,32 @@ def estimate_stages(
     and ``transfer`` the way coordinates pass from one grid to the next.  Without it
     a stage with offsets or a correlation window of its own uses the tolerant one.
 
-    The stack is shuffled once, by (z chunk with halo, tile), and reused by every
-    stage.  With ``target`` the results are also written there, one folder per
-    stage.
+    Pixels are shuffled and paired once, for the moments of the cells that the borders of
+    all stages' blocks leave; these are written, and a stage merges its blocks from them.
+    Only stages with a similarity of their own read pixels again.  With ``target`` the
+    results are also written there, one folder per stage.
     """
     spark = pixels.sparkSession
-    reach = max(s.infer.comparison_range for s in stages)
-    step = max(join_step, default_step(reach))
-    # Sorted once as both ways of pairing need it, so no stage sorts or shuffles pixels.
-    chunked = tiled_chunks(pixels.where("v IS NOT NULL"), reach, step)
-    chunked = chunked.sortWithinPartitions("chunk", "tx", "ty", "x", "y", "z").persist(StorageLevel.MEMORY_AND_DISK)
-    moments = block_moments_packed if packed else block_moments
+    grids = [Grid(width, height, stage.radii, stage.steps) for stage in stages]
+    for number, grid in enumerate(grids):
+        if grid.size == 0:
+            raise ValueError(f"stage {number}: radius {grid.radius} leaves no block in {width} x {height}")
+    owns = [strategy or stage_strategy(stage) for stage in stages]
+    paired = [(g, s.infer.comparison_range) for g, s, own in zip(grids, stages, owns, strict=True) if not own]
+    if paired:
+        reach = max(r for _, r in paired)
+        step = max(join_step, default_step(reach))
+        moments = cell_moments_packed if packed else cell_moments
+        chunked = tiled_chunks(pixels.where("v IS NOT NULL"), reach, step)
+        cells = materialize(moments(chunked, [g for g, _ in paired], reach, step), "cells")
     coords, before = init_coords(spark, sections), None
     results: list[StageResult] = []
-    for number, stage in enumerate(stages):
+    for number, (stage, grid, own) in enumerate(zip(stages, grids, owns, strict=True)):
         began = time.monotonic()
-        grid = Grid(width, height, stage.radii, stage.steps)
-        if grid.size == 0:
-            raise ValueError(f"stage {number}: radius {stage.radii} leaves no block in {width} x {height}")
         if before is not None:
             coords = transfer(coords, grid_mapping(spark, grid, before))
         near = stage.infer.comparison_range
-        own = strategy or stage_strategy(stage)
-        sim = own(pixels, grid, near) if own else block_similarity(moments(chunked, grid, near, step))
+        sim = own(pixels, grid, near) if own else block_similarity(block_pieces(cells, grid, near), grid)
         sim = materialize(sim, "sim")
         gate = quality_gate(sim, grid, sections, near)
         found = infer_coords(
@@ -120,7 +123,6 @@ def estimate_stages(
         if target:
             write_stage(results[-1], stage, number, sections, target)
         before = grid
-    chunked.unpersist()
     return results
 
 
