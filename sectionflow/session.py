@@ -41,15 +41,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/sectionflow/{app}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A result written to the scratch folder and read back, and its folder."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a result to the scratch folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives the planner real sizes.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, label)[0]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -179,3 +179,25 @@ def test_settling_in_small_chunks(spark):
     for step in (1, 7, 4096):
         got = infer._settle(state, replace(BASE, min_thickness=0.1), step)
         assert np.abs(np.array([r[3] for r in rows(got, "z")]) - want).max() < 1e-9
+
+
+@pytest.mark.parametrize("reorder", [False, True])
+def test_one_table_a_round_and_earlier_ones_deleted(spark, noisy, reorder):
+    from pathlib import Path
+
+    from sectionflow.session import scratch_dir
+
+    folder = Path(scratch_dir(spark)) / "sectionflow" / spark.sparkContext.applicationId
+
+    def left():
+        return set(folder.glob("coordinates-*"))
+
+    sim, lut = tables(spark, noisy, range(N))
+    options = replace(BASE, iterations=4, reorder=reorder)
+    before = left()
+    got = infer.infer_coords(sim, lut, options)
+    assert len(left() - before) == 1  # the last one, which the result reads
+    assert got.where("c IS NULL").count() == 0
+    before = left()
+    infer.infer_trace(sim, lut, options).count()
+    assert len(left() - before) == options.iterations + 1
