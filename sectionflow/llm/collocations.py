@@ -26,6 +26,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ from sectionflow.llm.common import ship
 from sectionflow.session import materialize
 
 UNKNOWN = "und"
-BLOCK_BYTES = 4 << 20  # text whose phrases are counted at once; a longer text is a block
-HELD_KEYS = 3_000_000  # different keys a task holds before it hands their counts on
+BLOCK_BYTES = 1 << 20  # text whose phrases are counted at once; a longer text is cut between words
+HELD_KEYS = 1_500_000  # different keys a task holds before it hands their counts on
 PART_MASS = 4_000_000  # phrases, repeats included, of a partition, about
 MOST_PARTS = 1 << 20
 SPARE = 4  # capacity of a summary, in multiples of the least that is right
@@ -60,6 +61,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 _KIND = np.zeros(256, np.uint8)  # 0 inside a word, 1 blank, 2 break
 _KIND[list(BLANKS)], _KIND[list(BREAKS)] = 1, 2
+_GAP = re.compile(b"[" + re.escape(BREAKS + BLANKS) + b"]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _OF_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _A)
@@ -78,16 +80,20 @@ class Powers:
 
 
 class Block:
-    """The words of some texts: where they are, their hashes and pieces, and keys of their phrases."""
+    """The words of some texts: where they are, their hashes and pieces, and keys of their phrases.
 
-    def __init__(self, texts: list[bytes], seeds: list[int], powers: Powers):
+    Phrases that end within the first ``old`` words are those of the block before.
+    """
+
+    def __init__(self, texts: list[bytes], seeds: list[int], powers: Powers, old: int = 0):
+        self.old = old
         joined = b"\n".join(texts)  # a text ends like a piece
         data = _LOWER[np.frombuffer(joined, np.uint8)]
         kind = _KIND[data]
         word = np.r_[False, kind == 0, False]
         edges = np.flatnonzero(word[1:] != word[:-1])
         self.begins, self.ends = edges[::2], edges[1::2]
-        self.data = data.tobytes()
+        self.data = data
         breaks = np.cumsum(kind == 2)
         self.piece = breaks[self.begins] if len(self.begins) else np.zeros(0, np.int64)
         powers.grow(len(data) + 1)
@@ -106,34 +112,63 @@ class Block:
                 return
             key = _mixed((key[:n] ^ self.hashes[size - 1 :]) * _A + np.uint64(size))
             first = np.flatnonzero(self.piece[:n] == self.piece[size - 1 :])
+            first = first[first + size > self.old]
             yield size, key[first], first
 
-    def phrase(self, first: int, size: int) -> bytes:
-        words = (self.data[a:b] for a, b in zip(self.begins[first : first + size], self.ends[first : first + size]))
-        return b" ".join(words)
+    def phrases(self, first: np.ndarray, size: int) -> pa.StringArray:
+        """The phrases of ``size`` words that begin at the words ``first``, a space between words."""
+        lengths = self.ends - self.begins
+        starts = np.cumsum(lengths + 1) - lengths - 1  # in a text with one space after each word
+        spaced = np.full(int((lengths + 1).sum()), ord(" "), np.uint8)
+        spaced[_ranges(starts, lengths)] = self.data[_ranges(self.begins, lengths)]
+        sizes = starts[first + size - 1] + lengths[first + size - 1] - starts[first]
+        offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        content = spaced[_ranges(starts[first], sizes)]
+        return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(content))
+
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
-def blocks(batches: Iterable[pa.RecordBatch], powers: Powers) -> Iterator[tuple[list[str], Block]]:
-    """Blocks of the texts and their languages."""
+
+def blocks(batches: Iterable[pa.RecordBatch], longest: int) -> Iterator[tuple[list[str], Block]]:
+    """Blocks of the texts and the languages of these; phrases have up to ``longest`` words."""
+    powers = Powers()
     texts: list[bytes] = []
     langs: list[str] = []
     size = 0
-
-    def made() -> tuple[list[str], Block]:
-        seeds = {x: xxhash.xxh64_intdigest(x) for x in set(langs)}
-        return langs, Block(texts, [seeds[x] for x in langs], powers)
-
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
             content = text.as_py() or b""
+            if len(content) > BLOCK_BYTES:
+                yield from _cut_text(content, lang, powers, longest)
+                continue
             texts.append(content)
             langs.append(lang)
             size += len(content)
             if size >= BLOCK_BYTES:
-                yield made()
+                yield langs, Block(texts, _seeds(langs), powers)
                 texts, langs, size = [], [], 0
     if texts:
-        yield made()
+        yield langs, Block(texts, _seeds(langs), powers)
+
+
+def _seeds(langs: list[str]) -> list[int]:
+    known = {x: xxhash.xxh64_intdigest(x) for x in set(langs)}
+    return [known[x] for x in langs]
+
+
+def _cut_text(text: bytes, lang: str, powers: Powers, longest: int) -> Iterator[tuple[list[str], Block]]:
+    """Blocks of one long text; each begins with the last words of the one before, as phrases may go on."""
+    begin = end = old = 0
+    while end < len(text):
+        gap = _GAP.search(text, min(end + BLOCK_BYTES, len(text)))
+        end = gap.start() + 1 if gap else len(text)
+        block = Block([text[begin:end]], _seeds([lang]), powers, old)
+        yield [lang], block
+        old = min(longest - 1, len(block.begins))
+        begin = begin + int(block.begins[-old]) if old else end
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +231,7 @@ def partial_counts(docs: DataFrame, longest: int, parts: int) -> DataFrame:
     """Columns part, keys, counts: what each task has counted, a row for each partition and time it hands on."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, n = Powers(), [], 0
+        held, n = [], 0
 
         def handed() -> pa.RecordBatch:
             keys, counts = summed(*(np.concatenate(x) for x in zip(*held)))
@@ -206,7 +241,7 @@ def partial_counts(docs: DataFrame, longest: int, parts: int) -> DataFrame:
             columns = [pa.array(used, pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (0, 1))]
             return pa.RecordBatch.from_arrays(columns, ["part", "keys", "counts"])
 
-        for _, block in blocks(batches, powers):
+        for _, block in blocks(batches, longest):
             found = [keys for _, keys, _ in block.keys(longest)]
             if found:
                 held.append(np.unique(np.concatenate(found), return_counts=True))
@@ -252,27 +287,29 @@ def exact_counts(docs: DataFrame, longest: int, threshold: int) -> DataFrame:
     parts = int(min(MOST_PARTS, max(1, text_bytes * longest // 6 // PART_MASS)))
     stretch = max(8, min(STRETCH_BYTES, TABLE_BYTES // parts))
     table = np.zeros((parts, stretch), np.uint8)
-    for row in survivors(partial_counts(docs, longest, parts), threshold, stretch).toLocalIterator():
+    for row in survivors(partial_counts(docs, longest, parts), threshold, stretch).collect():
         table[row.part] = np.frombuffer(row.bits, np.uint8)
     shared = ship(spark, table)  # bounded by TABLE_BYTES
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, bits = Powers(), shared()
-        for langs, block in blocks(batches, powers):
-            rows: list[tuple] = []
-            words = np.bincount(block.text, minlength=len(langs))
+        bits = shared()
+
+        def batch(lang: pa.Array, size: int, phrases: pa.Array, n: Iterable[int]) -> pa.RecordBatch:
+            columns = [lang, pa.array(np.full(len(lang), size, np.int32)), phrases, pa.array(n, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "f"])
+
+        for langs, block in blocks(batches, longest):
             totals: dict[str, int] = {}
-            for lang, n in zip(langs, words.tolist()):
+            for lang, n in zip(langs, np.bincount(block.text[block.old :], minlength=len(langs)).tolist()):
                 totals[lang] = totals.get(lang, 0) + n
-            rows += [(lang, 0, "", n) for lang, n in totals.items()]
+            yield batch(pa.array(list(totals), pa.string()), 0, pa.array([""] * len(totals)), list(totals.values()))
+            names = pa.array(langs, pa.string())
             for size, keys, first in block.keys(longest):
                 at = bit_of(keys, stretch)
                 kept = bits[part_of(keys, parts), at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
                 _, spot, n = np.unique(keys[kept], return_index=True, return_counts=True)
-                for i, count in zip(first[kept][spot].tolist(), n.tolist()):
-                    rows.append((langs[block.text[i]], size, block.phrase(i, size).decode(), count))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "f"])
+                spot = first[kept][spot]
+                yield batch(names.take(pa.array(block.text[spot])), size, block.phrases(spot, size), n)
 
     found = _texts(docs).mapInArrow(kernel, "lang string, size int, phrase string, f long")
     counts = found.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
