@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from sectionflow.llm.common import ship
 from sectionflow.llm.token_counts import byte_letters
-from sectionflow.session import scratch_dir
+from sectionflow.session import materialize, scratch_dir
 
 WORDS = 100_000  # in the lexicon
 WORD_BYTES = 64  # longer words are not in it
@@ -357,7 +357,15 @@ def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = WORDS)
             ids = [merged(w.as_py().encode(), shared()) for w in batch.column("word")]
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    top = word_counts(docs, vocabulary).orderBy(F.desc("n"), "word").limit(words).select("word")
+    counts = materialize(word_counts(docs, vocabulary), "words")
+    # counts in some hundred classes tell how often a word must occur, so that not all words are sorted
+    classes = counts.groupBy(F.floor(8 * F.log2("n")).alias("class")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+    left, least = words, 1
+    for row in sorted(classes.collect(), reverse=True):
+        least, left = row.least, left - row.words
+        if left <= 0:
+            break
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words).select("word")
     rows = top.mapInArrow(kernel, "word string, ids array<int>").collect()
     return publish(spark, compiled({r.word.encode(): r.ids for r in rows}), "lexicon")
 
