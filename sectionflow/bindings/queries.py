@@ -412,7 +412,7 @@ def lut_to_images(spark, d):
 
 @query
 def fill_holes(spark, d):
-    return r6(repair.fill_holes(fx.li_full(spark, d)), "v")
+    return r6(repair.fill_holes(materialize(fx.li_full(spark, d), "cells")), "v")
 
 
 @query

@@ -13,6 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+SMALL = 1_000_000  # rows of a few numbers that every executor may hold
+
+
+def checked_broadcast(small: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table of at most ``rows`` narrow rows if that is few enough; else the planner joins it."""
+    return F.broadcast(small) if rows <= SMALL else small
 
 
 def with_halo(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectionflow.functions.chunks import CHUNK
+from sectionflow.functions.chunks import CHUNK, SMALL, checked_broadcast
 from sectionflow.functions.grid import Grid
 from sectionflow.functions.stats import weighted_mean
 from sectionflow.operators.grid import block_grid, block_sections, grid_translate
@@ -23,14 +23,29 @@ def init_coords(spark: SparkSession, sections: int) -> DataFrame:
 
 
 def grid_mapping(spark: SparkSession, new: Grid, old: Grid) -> DataFrame:
-    """map(bx, by, px, py): each new block's position in the old grid."""
-    return grid_translate(block_grid(spark, new), old).select("bx", "by", "px", "py")
+    """map(bx, by, px, py): each new block's position in the old grid, a row a block."""
+    return checked_broadcast(grid_translate(block_grid(spark, new), old).select("bx", "by", "px", "py"), new.size)
+
+
+def join_blocks(rows: DataFrame, blocks: DataFrame, grid: Grid, sections: int, how: str, step: int = CHUNK) -> DataFrame:
+    """Join (bx, by, z) rows, or pairs with z1, to a table with a row for each block of ``grid``.
+
+    A table of few blocks goes to every executor.  A larger one is repeated for every z
+    chunk, so that the rows of a block stay spread over its chunks.
+    """
+    if grid.size <= SMALL:
+        return rows.join(F.broadcast(blocks), list(BLOCK), how)
+    z = "z" if "z" in rows.columns else "z1"
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.lit(max(0, sections - 1) // step).cast("bigint"))
+    keyed = rows.withColumn("_chunk", F.expr(f"{z} div {step}"))
+    return keyed.join(blocks.withColumn("_chunk", F.explode(chunks)), [*BLOCK, "_chunk"], how).drop("_chunk")
 
 
 def interp_nearest(lut: DataFrame, mapping: DataFrame) -> DataFrame:
     """Take the old block nearest to each new one; off-grid blocks are dropped.
 
-    Halves round up, also below zero.
+    Halves round up, also below zero.  A mapping of few blocks is broadcast (see
+    ``grid_mapping``), so coordinates stay where they are.
     """
     nearest = mapping.select(
         "bx",

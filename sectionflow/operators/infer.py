@@ -454,16 +454,10 @@ def infer_coords(
             delete_path(sim.sparkSession, before)
         before = path
     final = state.select(*BLOCK, "z", F.col("c").alias("_c"))
-    enough = (
-        sim.where((F.col("z1") - F.col("z2") <= options.comparison_range) & F.col("s").isNotNull())
-        .groupBy(*BLOCK)
-        .agg(F.count(F.lit(1)).alias("_pairs"))
-        .where("_pairs >= 2")
-    )
+    usable = sim.where((F.col("z1") - F.col("z2") <= options.comparison_range) & F.col("s").isNotNull())
+    enough = usable.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_pairs")).where("_pairs >= 2")
     joined = lut.select(*BLOCK, "z").join(final, [*BLOCK, "z"], "left")
-    broken = joined.where("_c IS NULL OR isnan(_c)").select(*BLOCK).distinct().withColumn("_bad", F.lit(True))
-    return (
-        joined.join(broken, BLOCK, "left")
-        .join(enough, BLOCK, "left")
-        .select(*BLOCK, "z", F.when(F.col("_bad").isNull() & F.col("_pairs").isNotNull(), F.col("_c")).alias("c"))
-    )
+    # One table with a row for each block that has coordinates, tested once.
+    whole = joined.groupBy(*BLOCK).agg(F.max(F.col("_c").isNull() | F.isnan("_c")).alias("_bad"))
+    good = whole.where("NOT _bad").join(enough, BLOCK, "left_semi").select(*BLOCK, F.lit(True).alias("_good"))
+    return joined.join(good, BLOCK, "left").select(*BLOCK, "z", F.when(F.col("_good"), F.col("_c")).alias("c"))

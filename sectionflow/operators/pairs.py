@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectionflow.functions.chunks import owned, with_halo
+from sectionflow.functions.chunks import checked_broadcast, owned, with_halo
 
 TILE = 64
 
@@ -56,16 +56,40 @@ def band_join(pixels: DataFrame, reach: int, step: int | None = None, tile: int
     return chunk_halo(pixels, reach, step or default_step(reach), tile).drop("chunk")
 
 
-def pair_sections(pixels: DataFrame, lists: DataFrame) -> DataFrame:
+def routes(lists: DataFrame, step: int) -> tuple[DataFrame, DataFrame, int]:
+    """Where each section is needed, by (key chunk, partner chunk) of the listed pairs.
+
+    As a key, (z, ck, cp, wanted array): the partners it has in that chunk; as a partner,
+    (z, ck, cp).  Also the number of listed pairs, which bounds the rows of both.
+    """
+    pairs = lists.select(F.col("z").alias("k"), F.explode("partners").alias("p")).where("k IS NOT NULL AND p IS NOT NULL")
+    pairs = pairs.withColumns({"ck": F.expr(f"k div {step}"), "cp": F.expr(f"p div {step}")})
+    keys = pairs.groupBy(F.col("k").alias("z"), "ck", "cp").agg(F.collect_list("p").alias("wanted"))
+    partners = pairs.select(F.col("p").alias("z"), "ck", "cp").distinct()
+    listed = lists.agg(F.sum(F.size(F.coalesce("partners", F.array().cast("array<bigint>"))))).first()[0]
+    return keys, partners, listed or 0
+
+
+def pair_sections(pixels: DataFrame, lists: DataFrame, step: int = TILE, tile: int = TILE) -> DataFrame:
     """Self-join from a key list: ``lists(z, partners array)``.
 
-    Output (z1, z2) = (partner, key); partners that do not exist vanish.  The
-    second join is on the full pixel key, so a crowded section stays spread out.
+    Output (z1, z2) = (partner, key); partners that do not exist vanish.  A pixel is sent
+    once for each pair of chunks that the lists connect, to the group of its tile, as a
+    key and as a partner; what it is paired with is told by the lists inside the group.
+    No group holds more than two chunks of a tile, and no shuffle is by section.
     """
-    wanted = lists.select(F.col("z").alias("z2"), F.explode("partners").alias("z1"))
-    keyed = pixels.select(F.col("z").alias("z2"), "x", "y", F.col("v").alias("b")).join(wanted, "z2")
-    other = pixels.select(F.col("z").alias("z1"), "x", "y", F.col("v").alias("a"))
-    return keyed.join(other, ["z1", "x", "y"]).select("z1", "z2", "x", "y", "a", "b")
+    keys, partners, listed = routes(lists, step)
+    group = ["ck", "cp", "tx", "ty"]
+
+    def sent(to: DataFrame) -> DataFrame:
+        tiles = F.expr(f"x div {tile}").alias("tx"), F.expr(f"y div {tile}").alias("ty")
+        rest = [c for c in to.columns if c not in ("z", "ck", "cp")]
+        met = pixels.select("z", "x", "y", "v").join(checked_broadcast(to, listed), "z")
+        return met.select("z", "x", "y", "v", "ck", "cp", *tiles, *rest).repartition(*group)
+
+    left = sent(keys).select(*group, "x", "y", F.col("z").alias("z2"), F.col("v").alias("b"), F.explode("wanted").alias("z1"))
+    right = sent(partners).select(*group, "x", "y", F.col("z").alias("z1"), F.col("v").alias("a"))
+    return left.join(right, [*group, "x", "y", "z1"]).select("z1", "z2", "x", "y", "a", "b")
 
 
 def band_lists(sections: DataFrame, reach: int) -> DataFrame:

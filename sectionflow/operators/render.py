@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectionflow.functions.chunks import owned, with_halo
+from sectionflow.functions.chunks import checked_broadcast, owned, with_halo
 from sectionflow.functions.grid import Grid, explode_range
 from sectionflow.session import materialize
 
@@ -15,7 +15,6 @@ TILE = 64
 STEP = 256
 GROUP = ("chunk", "tx", "ty", "part")
 CORNERS = ("c00", "c10", "c01", "c11")
-SMALL = 1_000_000  # rows of a few numbers that every executor may hold
 
 
 def _term(value: Column, weight: Column) -> Column:
@@ -212,11 +211,6 @@ def resample(
     return found.select(F.col("target").alias("z"), "x", "y", value.alias("v"))
 
 
-def _checked(small: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of at most ``rows`` narrow rows if that is few enough; else the planner joins it."""
-    return F.broadcast(small) if rows <= SMALL else small
-
-
 def kept_targets(cells: DataFrame, have: DataFrame, grid: Grid, width: int, height: int, scale: int, rows: int) -> DataFrame:
     """(z): targets any pixel of which lies next to a section of ``have(source)``.
 
@@ -225,15 +219,19 @@ def kept_targets(cells: DataFrame, have: DataFrame, grid: Grid, width: int, heig
     """
 
     def near(coords: DataFrame) -> DataFrame:
-        need = required_sections(coords).select(F.col("target").alias("z"), "source")
-        return need.join(have, "source", "left_semi").select("z").distinct()
+        ends = F.explode(F.array(F.floor("p").cast("bigint"), F.ceil("p").cast("bigint"))).alias("source")
+        found = coords.select("z", ends).join(have.withColumn("there", F.lit(True)), "source", "left")
+        return found.groupBy("z").agg(F.max(F.coalesce("there", F.lit(False))).alias("hit"))
 
     (x0, x1), (y0, y1) = (_lattice_range(a, c, grid, scale, n) for a, c, n in (("x", "i", width), ("y", "j", height)))
     one = cells.withColumns({"x": x0, "y": y0}).where((x0 <= x1) & (y0 <= y1))
     one = one.withColumns({"fx": _fraction("x", "i", grid, scale), "fy": _fraction("y", "j", grid, scale)})
-    sure = materialize(near(one.select("z", "x", "y", _position().alias("p"))), "sure-targets")
-    open_ = cells.join(_checked(sure, rows), "z", "left_anti")
-    return sure.union(near(_upsampled(open_, grid, width, height, scale)))
+    told = materialize(near(one.select("z", _position().alias("p"))), "targets")
+    sure, open_ = told.where("hit").select("z"), told.where("NOT hit").select("z")
+    if open_.isEmpty():
+        return sure
+    rest = cells.join(checked_broadcast(open_, rows), "z", "left_semi")
+    return sure.union(near(_upsampled(rest, grid, width, height, scale)).where("hit").select("z"))
 
 
 def routed_cells(
@@ -352,9 +350,9 @@ def render(
     blocks = cells.select("z", F.col("c00").alias("c"))
     rows = blocks.count()
     have = pixels.select(F.col("z").alias("source")).where(F.col("z").between(-1, sections)).distinct()
-    kept = kept_targets(cells, _checked(have, sections + 2), grid, width, height, scale, rows)
-    copies = _checked(chunk_copies(blocks, sections, step), -(-sections // step))
-    asked = routed_cells(cells.join(_checked(kept, rows), "z", "left_semi"), grid, width, height, sections, scale, step, tile)
+    kept = kept_targets(cells, checked_broadcast(have, sections + 2), grid, width, height, scale, rows)
+    copies = checked_broadcast(chunk_copies(blocks, sections, step), -(-sections // step))
+    asked = routed_cells(cells.join(checked_broadcast(kept, rows), "z", "left_semi"), grid, width, height, sections, scale, step, tile)
     asked = asked.join(copies, "chunk", "left").withColumn("part", F.col("z") % F.coalesce("copies", F.lit(1)))
     last = F.coalesce("copies", F.lit(1)) - 1
     given = with_halo(pixels.select("z", "x", "y", "v").where(F.col("z").between(0, sections - 1)), step, after=1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectionflow.functions.chunks import CHUNK, owned, with_halo
+from sectionflow.functions.chunks import CHUNK, checked_broadcast, owned, with_halo
 from sectionflow.functions.stats import present
 from sectionflow.session import materialize
 
@@ -33,7 +35,7 @@ def _fill_pass(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _fill_kernel(tile: int):
-    """Passes inside one (sections, tile) group; returns the holes the tile owns."""
+    """Passes inside one (sections, tile) group; returns the cells the tile owns."""
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         tx, ty = int(pdf["tx"].iat[0]), int(pdf["ty"].iat[0])
@@ -49,42 +51,90 @@ def _fill_kernel(tile: int):
                 break
             filled, reached = _fill_pass(values, known)
             values, known = np.where(cell, filled, values), reached & cell
-        own = np.isnan(v) & (x // tile == tx) & (y // tile == ty)
+        own = (x // tile == tx) & (y // tile == ty)
         out = pdf.loc[own, ["z", "x", "y"]]
         return out.assign(v=np.where(known[at], values[at], np.nan)[own])
 
     return fill
 
 
+_TILE = ("zs", "tx", "ty")
+
+
+def _tile_of(tile: int) -> list[Column]:
+    return [F.expr(f"{c} div {n}").alias(k) for k, c, n in zip(_TILE, ("z", "x", "y"), (DEPTH, tile, tile), strict=True)]
+
+
+def _open_tiles(cells: DataFrame, tile: int) -> DataFrame:
+    """(zs, tx, ty, zset, holes): tiles with holes, the sections in which they have some, and how many."""
+    found = cells.where("v IS NULL").groupBy(*_tile_of(tile))
+    return found.agg(F.collect_set("z").alias("zset"), F.count(F.lit(1)).alias("holes"))
+
+
+def _ring(tile: int) -> int:
+    return -(-PASSES // tile)
+
+
+def _around(tiles: DataFrame, tile: int) -> DataFrame:
+    """(zs, tx, ty, zset) of these tiles and all that the passes of a round look into."""
+    steps = range(-_ring(tile), _ring(tile) + 1)
+    near = [F.struct((F.col("tx") + dx).alias("tx"), (F.col("ty") + dy).alias("ty")) for dx in steps for dy in steps]
+    spread = tiles.select("zs", "zset", F.explode(F.array(*near)).alias("n")).select("zs", "n.*", "zset")
+    sets = F.array_distinct(F.flatten(F.collect_list("zset"))).alias("zset")
+    return spread.groupBy(*_TILE).agg(sets)
+
+
+def _in_tiles(cells: DataFrame, tiles: DataFrame, tile: int, rows: int, inside: bool = True) -> DataFrame:
+    """The cells in sections of the ``rows`` listed tiles, or all others."""
+    listed = checked_broadcast(tiles.select(*_TILE, "zset"), rows * DEPTH)
+    met = cells.select("*", *_tile_of(tile)).join(listed, list(_TILE), "inner" if inside else "left")
+    there = F.coalesce(F.array_contains("zset", F.col("z")), F.lit(False))
+    return met.where(there if inside else ~there).select("z", "x", "y", "v")
+
+
+def _fill_round(active: DataFrame, tiles: DataFrame, tile: int, rows: int) -> DataFrame:
+    """All cells that the listed tiles own, after ``PASSES`` passes; ``active`` has them and those around."""
+    spread = with_halo(active, tile, PASSES, PASSES, axis="x", chunk="tx")
+    spread = with_halo(spread, tile, PASSES, PASSES, axis="y", chunk="ty").withColumn("zs", F.expr(f"z div {DEPTH}"))
+    met = spread.join(checked_broadcast(tiles.select(*_TILE, "zset"), rows * DEPTH), list(_TILE)).where(F.array_contains("zset", F.col("z")))
+    filled = met.select("z", "x", "y", "v", *_TILE).groupBy(*_TILE)
+    filled = filled.applyInPandas(_fill_kernel(tile), "z bigint, x bigint, y bigint, v double")
+    return filled.withColumn("v", present(F.col("v")))
+
+
 def fill_holes(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """Fill NULL cells of every section from their present neighbours, pass by pass.
 
     Each pass reads the previous one; sections without any value stay missing.  A
     pass looks one cell sideways, so on tiles with a halo of ``PASSES`` cells that
     many passes are exact without exchanging anything.  A round of passes is one
-    shuffle of the tiles that have holes; rounds go on while holes get filled.
+    shuffle of the open tiles, those that have holes, and the cells around them;
+    its result is a table of these tiles only, and the next round reads those still
+    open, their neighbours and nothing else.  Rounds go on while holes get filled.
+
+    ``cells`` is read three times and never copied: to find open tiles, to fetch
+    them, and as the part of the result that has no holes.  Cells that are dear to make
+    should be written first.
     """
-    # Read several times below; written once so that whatever made it runs once.
-    cells = materialize(cells.select("z", "x", "y", "v"), "cells")
-    done, open_ = cells.where("v IS NOT NULL"), cells.where("v IS NULL")
-    left = open_.count()
-    while left:
-        key = [F.expr(f"x div {tile}").alias("tx"), F.expr(f"y div {tile}").alias("ty")]
-        wanted = open_.select("z", *key).distinct()
-        spread = with_halo(done.unionByName(open_), tile, PASSES, PASSES, axis="x", chunk="tx")
-        spread = with_halo(spread, tile, PASSES, PASSES, axis="y", chunk="ty")
-        result = (
-            spread.join(wanted, ["z", "tx", "ty"], "left_semi")
-            .groupBy(F.expr(f"z div {DEPTH}").alias("zs"), "tx", "ty")
-            .applyInPandas(_fill_kernel(tile), "z bigint, x bigint, y bigint, v double")
-            .withColumn("v", present(F.col("v")))
-        )
-        result = materialize(result, "filled")
-        done, open_ = done.unionByName(result.where("v IS NOT NULL")), result.where("v IS NULL")
-        before, left = left, open_.count()
-        if left == before:
-            break
-    return done.unionByName(open_)
+    cells = cells.select("z", "x", "y", "v")
+    first = tiles = materialize(_open_tiles(cells, tile), "open-tiles")
+    holes, rows = tiles.agg(F.sum("holes"), F.count(F.lit(1))).first()
+    if not rows:
+        return cells
+    opened, around = rows, (2 * _ring(tile) + 1) ** 2
+    active, parts = _in_tiles(cells, _around(tiles, tile), tile, around * rows), []
+    while True:
+        result = materialize(_fill_round(active, tiles, tile, rows), "filled")
+        before, holes = holes, result.where("v IS NULL").count()
+        if not holes or holes == before:
+            return _in_tiles(cells, first, tile, opened, inside=False).unionByName(reduce(DataFrame.unionByName, [*parts, result]))
+        left = materialize(_open_tiles(result, tile), "open-tiles")
+        still = left.count()
+        parts.append(_in_tiles(result, left, tile, still, inside=False))
+        near = _around(left, tile)
+        rest = _in_tiles(active, tiles, tile, rows, inside=False)  # neighbours that had no holes
+        active = materialize(_in_tiles(rest.unionByName(result), near, tile, around * still), "active")
+        tiles, rows = left, still
 
 
 def fill_lut(lut: DataFrame) -> DataFrame:

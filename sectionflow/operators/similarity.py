@@ -69,7 +69,7 @@ def cell_moments_packed(chunked: DataFrame, grids: Sequence[Grid], reach: int, s
     """
     origin = {f"o{c}": cell_origin(c, grids) for c in ORIGIN}
     tagged = chunked.where("v IS NOT NULL").withColumns(origin)
-    names = ["tx", "ty", *ORIGIN, *PAIR, *CENTRED]
+    names = ["chunk", "tx", "ty", *ORIGIN, *PAIR, *CENTRED]
 
     def banded(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk, tx, ty = (int(pdf[c].iat[0]) for c in ("chunk", "tx", "ty"))
@@ -99,12 +99,12 @@ def cell_moments_packed(chunked: DataFrame, grids: Sequence[Grid], reach: int, s
             kept = ~np.isnan(n)
             if kept.any():
                 pairs = zs[hi][kept], zs[lo][kept], held[0, kept].round().astype(np.int64)
-                out.append([tx, ty, x, y, *pairs, *held[1:, kept]])
+                out.append([chunk, tx, ty, x, y, *pairs, *held[1:, kept]])
         return pd.DataFrame(out, columns=names)
 
     ints = ", ".join(f"{c} array<bigint>" for c in (*PAIR, "n"))
     reals = ", ".join(f"{c} array<double>" for c in CENTRED[1:])
-    schema = f"tx bigint, ty bigint, x bigint, y bigint, {ints}, {reals}"
+    schema = f"chunk bigint, tx bigint, ty bigint, x bigint, y bigint, {ints}, {reals}"
     return tagged.groupBy("chunk", "tx", "ty").applyInPandas(banded, schema)
 
 
@@ -123,19 +123,19 @@ def block_pieces(cells: DataFrame, grid: Grid, reach: int) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks: dict[tuple, np.ndarray] = {}
-            keys = zip(*(batch.column(c).to_pylist() for c in ("tx", "ty", *CELL)))
-            for i, (tx, ty, lx, hx, ly, hy) in enumerate(keys):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("chunk", "tx", "ty", *CELL)))
+            for i, (*group, lx, hx, ly, hy) in enumerate(keys):
                 z1, z2, *values = (batch.column(c)[i].values.to_numpy() for c in (*PAIR, *CENTRED))
                 one = np.stack([z1, z2, *values]).astype(np.float64)
                 one = one[:, z1 - z2 <= reach]
-                for at in ((bx, by, tx, ty) for bx in range(lx, hx + 1) for by in range(ly, hy + 1)):
+                for at in ((bx, by, *group) for bx in range(lx, hx + 1) for by in range(ly, hy + 1)):
                     blocks[at] = _joined_arrays(blocks[at], one) if at in blocks else one
             if not blocks:
                 continue
             sizes = [b.shape[1] for b in blocks.values()]
             at = np.repeat(np.array(list(blocks), np.int64), sizes, axis=0)
             held = np.concatenate(list(blocks.values()), axis=1)
-            columns = [at[:, 0], at[:, 1], at[:, 2] * TILE, at[:, 3] * TILE, *held[:3].round().astype(np.int64), *held[3:]]
+            columns = [at[:, 0], at[:, 1], at[:, 3] * TILE, at[:, 4] * TILE, *held[:3].round().astype(np.int64), *held[3:]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bx", "by", *ORIGIN, *PAIR, *CENTRED])
 
     ints = ", ".join(f"{c} bigint" for c in ("bx", "by", *ORIGIN, *PAIR, "n"))

@@ -15,6 +15,7 @@ from sectionflow.operators.coords import (
     grid_mapping,
     init_coords,
     interp_nearest,
+    join_blocks,
     quality_gate,
     status_grid,
 )
@@ -103,15 +104,17 @@ def estimate_stages(
         near = stage.infer.comparison_range
         sim = own(pixels, grid, near) if own else block_similarity(block_pieces(cells, grid, near), grid)
         sim = materialize(sim, "sim")
-        gate = quality_gate(sim, grid, sections, near)
+        # A row a block; sections of a block stay spread over their chunks in all joins with it.
+        seen = sim.select("bx", "by", F.lit(True).alias("seen")).distinct()
+        gate = materialize(quality_gate(sim, grid, sections, near).join(seen, ["bx", "by"], "left"), "gate")
+        good, bad = gate.where("ok").select("bx", "by"), gate.where("NOT ok AND seen").select("bx", "by")
         found = infer_coords(
-            sim.join(gate.where("ok"), ["bx", "by"], "left_semi"),
-            coords.join(gate.where("ok"), ["bx", "by"], "left_semi"),
+            join_blocks(sim, good, grid, sections, "left_semi"),
+            join_blocks(coords, good, grid, sections, "left_semi"),
             stage.infer,
         )
-        kept = coords.join(gate.where("NOT ok"), ["bx", "by"], "left_semi").select("bx", "by", "z", "c")
         # Only blocks with a similarity take part; the rest reappear as holes.
-        kept = kept.join(sim.select("bx", "by").distinct(), ["bx", "by"], "left_semi")
+        kept = join_blocks(coords, bad, grid, sections, "left_semi").select("bx", "by", "z", "c")
         result = materialize(found.unionByName(kept), "estimate")
         status = status_grid(result, grid)
         coords = materialize(fill_lut(full_sections(result, grid, sections)), "forward")
