@@ -269,8 +269,14 @@ def survivors(counted: DataFrame, threshold: int, stretch: int) -> DataFrame:
         counts = [np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in group.column("counts")]
         mass = sum(int(c.sum()) for c in counts)
         summary = Summary(SPARE * (mass // threshold + 1))
-        for keys, own in zip(group.column("keys"), counts):
-            summary.merge(unpacked(keys.as_py()), own)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for keys, own in zip(group.column("keys"), counts):  # as many at once as the summary holds
+            held.append((unpacked(keys.as_py()), own))
+            if sum(len(c) for _, c in held) > summary.capacity:
+                summary.merge(*map(np.concatenate, zip(*held)))
+                held = []
+        if held:
+            summary.merge(*map(np.concatenate, zip(*held)))
         bits = np.zeros(8 * stretch, np.uint8)
         bits[bit_of(summary.possible(threshold), stretch)] = 1
         return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
