@@ -8,7 +8,7 @@ and its share of the letters the score.
 
 The model is fitted on a bounded sample (``DOCS_PER_LANGUAGE`` labelled rows of
 each language, chosen by a hash of the id, in expectation) and holds at most
-``MAX_GRAMS`` n-grams; all rows are scored.
+``MAX_GRAMS`` n-grams of each, so that a small language keeps its own; all rows are scored.
 
 Defined cases: NULL texts and texts without a letter are ``und`` with score 0;
 words of a script that no learned language uses are neutral; ties go to the
@@ -24,15 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectionflow.llm.common import ship
 from sectionflow.llm.wordtable import WordTable, code_points
+from sectionflow.session import materialize
 
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 600
-MAX_GRAMS = 100_000
+MAX_GRAMS = 30_000  # of each language
 SCRIPT_SHARE = 0.01  # of a language's letters that make a script one of its own
 SWITCH = 8.0  # penalty of a change of language, in nats
 SMOOTH = 0.5
@@ -203,10 +204,11 @@ def fit(docs: DataFrame, train: Column, per_language: int = DOCS_PER_LANGUAGE) -
 
     Rows of each language are thinned to about ``per_language`` by a hash of the
     id; their n-grams are counted in tasks and summed by Spark, and the most
-    frequent ``MAX_GRAMS`` are fetched.
+    frequent ``MAX_GRAMS`` of each language are fetched.
     """
     rows = docs.where(train & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # Written, so that the few rows go to the texts, not the texts to them.
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("n") < F.lit(per_language << 20)
     sample = rows.join(sizes, "lang").where(drawn).select("lang", "text")
 
@@ -227,13 +229,15 @@ def fit(docs: DataFrame, train: Column, per_language: int = DOCS_PER_LANGUAGE) -
 
     counts = sample.mapInPandas(count, "lang string, key long, n long")
     counts = counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.when(F.col("key") < 0, 0).otherwise(1), F.desc("n"), "lang", "key").limit(MAX_GRAMS)
+    order = Window.partitionBy("lang").orderBy(F.when(F.col("key") < 0, 0).otherwise(1), F.desc("n"), "key")
+    top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_GRAMS).select("lang", "key", "n")
+    top = top.orderBy("lang", "key")
     return Model([tuple(r) for r in top.collect()])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Columns doc_id, lang_pred, score; one row per row."""
-    shared = ship(docs.sparkSession, model)  # bounded by MAX_GRAMS
+    shared = ship(docs.sparkSession, model)  # bounded by MAX_GRAMS for each language
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared())

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sectionflow.llm.common import may_be_in
 from sectionflow.session import materialize
 
 # The base kinds in their order.  \G lets a match start right after the last one.
@@ -189,7 +190,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = all_spans(docs).groupBy(F.col("doc_id").alias("pii_d"), F.col("h").alias("pii_g")).agg(spans)
     found = materialize(found, "pii-by-document")
     names = F.array(*(F.lit(f"<{x.upper()}>") for x in [*KINDS, TERM]))
-    text = docs["text"]
+    text = F.col("text")
 
     def piece(a: Column, s: Column) -> Column:
         fresh = s["start"] >= a["at"]
@@ -203,8 +204,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     whole = F.aggregate(
         "pii_spans", start, piece, lambda a: F.array_join(F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), "")
     )
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["pii_d"]) & (F.xxhash64(text) == found["pii_g"]), "left")
-    clean = F.when(F.col("pii_spans").isNull(), text).otherwise(whole)
-    columns = [clean.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    out = joined.select(*columns)
+    # Only rows that may have a span move.
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
+    names_ = found.select(F.xxhash64(F.col("pii_d").isNull(), "pii_d", "pii_g").alias("h"))
+    told = may_be_in(docs.withColumn("pii_h", F.xxhash64("text")), key, names_, "pii_maybe")
+    rest = told.where("pii_maybe")
+    joined = rest.join(found, F.col("doc_id").eqNullSafe(F.col("pii_d")) & (F.col("pii_h") == F.col("pii_g")), "left")
+    clean = F.when(F.col("pii_spans").isNull(), F.col("text")).otherwise(whole)
+    out = joined.withColumn("text", clean).select(*docs.columns).union(told.where("NOT pii_maybe").select(*docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
