@@ -415,6 +415,24 @@ oracle(
     "memb",
     "ln",
 )
+oracle(
+    "quality_gate_mixed",
+    """SELECT blk.bx, blk.by, coalesce(t.good, 0) = (SELECT 5 * n - 15 FROM en) AS ok FROM blk LEFT JOIN (
+         SELECT bx, by, count(*) FILTER (s >= (SELECT avg(low) FROM (SELECT min(s) AS low FROM sim GROUP BY bx, by)) AND s != 0) AS good
+         FROM sim GROUP BY bx, by) t ON t.bx = blk.bx AND t.by = blk.by""",
+    "sim",
+    "blk",
+    "en",
+)
+oracle(
+    "dense_rows",
+    """SELECT r.bx, r.by, r.z1, r.z2 - greatest(r.z1 - 5, 0) AS i, round(CASE WHEN r.z1 = r.z2 THEN 1.0::DOUBLE ELSE m.s END, 6) AS s
+       FROM (SELECT bx, by, a.z AS z1, b.z AS z2 FROM blk, ez a, ez b WHERE abs(a.z - b.z) <= 5) r
+       LEFT JOIN sim m ON m.bx = r.bx AND m.by = r.by AND m.z1 = greatest(r.z1, r.z2) AND m.z2 = least(r.z1, r.z2)""",
+    "sim",
+    "blk",
+    "ez",
+)
 oracle(
     "status_grid",
     "SELECT bx, by, CASE WHEN count(*) > count(c) THEN 127 ELSE 0 END AS status FROM flut GROUP BY bx, by",
@@ -476,10 +494,12 @@ def _inference(
     sim: str = "sim",
     start: str = "SELECT bx, by, z, z::DOUBLE AS c FROM blk, ez",
     hold: float = 0.0,
+    reorder: bool = False,
 ) -> dict[str, str]:
     """Rounds of curve, multipliers, votes and update, one CTE per step.
 
-    ``hold`` is the weight of the start coordinates; ``tag`` prefixes the names.
+    ``hold`` is the weight of the start coordinates; ``tag`` prefixes the names; with
+    ``reorder`` coordinates are put in order along their ranks.
     """
     t = tag
     out = {f"{t}edge": EDGES["edge"].replace("FROM sim", f"FROM {sim}")}
@@ -521,6 +541,9 @@ def _inference(
             LEFT JOIN {t}sh{i} h ON h.bx = a.bx AND h.by = a.by AND h.z = a.z"""
         monotone = f"""SELECT bx, by, z, m,
               max(c - z * 1e-8::DOUBLE) OVER (PARTITION BY bx, by ORDER BY z) + z * 1e-8::DOUBLE AS c FROM {t}mv{i}"""
+        if reorder:
+            monotone = f"""SELECT bx, by, z, m, max(c - r * 1e-8::DOUBLE) OVER (PARTITION BY bx, by ORDER BY r) + r * 1e-8::DOUBLE AS c
+              FROM (SELECT *, row_number() OVER (PARTITION BY bx, by ORDER BY c, z) - 1 AS r FROM {t}mv{i})"""
         out[f"{t}st{i}"] = monotone
         if border:
             out[f"{t}mo{i}"] = monotone
@@ -547,6 +570,13 @@ oracle(
     "ez",
     extra=_inference(2, 2, True, False),
 )
+oracle(
+    "infer_coords_reorder",
+    "SELECT bx, by, z, round(c, 6) AS c FROM st2",
+    "sim",
+    "ez",
+    extra=_inference(2, 2, False, False, reorder=True),
+)
 oracle(
     "infer_trace",
     """SELECT CAST(0 AS BIGINT) AS iter, bx, by, z, round(c, 6) AS c FROM st0
@@ -636,6 +666,21 @@ oracle(
         "crd": CTES["crd"][1].format(**{**DEFAULTS, "side": 3}),
     },
 )
+# Twice the coordinates, so a target's position is 2 p + 1 with p where twice the coordinates reach its number.
+EINV = """SELECT b.bx, b.by, b.z, 2 * min(CASE WHEN s.z IS NULL THEN NULL
+                                              WHEN s.c1 > s.c THEN s.z + (b.z - s.c) / (s.c1 - s.c) ELSE s.z END) + 1 AS c
+          FROM elut b LEFT JOIN (SELECT bx, by, z, 2 * c AS c, 2 * lead(c) OVER (PARTITION BY bx, by ORDER BY z) AS c1 FROM elut) s
+            ON s.bx = b.bx AND s.by = b.by
+           AND ((s.c1 > s.c AND b.z >= s.c AND b.z < s.c1) OR (s.c1 IS NULL AND b.z = s.c))
+          GROUP BY b.bx, b.by, b.z"""
+oracle(
+    "render_job",
+    """SELECT ez.z, CASE WHEN k.z IS NULL THEN 0 ELSE 64 END AS pixels, k.z IS NOT NULL AS ok FROM ez LEFT JOIN (
+         SELECT DISTINCT z FROM crd WHERE floor(p) IN (SELECT z FROM ez) OR ceil(p) IN (SELECT z FROM ez)) k ON k.z = ez.z""",
+    "elut",
+    "ez",
+    extra={"lz": "SELECT z FROM ez", "inv": EINV, "crd": CTES["crd"][1].format(**DEFAULTS)},
+)
 oracle("warp_volume", _mixed("li", False, LAST), "li", "ln", "lz", "crd")
 oracle(
     "warp_matrix",

@@ -266,6 +266,14 @@ def similarity_matrix(spark, d):
     return r6(similarity.similarity_matrix(_sim(spark, d), fx.emb_sections(spark, d), GRID), "s")
 
 
+@query
+def dense_rows(spark, d):
+    n = fx.emb_sections(spark, d)
+    matrix = similarity.similarity_matrix(_sim(spark, d), n, GRID)
+    rows = similarity.dense_rows(matrix, REACH, 0, n - 1)
+    return r6(rows.select("bx", "by", "z1", F.posexplode("row").alias("i", "s")).withColumn("i", F.col("i").cast("bigint")), "s")
+
+
 def _strip(spark, d):
     return similarity.band_strip(_sim(spark, d), GRID, fx.emb_sections(spark, d), REACH)
 
@@ -335,6 +343,15 @@ def quality_gate(spark, d):
     return coords.quality_gate(sim, GRID, fx.li_sections(spark, d), REACH)
 
 
+@query
+def quality_gate_mixed(spark, d):
+    """Similarities below the mean of the blocks' lowest ones count as 0, so some blocks pass and some do not."""
+    sim = materialize(_sim(spark, d), "sim")
+    least = sim.groupBy("bx", "by").agg(F.min("s").alias("s")).agg(F.avg("s")).first()[0]
+    weak = sim.withColumn("s", F.when(F.col("s") >= F.lit(least), F.col("s")).otherwise(0.0))
+    return coords.quality_gate(weak, GRID, fx.emb_sections(spark, d), REACH)
+
+
 @query
 def status_grid(spark, d):
     status = coords.status_grid(fx.lut_failed(spark, d), GRID)
@@ -380,6 +397,15 @@ def infer_coords_local(spark, d):
     return r6(infer.infer_coords(sim, _start(spark, d), options), "c")
 
 
+@query
+def infer_coords_reorder(spark, d):
+    options = infer.InferOptions(
+        iterations=2, multiplier_iterations=2, comparison_range=REACH, reorder=True, regularization="NONE"
+    )
+    sim = materialize(_sim(spark, d), "sim")
+    return r6(infer.infer_coords(sim, _start(spark, d), options), "c")
+
+
 @query
 def infer_trace(spark, d):
     sim = materialize(_sim(spark, d), "sim")
@@ -510,4 +536,48 @@ def stage_report(spark, d):
     return estimate.stage_report(spark, _stages(spark, d)).drop("seconds")
 
 
+def _job(spark, d, source: str, target: str, mask: str = "", **rest) -> dict:
+    return job_options(
+        {
+            "source": source, "mask": mask, "target": target, "start": 0, "stop": fx.emb_sections(spark, d),
+            "defaultOptions": {"nIterations": 2, "multiplierEstimationIterations": 2, "comparisonRange": REACH},
+            **rest,
+        }
+    )
+
+
+@query
+def render_job(spark, d):
+    """The written job over the stack of embeddings; targets beyond the last coordinate have no source and are reported."""
+    source, target, output = (scratch_path(spark, f"render-{x}") for x in ("source", "target", "output"))
+    stacks.write_sections(fx.emb(spark, d), source, per_folder=100)
+    options = _job(spark, d, source, target, options=[{"steps": [2, 2], "radii": [2, 2]}])
+    # every second section is asked for, so the other half of the targets reads nothing
+    sparse = fx.lut_emb(spark, d).withColumn("c", F.col("c") * 2)
+    repair.invert_lut(sparse, sections=options.sections).withColumn("c", F.col("c") * 2 + 1).write.parquet(f"{target}/stage=0/backward")
+    return estimate.render_job(spark, options, 0, fx.SIDE, fx.SIDE, output)
+
+
+@query
+def estimation_job(spark, d):
+    """The written job with a mask, half resolution, a stage with offsets and the matrices of all stages."""
+    source, mask, target = (scratch_path(spark, f"job-{x}") for x in ("source", "mask", "target"))
+    pixels = fx.emb(spark, d)
+    stacks.write_sections(pixels, source, per_folder=100)
+    lowest = pixels.groupBy("z").agg(F.min("v").alias("low"))
+    stacks.write_sections(
+        pixels.join(lowest, "z").select("z", "x", "y", F.when(F.col("v") > F.col("low"), 1.0).otherwise(0.0).alias("v")),
+        mask, per_folder=100,
+    )
+    stages = [{"steps": [4, 4], "radii": [3, 3]}, {"steps": [2, 2], "radii": [1, 1], "maxOffsets": [1, 1]}]
+    options = _job(spark, d, source, target, mask, scale=1, logMatrices=True, options=stages)
+    estimate.estimation_job(spark, options, fx.SIDE, fx.SIDE)
+    parts = []
+    for stage in range(len(stages)):
+        forward = spark.read.parquet(f"{target}/stage={stage}/forward")
+        entries = spark.read.parquet(f"{target}/stage={stage}/matrices").groupBy("bx", "by").agg(F.count(F.lit(1)).alias("entries"))
+        parts.append(forward.join(entries, ["bx", "by"], "left").withColumn("stage", F.lit(stage)))
+    return r6(parts[0].unionByName(parts[1]), "c")
+
+
 QUERIES["render"] = QUERIES.pop("render_stack")

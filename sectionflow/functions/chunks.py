@@ -70,19 +70,35 @@ def running_max(
 def row_rank(
     df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, step: int = CHUNK
 ) -> DataFrame:
-    """0-based rank of ``value`` (then ``tie``) within ``keys``, in two levels."""
+    """0-based rank of ``value`` (then ``tie``) within ``keys``, in two levels.
+
+    Approximate quantiles cut a group's values into buckets of about ``step`` rows.  Rows
+    whose value is a cut have buckets of their own, which the tie cuts further: they share
+    one value, so the tie alone orders them, and no bucket grows with the rows of a value.
+    """
     keys = list(keys)
-    marked = df.withColumn("_bucket", F.floor(F.col(value) / step))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-most // step)
+    marked = df.withColumns({"_cut": F.lit(0), "_sub": F.lit(0).cast("bigint")})
+    if parts > 1:
+        share = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+        cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, share, F.lit(max(10000, 8 * parts)))).alias("_cuts"))
+        # binary-search free: cuts are in order, so the count below a value is its place
+        below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+        on = F.array_contains("_cuts", F.col(value))
+        marked = df.join(cuts, keys).withColumn("_cut", 2 * below + F.when(on, 1).otherwise(0))
+        marked = marked.withColumn("_sub", F.when(on, F.expr(f"{tie} div {step}")).otherwise(F.lit(0))).drop("_cuts")
+    bucket = ["_cut", "_sub"]
+    before = Window.partitionBy(*keys).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     base = (
-        marked.groupBy(*keys, "_bucket")
+        marked.groupBy(*keys, *bucket)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-        .repartition(*keys, "_bucket")
+        .select(*keys, *bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        .repartition(*keys, *bucket)
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value, tie)
+    inside = Window.partitionBy(*keys, *bucket).orderBy(value, tie)
     return (
-        marked.join(base, [*keys, "_bucket"])
+        marked.join(base, [*keys, *bucket])
         .withColumn(out, F.row_number().over(inside) - 1 + F.col("_base"))
-        .drop("_bucket", "_base")
+        .drop(*bucket, "_base")
     )

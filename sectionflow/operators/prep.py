@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectionflow.functions.chunks import with_halo
+from sectionflow.functions.chunks import SMALL, with_halo
+from sectionflow.session import materialize
 
 TILE = 64
 SECTIONS = 16  # blurred together in a tile
+HEAVY = 1000  # a value is common if more than one pixel in so many has it
 
 
 def filter_range(df: DataFrame, start: int, stop: int) -> DataFrame:
@@ -36,13 +38,29 @@ def mask_values(pixels: DataFrame, values: list[float]) -> DataFrame:
 
 
 def mask_value_table(pixels: DataFrame, values: DataFrame) -> DataFrame:
-    """As ``mask_values`` for a set too large for a literal list; ``values(v)``."""
-    marks = values.select("v").distinct().withColumn("_hit", F.lit(True))
-    return (
-        pixels.join(marks, "v", "left")
-        .withColumn("weight", F.when(F.col("_hit"), 0.0).otherwise(1.0))
-        .select(*pixels.columns, "weight")
-    )
+    """As ``mask_values`` for a set too large for a literal list; ``values(v)``.
+
+    A set that every executor can hold goes to the pixels.  Of a larger one only the
+    values that many pixels have do, a bounded number; the rest meet by value, without
+    the missing ones, so no task gets the pixels of one common value.
+    """
+    marks = materialize(values.where("v IS NOT NULL").select("v").distinct(), "mask-values")
+    known = marks.count()
+    if known <= SMALL:
+        return _weighed(pixels, F.broadcast(marks))
+    counts = pixels.where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    # at most HEAVY values can have that share of the pixels
+    heavy = counts.where(F.col("n") * HEAVY > pixels.count()).select("v", F.lit(True).alias("_heavy"))
+    told = pixels.join(F.broadcast(materialize(heavy, "heavy-values")), "v", "left")
+    common = _weighed(told.where("_heavy").select(*pixels.columns), F.broadcast(marks.join(heavy, "v", "left_semi")))
+    missing = told.where("_heavy IS NULL AND v IS NULL").select(*pixels.columns).withColumn("weight", F.lit(1.0))
+    rest = told.where("_heavy IS NULL AND v IS NOT NULL").select(*pixels.columns)
+    return common.unionByName(missing).unionByName(_weighed(rest, marks))
+
+
+def _weighed(pixels: DataFrame, marks: DataFrame) -> DataFrame:
+    met = pixels.join(marks.withColumn("_hit", F.lit(True)), "v", "left")
+    return met.withColumn("weight", F.when(F.col("_hit"), 0.0).otherwise(1.0)).select(*pixels.columns, "weight")
 
 
 def mask_missing(pixels: DataFrame) -> DataFrame:

@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sectionflow.functions.chunks import checked_broadcast
 from sectionflow.functions.grid import Grid, cell_origin
 from sectionflow.functions.stats import CENTRED, centred_aggs, centred_ncc, merge_centred_tree, moment_aggs, ncc
 from sectionflow.operators.grid import CELL, block_sections, cells_to_blocks, with_cell
 from sectionflow.operators.pairs import TILE, band_join, default_step, pairs_in_chunks, tiled_chunks
+from sectionflow.session import materialize
 
 PAIR = ("z1", "z2")
 
@@ -188,14 +190,17 @@ def similarity_matrix(sim: DataFrame, sections: int, grid: Grid | None = None) -
 
     Every block that occurs in ``sim`` gets all ``sections`` diagonal entries;
     without a grid there is one matrix for the whole stack.  Missing entries are
-    absent.
+    absent.  With a grid ``sim`` is read for entries and for the blocks that occur, so
+    it is written first and made once.
     """
     keys = ["bx", "by"] if grid else []
+    if grid:
+        sim = materialize(sim.select(*keys, "z1", "z2", "s"), "sim")
     ends = F.struct("z1", "z2"), F.struct(F.col("z2").alias("z1"), F.col("z1").alias("z2"))
     both = sim.select(*keys, "s", F.explode(F.array(*ends)).alias("p")).select(*keys, "p.z1", "p.z2", "s")
     unit = block_sections(sim.sparkSession, grid, sections) if grid else sim.sparkSession.range(sections).toDF("z")
     if grid:
-        unit = unit.join(sim.select(*keys).distinct(), keys, "left_semi")
+        unit = unit.join(checked_broadcast(sim.select(*keys).distinct(), grid.size), keys, "left_semi")
     unit = unit.select(*keys, F.col("z").alias("z1"), F.col("z").alias("z2"), F.lit(1.0).alias("s"))
     return both.unionByName(unit)
 

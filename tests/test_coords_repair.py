@@ -184,3 +184,36 @@ def test_steep_stretch_stops_at_the_last_section(spark):
     lut = spark.createDataFrame([(0, 0, 0, 0.0), (0, 0, 1, 1e15)], LUT)
     got = [r[3] for r in rows(repair.invert_lut(lut), "z")]
     assert got == [0.0, 1e-15]
+
+
+@pytest.mark.parametrize("values", ["ties", "mixed", "spread"])
+def test_rank_of_many_rows_and_of_one_value(spark, values):
+    rng = np.random.default_rng(3)
+    n = 500
+    drawn = {"ties": np.full(n, 2.5), "mixed": np.where(rng.random(n) < 0.6, 7.0, rng.integers(0, 9, n)), "spread": rng.normal(size=n)}
+    data = [(b, z, float(v)) for b in range(2) for z, v in enumerate(drawn[values] + b)]
+    df = spark.createDataFrame(data, "k long, z long, v double").repartition(7)
+    got = {(r.k, r.z): r.rank for r in row_rank(df, ["k"], "v", "z", "rank", step=16).collect()}
+    for b in range(2):
+        want = sorted((v, z) for k, z, v in data if k == b)
+        assert [got[b, z] for _, z in want] == list(range(n))
+
+
+def test_fill_far_into_a_hole_over_tiles(spark):
+    """Rounds read open tiles and those around them only; the result is that of one pass after another."""
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(3, 30, 41))
+    values[0, 2:28, 3:38] = np.nan
+    values[1] = np.nan
+    data = [(z, x, y, None if np.isnan(v) else float(v)) for (z, y, x), v in np.ndenumerate(values)]
+    cells = spark.createDataFrame(data, "z long, x long, y long, v double").repartition(3)
+    want, known = values[:1].copy(), ~np.isnan(values[:1])
+    want = np.nan_to_num(want)
+    while not known.all():
+        want, known = repair._fill_pass(want, known)
+    for tile in (3, 8, 64):
+        got = {(r.z, r.x, r.y): r.v for r in repair.fill_holes(cells, tile).collect()}
+        assert len(got) == values.size
+        assert all(got[1, x, y] is None for x in range(41) for y in range(30))
+        assert max(abs(got[0, x, y] - want[0, y, x]) for x in range(41) for y in range(30)) < 1e-9
+        assert all(got[2, x, y] == values[2, y, x] for x in range(41) for y in range(30))

@@ -165,3 +165,21 @@ clear_scratch(spark)
 assert not os.path.exists(folder)
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_mask_by_a_large_set_of_values(spark, monkeypatch):
+    """Common values, missing ones and a set that is not sent to everyone."""
+    from sectionflow.operators import prep
+
+    data = [(z, x, 0, None if (z + x) % 11 == 0 else float(5 if x % 3 else (7 * z + x) % 40)) for z in range(30) for x in range(30)]
+    pixels = spark.createDataFrame(data, "z long, x long, y long, v double")
+    values = spark.createDataFrame([(float(i),) for i in range(0, 40, 5)] + [(None,), (5.0,)], "v double")
+    want = sorted((z, x, v, 0.0 if v is not None and v % 5 == 0 else 1.0) for z, x, _, v in data if v is not None)
+    for small, heavy in ((10**6, 1000), (0, 1000), (0, 3)):
+        monkeypatch.setattr(prep, "SMALL", small)
+        monkeypatch.setattr(prep, "HEAVY", heavy)
+        got = prep.mask_value_table(pixels, values)
+        assert got.columns == ["z", "x", "y", "v", "weight"]
+        got = [(r.z, r.x, r.v, r.weight) for r in got.collect()]
+        assert len(got) == len(data) and all(w == 1.0 for _, _, v, w in got if v is None)
+        assert sorted(r for r in got if r[2] is not None) == want
