@@ -110,6 +110,7 @@ def source_weights(sources: DataFrame, entropy: float, passes: float, budget: in
     weight = F.coalesce("weight", F.lit(0.0))
     # a limit that the exponent cannot meet (all sources together are too small) still holds
     wanted = F.when(F.col("tokens") > 0, F.least(weight * budget / F.col("tokens"), F.lit(float(passes))))
+    wanted = F.round(wanted, 9)  # a whole pass must not lack its last document by rounding
     return joined.select("source", "tokens", "docs", weight.alias("weight"), F.coalesce(wanted, F.lit(1.0)).alias("passes"))
 
 

@@ -240,9 +240,39 @@ def test_one_of_each_group_by_similarity(spark, docs, no_docs, corpus_rows):
     assert got == sorted(min(i for i, x in enumerate(label) if x == g) for g in set(label))
 
 
+def test_families_in_blocks(spark, monkeypatch):
+    """Keys and families of many blocks give the groups that one block gives, and the exact ones."""
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+    texts = []
+    for i in range(150):  # one large family, of which some are linked and some are not
+        copy = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 12))):
+            copy[at] = f"x{rng.integers(0, 5000)}"
+        texts.append(" ".join(copy))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    label = jaccard_groups(texts)
+    got = sorted(r.doc_id for r in shingles.one_of_each_group(table).collect())
+    assert got == sorted(min(i for i, x in enumerate(label) if x == g) for g in set(label))
+    assert 1 < len(got) < 150
+    sets = shingles.described(table).dropDuplicates(["set"])
+    assert shingles.key_links(sets).count() <= sets.count() * shingles.LOWEST
+
+
 # ---- 4: substrings
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    rng = np.random.default_rng(13)
+    one, two = (" ".join(f"w{i}" for i in rng.integers(0, 9000, 30)) for _ in range(2))
+    rows = [(1, f"a b c {one}"), (2, f"{two} x"), (5, f"long start {one} middle words of it {two} end"), (5, "short text here")]
+    rows += [(5, f"other {two}"), (5, f"other {two}"), (6, f"{one}"), (None, one), (None, one)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = bag((r.doc_id, r.n_words, r.n_removed) for r in substrings.without_repeats(table).collect())
+    assert got == bag([(1, 33, 0), (2, 31, 0), (5, 67, 60), (5, 3, 0), (5, 31, 30), (5, 31, 30), (6, 30, 30), (None, 30, 0), (None, 30, 0)])
+
+
 def test_substring_dedup(docs, corpus_rows):
     every = [(r[0], (r[1] or "").encode().split()) for r in corpus_rows]
     first = {}
@@ -455,6 +485,46 @@ def test_mixing_meets_its_targets(spark):
     assert len(blocks) == round(total / 1000) and max(blocks.values()) < 1300
 
 
+@pytest.mark.parametrize("entropy, passes", [(0.9999, 4.0), (0.95, 1.5), (0.5, 2.0)])
+def test_mixing_is_the_plain_one(spark, entropy, passes):
+    """Weights from a plain bisection, draws from a plain permutation of each source."""
+    rng = np.random.default_rng(14)
+    rows = [(i, "w " * int(rng.integers(0, 30)), ["a", "a", "a", "b", "b", None][int(rng.integers(6))] if i % 9 else "c") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    own = [(r.source, r.doc_id, r.h, r.n) for r in docs.select("source", "doc_id", mixing.order_hash(1).alias("h"), mixing.n_tokens().alias("n")).collect()]
+    tokens = Counter()
+    for s, _, _, n in own:
+        tokens[s] += n
+    total = sum(tokens.values())
+
+    def weights(a):
+        raw = {s: (n / total) ** a for s, n in tokens.items()}
+        return {s: x / sum(raw.values()) for s, x in raw.items()}
+
+    def bisect(holds_below):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if holds_below(mid) else (low, mid)
+        return low
+
+    flat = bisect(lambda a: -sum(w * np.log(w) for w in weights(a).values()) >= entropy * np.log(len(tokens)))
+    few = bisect(lambda a: max(w * total / tokens[s] for s, w in weights(a).items()) > passes)
+    exponent = max(flat, few)
+    assert mixing.fit_exponent(mixing.source_tokens(mixing.narrow(docs, 1)), entropy, passes, total) == pytest.approx(exponent, abs=1e-6)
+    want = Counter()
+    for s, w in weights(exponent).items():
+        share = round(min(w * total / tokens[s], passes), 9)
+        left = (share - int(share)) * tokens[s]
+        for h, docs_of in sorted((h, [(i, n) for t, i, g, n in own if (t, g) == (s, h)]) for h in {g for t, _, g, _ in own if t == s}):
+            left -= sum(n for _, n in docs_of)
+            for i, _ in docs_of:
+                want[s, i] = int(share) + (left >= -1e-3)
+    got = Counter((r.source, r.doc_id) for r in mixing.mix(docs, entropy=entropy, passes=passes, block_tokens=500).select("source", "doc_id").collect())
+    assert got == Counter({k: n for k, n in want.items() if n})
+    assert exponent < 1 or entropy == 0.5
+
+
 # ---- 9: WARC
 
 
