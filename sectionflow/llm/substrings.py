@@ -20,7 +20,8 @@ Words travel as 40 bits of their hash.
 
 Defined cases: NULL and empty texts have no words; shorter texts than the window
 have nothing to remove; a NULL doc_id is neither smaller nor larger than any, so
-such rows keep everything; rows with one id are not repeats of each other; other
+such rows keep everything; rows with one id are not repeats of each other, and each
+loses its own repeats; other
 columns are not read.
 """
 
@@ -184,16 +185,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """Columns doc, packed: compressed texts, for the joins that move them."""
+    """Columns doc, h, packed: compressed texts, for the joins that move them, and their hashes, as ids may repeat."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             packed = pa.array([pack(x.as_py() or b"") for x in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), packed], ["doc", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), packed], ["doc", "h", "packed"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(kernel, "doc long, packed binary")
+    text = F.col("text").cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(kernel, "doc long, h long, packed binary")
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
@@ -214,7 +216,7 @@ def busy_anchors(anchors: DataFrame, most: int) -> np.ndarray:
 
 
 def segment_rows(docs: DataFrame, anchors: DataFrame, busy: np.ndarray) -> DataFrame:
-    """Columns anchor, doc, at, n, words: segments with shared anchors, combined in each task.
+    """Columns anchor, doc, h, at, n, words: segments with shared anchors, combined in each task.
 
     Those of a busy anchor are cut into their windows, with the hash of a window for an anchor.
 
@@ -230,8 +232,8 @@ def segment_rows(docs: DataFrame, anchors: DataFrame, busy: np.ndarray) -> DataF
         def flush() -> pa.RecordBatch:
             if not held:
                 return pa.RecordBatch.from_pylist([], schema)
-            anchor, doc, at, n, key = (np.concatenate([h[i] for h in held]) for i in range(5))
-            contents = [c for h in held for c in h[5]]
+            anchor, doc, at, n, key, own = (np.concatenate([h[i] for h in held]) for i in range(6))
+            contents = [c for h in held for c in h[6]]
             low, _ = _smallest(key, doc)
             decided = doc > low
             cut = np.flatnonzero(np.isin(anchor, busy) & ~decided)
@@ -245,32 +247,34 @@ def segment_rows(docs: DataFrame, anchors: DataFrame, busy: np.ndarray) -> DataF
                 part_low, _ = _smallest(part_key, part_doc)
                 anchor = np.r_[anchor[keep], (part_key & np.uint64(ANCHOR_MASK)).astype(np.int64)]
                 doc, at = np.r_[doc[keep], part_doc], np.r_[at[keep], np.repeat(at[cut], windows) + offset]
+                own = np.r_[own[keep], np.repeat(own[cut], windows)]
                 n, key = np.r_[n[keep], np.ones(len(parts), np.int64)], np.r_[key[keep], part_key]
                 decided = np.r_[decided[keep], part_doc > part_low]
                 contents = [contents[i] for i in keep.tolist()] + parts
             words = pa.array([None if d else c for d, c in zip(decided.tolist(), contents)], pa.binary())
             spread = np.where(decided, -1 - ((key ^ doc.astype(np.uint64) * _A) & np.uint64(ANCHOR_MASK)).astype(np.int64), anchor)
-            return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(doc), pa.array(at), pa.array(n), words], schema=schema)
+            return pa.RecordBatch.from_arrays([*map(pa.array, (spread, doc, own, at, n)), words], schema=schema)
 
         for batch in batches:
             texts = (unpack(packed.as_py()) for packed in batch.column("packed"))
-            for doc, words, own in zip(batch.column("doc").to_pylist(), hashed_words(texts), batch.column("anchors")):
+            ids = zip(batch.column("doc").to_pylist(), batch.column("h").to_pylist())
+            for (doc, h), words, own in zip(ids, hashed_words(texts), batch.column("anchors")):
                 anchor, at, n = segments(words)
                 kept = np.isin(anchor, own.values.field("anchor").to_numpy())
                 anchor, at, n = anchor[kept], at[kept], n[kept]
                 raw = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SYMBOL_BYTES].tobytes()
                 contents = [raw[a * SYMBOL_BYTES : (a + m + WINDOW - 1) * SYMBOL_BYTES] for a, m in zip(at.tolist(), n.tolist())]
                 key = np.fromiter(map(xxhash.xxh64_intdigest, contents), np.uint64, len(contents))
-                held.append((anchor, np.full(len(at), doc), at, n, key, contents))
+                held.append((anchor, np.full(len(at), doc), at, n, key, np.full(len(at), h), contents))
                 size += len(at)
                 if size >= BLOCK_SEGMENTS:
                     yield flush()
                     held, size = [], 0
         yield flush()
 
-    schema = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("words", pa.binary())])
+    schema = pa.schema([*((c, pa.int64()) for c in ("anchor", "doc", "h", "at", "n")), ("words", pa.binary())])
     rows = packed_texts(docs.where("doc_id is not null")).join(anchors, "doc")
-    return rows.mapInArrow(kernel, "anchor long, doc long, at long, n long, words binary")
+    return rows.mapInArrow(kernel, "anchor long, doc long, h long, at long, n long, words binary")
 
 
 class WaveletMatrix:
@@ -382,12 +386,12 @@ def search_block(doc: np.ndarray, n: np.ndarray, code: np.ndarray, contents: lis
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """Columns doc, start, end: words covered by windows that a smaller document has."""
+    """Columns doc, h, start, end: words of a text covered by windows that a smaller document has."""
 
     def search(table: pa.Table) -> pa.RecordBatch:
-        doc, at, n = (table.column(k).to_numpy() for k in ("doc", "at", "n"))
+        doc, h, at, n = (table.column(k).to_numpy() for k in ("doc", "h", "at", "n"))
         open_ = table.column("words").is_valid().to_numpy()
-        spans = [np.stack([doc[~open_], at[~open_], at[~open_] + n[~open_] + WINDOW - 1])]
+        spans = [np.stack([doc[~open_], h[~open_], at[~open_], at[~open_] + n[~open_] + WINDOW - 1])]
         if open_.any():
             words = table.column("words").drop_null().combine_chunks().dictionary_encode()
             if isinstance(words, pa.ChunkedArray):
@@ -398,9 +402,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             cut = np.flatnonzero(np.r_[True, (np.diff(segment) != 0) | (np.diff(offset) != 1)]) if len(segment) else segment
             last = np.r_[cut[1:], len(segment)] - 1 if len(segment) else segment
             base = at[open_][segment]
-            spans.append(np.stack([doc[open_][segment][cut], (base + offset)[cut], (base + offset)[last] + WINDOW]))
+            own = segment[cut]
+            spans.append(np.stack([doc[open_][own], h[open_][own], (base + offset)[cut], (base + offset)[last] + WINDOW]))
         found = np.concatenate(spans, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc", "h", "start", "end"])
 
     def symbols(rows: pa.RecordBatch | pa.Table) -> int:
         return (pc.sum(pc.binary_length(rows.column("words"))).as_py() or 0) // SYMBOL_BYTES
@@ -424,7 +429,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             yield search(pa.Table.from_batches(held))
 
     sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor")
-    return sorted_rows.mapInArrow(kernel, "doc long, start long, end long")
+    return sorted_rows.mapInArrow(kernel, "doc long, h long, start long, end long")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -454,6 +459,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     anchors = materialize(shared_anchors(docs), "shared-anchors")
     spans = repeated_spans(segment_rows(docs, anchors, busy_anchors(anchors, ANCHOR_SEGMENTS)))
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = packed_texts(docs).join(spans, "doc", "left")
+    spans = spans.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = packed_texts(docs).join(spans, ["doc", "h"], "left")
     return joined.mapInArrow(kernel, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
