@@ -3,12 +3,14 @@
 Vectors are cut into shards, queries into blocks; every block meets every shard.
 A shard turns each dimension into two lists of impacts that are not negative (how
 far a component lies above the shard's smallest, and below its largest), for
-positive and negative query weights, so every posting adds to a score.  Impacts
-are quantised into levels; levels are processed from the highest, for all queries
-of a block at once, and after each one every vector has a lower and an upper bound.
-Processing stops when the bounds prove all but a few vectors out of reach, or at
-the end; the possible members are scored exactly.  No shard and no member is left
-out by any other rule.
+positive and negative query weights, so every posting adds to a score.  An impact is
+the sum of its binary digits, and the postings with one digit are a segment;
+segments are processed from the highest digit, for all queries of a block at once,
+and after each one every vector has a lower bound and an upper one, which is what all
+lower digits together could add.  Processing stops when the bounds prove all but a
+few vectors out of reach, or at the last digit, when the bounds are the scores; the
+possible members are scored exactly.  No shard and no member is left out by any
+other rule.
 
 Defined cases: rows whose id is NULL, whose vector is NULL, or that hold a NULL or
 non-finite component take no part; equal rows count once; rows with the query's
@@ -28,7 +30,6 @@ from sectionflow.session import materialize
 SHARD = 8192  # vectors of a shard, about
 BLOCK = 4096  # queries of a block, about
 BATCH = 256  # queries scored at once
-LEVELS = 8
 ENOUGH = 16  # possible members for each wanted one at which exact scores are cheaper
 
 
@@ -44,39 +45,32 @@ def _number_type(queries: np.ndarray, vectors: np.ndarray) -> type:
 
 
 class ImpactIndex:
-    """Postings of one shard by quantised impact."""
+    """Postings of one shard by the binary digits of their impacts."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         low, high = self.vectors.min(axis=0), self.vectors.max(axis=0)
         impacts = np.concatenate([self.vectors - low, high - self.vectors], axis=1)
-        self.low, self.high = low, high
-        self.width = int(impacts.max(initial=0)) // LEVELS + 1
-        self.levels = impacts // self.width
+        self.impacts = impacts
+        self.digits = int(impacts.max(initial=0)).bit_length()
 
     def possible(self, queries: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
         """Mask of vectors that may be among the k best of each query; never leaves out one that is."""
         kind = _number_type(queries, self.vectors)
         weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(kind)
         total = weights.sum(axis=1, keepdims=True)
-        floor, seen = (np.zeros((len(queries), len(self.ids)), kind) for _ in range(2))
+        floor = np.zeros((len(queries), len(self.ids)), kind)
         barred = own[:, None] == self.ids[None]
         mask = ~barred
-        for level in reversed(range(LEVELS)):
-            segment = (self.levels == level).astype(kind)
-            if not segment.any():
-                continue
-            got = weights @ segment.T
-            floor += got * kind(level * self.width)
-            seen += got
-            # postings of this level and above lie within a width, the others below this level
-            top = floor + seen * kind(self.width - 1) + (total - seen) * kind(max(0, level * self.width - 1))
-            if len(self.ids) <= k:
-                break
+        if len(self.ids) <= k:
+            return mask
+        for digit in reversed(range(self.digits)):
+            segment = (self.impacts >> digit & 1).astype(kind)
+            floor += (weights @ segment.T) * kind(1 << digit)
             sure = np.where(barred, kind(-1), floor)
             kth = np.partition(sure, len(self.ids) - k, axis=1)[:, len(self.ids) - k, None]
-            mask = (top >= kth) & ~barred
+            mask = (floor + total * kind((1 << digit) - 1) >= kth) & ~barred
             if mask.sum() <= ENOUGH * k * len(queries):
                 break
         return mask

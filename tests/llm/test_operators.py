@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 from collections import Counter
 
@@ -617,3 +618,18 @@ def test_empty_tables(no_docs, spark, benchmark):
         decontaminate.clean_documents(no_docs, benchmark),
     ]
     assert [r.count() for r in results] == [0] * len(results)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="given tables not present")
+def test_bounds_leave_few_vectors_to_score(spark):
+    rows = topk.integer_components(F.col("embedding")).alias("v")
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", rows).toPandas()
+    vectors, ids = np.stack(table["v"].to_numpy()).astype(np.int64), table["vec_id"].to_numpy()
+    index = topk.ImpactIndex(ids, vectors)
+    asked = ids % 50 == 0
+    possible = index.possible(vectors[asked], ids[asked], 5)
+    assert possible.mean() < 0.1
+    scores = vectors[asked] @ index.vectors.T
+    scores[ids[asked][:, None] == index.ids[None]] = np.iinfo(np.int64).min
+    fifth = np.sort(scores, axis=1)[:, -5, None]
+    assert possible[scores >= fifth].all()
