@@ -38,8 +38,8 @@ SCRIPT_SHARE = 0.01  # of a language's letters that make a script one of its own
 SWITCH = 8.0  # penalty of a change of language, in nats
 SMOOTH = 0.5
 OUTSIDE = -1000.0  # score of a language that does not use the word's script
-MEMO_WORDS = 1_000_000
-CHUNK_CHARS = 8_000_000  # texts are labelled together up to this size
+MEMO_WORDS = 300_000
+CHUNK_CHARS = 2_000_000  # texts are labelled together up to this size
 
 # First code point of each script range; letters before the first are Latin.
 SCRIPTS = [
