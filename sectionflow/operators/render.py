@@ -14,6 +14,7 @@ from sectionflow.session import materialize
 TILE = 64
 STEP = 256
 GROUP = ("chunk", "tx", "ty", "part")
+RUN = 256  # sections of a run
 CORNERS = ("c00", "c10", "c01", "c11")
 
 
@@ -379,8 +380,10 @@ def warp_matrix(matrix: DataFrame, lut: DataFrame) -> DataFrame:
     """Matrix entries read at (c(z1), c(z2)) of each block, bilinear.
 
     Entries that need a missing neighbour are absent.  The four neighbours of a
-    matrix cell meet in one row, which then finds the outputs that fall into the
-    cell, so work follows the band, not the square of the stack.
+    matrix cell meet in one row, which then finds the runs of sections that fall
+    into the cell, so work follows the band, not the square of the stack.  A run is the
+    sections of one floor within ``RUN`` sections, one row; its sections come into being
+    last, so a plateau that holds most sections is spread by pairs of runs.
     """
     corner = F.explode(
         F.array(
@@ -401,9 +404,20 @@ def warp_matrix(matrix: DataFrame, lut: DataFrame) -> DataFrame:
         .groupBy("bx", "by", "a", "b")
         .agg(*(F.max(F.when(F.col("k") == n, F.col("s"))).alias(n) for n in names))
     )
-    knots = lut.where("c IS NOT NULL").withColumn("f", F.floor("c").cast("bigint"))
-    rows = knots.select("bx", "by", F.col("f").alias("a"), F.col("z").alias("z1"), (F.col("c") - F.col("f")).alias("fa"))
-    cols = knots.select("bx", "by", F.col("f").alias("b"), F.col("z").alias("z2"), (F.col("c") - F.col("f")).alias("fb"))
+    runs = lut.where("c IS NOT NULL").withColumn("f", F.floor("c").cast("bigint"))
+    entry = F.struct("z", (F.col("c") - F.col("f")).alias("w"))
+    runs = runs.groupBy("bx", "by", "f", F.expr(f"z div {RUN}").alias("part")).agg(F.collect_list(entry).alias("run"))
+    runs = materialize(runs, "runs")
+    rows = runs.select("bx", "by", F.col("f").alias("a"), F.col("part").alias("part_a"), F.col("run").alias("run_a"))
+    cols = runs.select("bx", "by", F.col("f").alias("b"), F.col("part").alias("part_b"), F.col("run").alias("run_b"))
+    met = cells.join(rows, ["bx", "by", "a"]).join(cols, ["bx", "by", "b"])
+    if not runs.groupBy("bx", "by", "f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # a plateau: its entries come into being in as many tasks as it has pairs of parts
+        met = met.repartition("bx", "by", "a", "b", "part_a", "part_b")
+    spread = met.withColumn("p", F.explode("run_a")).withColumn("q", F.explode("run_b"))
+    spread = spread.select(
+        "bx", "by", *names, F.col("p.z").alias("z1"), F.col("q.z").alias("z2"), F.col("p.w").alias("fa"), F.col("q.w").alias("fb")
+    )
     fa, fb = F.col("fa"), F.col("fb")
     value = (
         _term(F.col("s00"), (1 - fa) * (1 - fb))
@@ -411,12 +425,7 @@ def warp_matrix(matrix: DataFrame, lut: DataFrame) -> DataFrame:
         + _term(F.col("s01"), (1 - fa) * fb)
         + _term(F.col("s11"), fa * fb)
     )
-    return (
-        cells.join(rows, ["bx", "by", "a"])
-        .join(cols, ["bx", "by", "b"])
-        .select("bx", "by", "z1", "z2", value.alias("s"))
-        .where("s IS NOT NULL")
-    )
+    return spread.select("bx", "by", "z1", "z2", value.alias("s")).where("s IS NOT NULL")
 
 
 def warp_volume(pixels: DataFrame, coords: DataFrame, sections: int) -> DataFrame:

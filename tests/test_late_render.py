@@ -102,3 +102,19 @@ def test_plan_sends_pixels_once_and_never_by_chunk_or_section_alone(spark):
     assert sum("chunk" in line and "part" in line for line in lines) == 2  # pixels, and the cells that ask for them
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan, keys
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_plateaus_are_warped_by_pairs_of_runs(spark, monkeypatch):
+    """Two thirds of the sections share one floor; parts of a run give what one row gives."""
+    rng = np.random.default_rng(7)
+    n, blocks = 60, [(0, 0), (1, 0)]
+    c = np.where(np.arange(n) < 40, 20 + rng.random(n) * 0.9, np.arange(n) * 1.0)
+    lut = [(bx, by, z, float(c[z] + bx * 0.01)) for bx, by in blocks for z in range(n)]
+    matrix = [(bx, by, a, b, float(rng.normal())) for bx, by in blocks for a in range(n) for b in range(max(0, a - 4), min(n, a + 5))]
+    lut = spark.createDataFrame(lut, "bx bigint, by bigint, z bigint, c double")
+    matrix = spark.createDataFrame(matrix, "bx bigint, by bigint, z1 bigint, z2 bigint, s double")
+    whole = rows(render.warp_matrix(matrix, lut), "bx", "by", "z1", "z2")
+    monkeypatch.setattr(render, "RUN", 8)
+    parts = rows(render.warp_matrix(matrix, lut), "bx", "by", "z1", "z2")
+    assert [r[:4] for r in whole] == [r[:4] for r in parts] and len(whole) > 2 * 40 * 40
+    assert np.allclose([r[4] for r in whole], [r[4] for r in parts])
