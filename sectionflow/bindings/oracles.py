@@ -180,6 +180,14 @@ oracle(
     "lines",
 )
 oracle("write_sections", "SELECT z, x, y, round(v, 6) AS v FROM emb", "emb")
+oracle("write_single", "SELECT z, x, y, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS v FROM es", "es")
+oracle(
+    "numbered_sections",
+    """SELECT z - (SELECT n // 4 FROM en) AS z, count(v) AS pixels, round(avg(v), 6) AS v, true AS found FROM emb
+       WHERE z >= (SELECT n // 4 FROM en) AND z < (SELECT 3 * n // 4 FROM en) GROUP BY z""",
+    "emb",
+    "en",
+)
 oracle("write_report", "SELECT vec_id AS z, CAST(len(embedding) AS BIGINT) AS pixels, true AS ok FROM embeddings")
 
 # Filters, masks, pixel preparation

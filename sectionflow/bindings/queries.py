@@ -96,6 +96,25 @@ def write_sections(spark, d):
     return r6(_written(spark, d)[1], "v")
 
 
+@query
+def write_single(spark, d):
+    """Sections in single precision, a hundred to a folder, read back."""
+    path = scratch_path(spark, "single")
+    stacks.write_sections(fx.emb_smooth(spark, d), path, single=True, per_folder=100)
+    return r6(stacks.as_pixels(spark.read.parquet(path)), "v")
+
+
+@query
+def numbered_sections(spark, d):
+    """The middle half of a written stack, renumbered from 0, with the number of files each section was read from."""
+    path, n = scratch_path(spark, "numbered"), fx.emb_sections(spark, d)
+    stacks.write_sections(fx.emb(spark, d), path, per_folder=100)
+    pixels = stacks.load_sections(spark, path, n // 4, 3 * n // 4, keep_path=True)
+    return pixels.groupBy("z").agg(
+        F.count("v").alias("pixels"), F.round(F.avg("v"), 6).alias("v"), (F.count_distinct("path") > 0).alias("found")
+    )
+
+
 @query
 def write_report(spark, d):
     return stacks.write_report(*_written(spark, d))

@@ -248,17 +248,13 @@ def merge_strips(chunked: DataFrame, chunks: int) -> DataFrame:
     """Join per-chunk similarities ``(chunk, bx, by, z1, z2, n, s)``.
 
     Chunks own disjoint pairs, so joining is dropping the chunk; a block stays
-    only when every chunk has it.
+    only when every chunk has it.  Which blocks do is a row a block, counted and sent
+    to the rows, so the rows of a block stay where they are.
     """
-    kept = (
-        chunked.select("bx", "by", "chunk")
-        .distinct()
-        .groupBy("bx", "by")
-        .agg(F.count(F.lit(1)).alias("_have"))
-        .where(F.col("_have") == chunks)
-        .select("bx", "by")
-    )
-    return chunked.join(kept, ["bx", "by"], "left_semi").drop("chunk")
+    chunked = materialize(chunked, "strips")
+    present = chunked.select("bx", "by", "chunk").distinct().groupBy("bx", "by").agg(F.count(F.lit(1)).alias("_have"))
+    kept = materialize(present.where(F.col("_have") == chunks).select("bx", "by"), "complete-blocks")
+    return chunked.join(checked_broadcast(kept, kept.count()), ["bx", "by"], "left_semi").drop("chunk")
 
 
 def strip_to_matrix(strip: DataFrame) -> DataFrame:
