@@ -674,6 +674,13 @@ oracle(
         "crd": CTES["crd"][1].format(**{**DEFAULTS, "side": 3}),
     },
 )
+oracle(
+    "estimation_job",
+    """SELECT b.stage, b.bx, b.by, n AS sections, true AS rising, n + 2 * (5 * n - 15) AS entries FROM en, (
+         SELECT 0::BIGINT AS stage, 0::BIGINT AS bx, 0::BIGINT AS by
+         UNION ALL SELECT 1, i % 2, i // 2 FROM generate_series(0, 3) AS g(i)) b""",
+    "en",
+)
 # Twice the coordinates, so a target's position is 2 p + 1 with p where twice the coordinates reach its number.
 EINV = """SELECT b.bx, b.by, b.z, 2 * min(CASE WHEN s.z IS NULL THEN NULL
                                               WHEN s.c1 > s.c THEN s.z + (b.z - s.c) / (s.c1 - s.c) ELSE s.z END) + 1 AS c
