@@ -681,9 +681,10 @@ oracle(
          UNION ALL SELECT 1, i % 2, i // 2 FROM generate_series(0, 3) AS g(i)) b""",
     "en",
 )
-# Twice the coordinates, so a target's position is 2 p + 1 with p where twice the coordinates reach its number.
+# A target's position is 2 p from the middle of the stack on, with p where twice the coordinates reach its number.
 EINV = """SELECT b.bx, b.by, b.z, 2 * min(CASE WHEN s.z IS NULL THEN NULL
-                                              WHEN s.c1 > s.c THEN s.z + (b.z - s.c) / (s.c1 - s.c) ELSE s.z END) + 1 AS c
+                                              WHEN s.c1 > s.c THEN s.z + (b.z - s.c) / (s.c1 - s.c) ELSE s.z END)
+                            + (SELECT n // 2 FROM en) AS c
           FROM elut b LEFT JOIN (SELECT bx, by, z, 2 * c AS c, 2 * lead(c) OVER (PARTITION BY bx, by ORDER BY z) AS c1 FROM elut) s
             ON s.bx = b.bx AND s.by = b.by
            AND ((s.c1 > s.c AND b.z >= s.c AND b.z < s.c1) OR (s.c1 IS NULL AND b.z = s.c))

@@ -567,13 +567,14 @@ def _job(spark, d, source: str, target: str, mask: str = "", **rest) -> dict:
 
 @query
 def render_job(spark, d):
-    """The written job over the stack of embeddings; targets beyond the last coordinate have no source and are reported."""
+    """The written job over the stack of embeddings; targets without a source are reported as such."""
     source, target, output = (scratch_path(spark, f"render-{x}") for x in ("source", "target", "output"))
     stacks.write_sections(fx.emb(spark, d), source, per_folder=100)
     options = _job(spark, d, source, target, options=[{"steps": [2, 2], "radii": [2, 2]}])
-    # every second section is asked for, so the other half of the targets reads nothing
-    sparse = fx.lut_emb(spark, d).withColumn("c", F.col("c") * 2)
-    repair.invert_lut(sparse, sections=options.sections).withColumn("c", F.col("c") * 2 + 1).write.parquet(f"{target}/stage=0/backward")
+    # positions run on from the middle of the stack, so the later half of the targets has no source
+    sparse = repair.invert_lut(fx.lut_emb(spark, d).withColumn("c", F.col("c") * 2), sections=options.sections)
+    backward = sparse.withColumn("c", F.col("c") * 2 + F.lit(options.sections // 2))
+    backward.write.parquet(f"{target}/stage=0/backward")
     return estimate.render_job(spark, options, 0, fx.SIDE, fx.SIDE, output)
 
 
