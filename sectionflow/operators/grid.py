@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from sectionflow.functions.grid import Grid, explode_range, member_range
 
 
+STRIP = 64  # block columns
+
+
 def block_grid(spark: SparkSession, grid: Grid) -> DataFrame:
-    """blocks(bx, by, cx, cy); generated in parallel, row-major order."""
+    """blocks(bx, by, cx, cy); generated in parallel, strip by strip of ``STRIP`` columns, row-major inside.
+
+    A stretch of rows then has few values in any column, so a written grid takes about half
+    a byte a block however wide it is; whole rows of a wide grid fill the dictionaries of files.
+    """
     if grid.size == 0:
         return spark.range(0).selectExpr("id AS bx", "id AS by", "id AS cx", "id AS cy")
-    bx, by = F.expr(f"id % {grid.nx}"), F.expr(f"id div {grid.nx}")
+    first = f"(id div {STRIP * grid.ny} * {STRIP})"
+    width = f"least({STRIP}, {grid.nx} - {first})"
+    inside = f"(id % {STRIP * grid.ny})"
+    bx, by = F.expr(f"{first} + {inside} % {width}"), F.expr(f"{inside} div {width}")
     return spark.range(grid.size).select(
         bx.alias("bx"),
         by.alias("by"),

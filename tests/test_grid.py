@@ -20,6 +20,17 @@ def test_radius_beyond_extent_gives_nothing(spark):
         assert g.block_grid(spark, grid).count() == 0
 
 
+def test_wide_grids_are_written_small(spark, tmp_path):
+    for width, height in ((64, 5), (130, 7), (3, 200)):
+        grid = Grid(width + 1, height + 1, (1, 1), (1, 1))
+        got = {(r.bx, r.by, r.cx, r.cy) for r in g.block_grid(spark, grid).collect()}
+        assert got == {(x, y, x + 1, y + 1) for x in range(width) for y in range(height)}
+    wide = g.block_grid(spark, Grid(150_000, 20, (1, 1), (1, 1)))
+    wide.coalesce(1).write.parquet(str(tmp_path / "grid"))
+    size = sum(f.stat().st_size for f in (tmp_path / "grid").glob("*.parquet"))
+    assert size < 2 * wide.count()  # bytes; whole rows of the grid take four times as much
+
+
 def test_division_truncates_toward_zero(spark):
     df = spark.createDataFrame([(0, 0), (1, 9), (12, 5)], "x bigint, y bigint")
     got = rows(g.world_to_local(df, Grid(20, 20, (5, 5), (4, 4))), "x")
