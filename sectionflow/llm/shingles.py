@@ -4,18 +4,20 @@ Two documents are linked when their sets of runs of ``SIZE`` words share at leas
 four fifths of their union; groups are what such links connect.  Links are only
 taken from exact similarities, of 64-bit hashes of the runs.
 
-Candidates are found without a pass over all pairs.  The hashes of a set are in
-order, and each two neighbours among its ``LOWEST`` smallest are a key.  If a union
-has at most ``LOWEST`` runs, a linked pair always shares a key, as the runs of one
+Candidates are found by SimHash without a pass over all pairs.  The hashes of a set are
+in order, and each two neighbours among its ``LOWEST`` smallest name a shard.  If a union
+has at most ``LOWEST`` runs, a linked pair always shares a shard, as the runs of one
 side only, a fifth at most, cannot part all others.  In a larger union each run is
 one of both sides with a probability of at least 0.8, independently, and that of no
-two neighbours among ``LOWEST`` is below 0.52 ** 48 = 2e-14.  What meets in a key is
-compared by size, which is exact, and by a sketch of ``BITS`` bits of minimal hashes:
-a linked pair differs in 25.6 of them on average or less, with a spread of 4.8, and
-is lost beyond ``MOST_BITS``, 7 spreads away.
+two neighbours among ``LOWEST`` is below 0.52 ** 48 = 2e-14.  Blocks of fingerprint bits,
+which make the shards of ``simhash``, would not do here: a link bridges too many bits.
+Inside a shard the SimHash fingerprints of ``BITS`` bits are searched by vantage points, and
+sets are candidates whose sizes fit, which is exact, and whose fingerprints differ in
+``MOST_BITS`` at most: those of a linked pair differ in about 39 bits, and in 48 with a
+spread of 6.2 for the worst sets (four runs of five), so one is lost 7 spreads away.
 
 A group of n near copies has n * n pairs, of which none need leave a task.  In a first
-step the sets of a key are joined to families by their sketches; a key gives a row for
+step the sets of a key are joined to families by their fingerprints; a key gives a row for
 each set that is not the first of its family.  All links lie inside the families that
 all keys together make.  In a second step the sets of a family, each sent once, are
 compared exactly; what has been linked is not compared again, and pairs whose distances
@@ -49,13 +51,14 @@ from sectionflow.session import materialize
 SIZE = 5
 SHARE = 4, 5  # of the union that linked sets have in common
 LOWEST = 48
-BITS, MOST_BITS = 256, 60
+BITS, MOST_BITS = 256, 92
 BLOCK = 2048  # sets of a key or family that are met at once
 SMALL_SHARD = 16  # groups up to this size are compared row by row
-CHUNK = 1024  # hashes of a set sketched at once
+LEAF = 64  # sets in a leaf of a vantage tree
+CHUNK = 4096  # hashes of a set whose bits are counted at once
 
-_FACTORS = _random(3, BITS) | np.uint64(1)
-_SKETCH = [f"sketch_{i}" for i in range(BITS // 64)]
+_FACTORS = _random(3, BITS // 64) | np.uint64(1)
+_FINGERPRINT = [f"simhash_{i}" for i in range(BITS // 64)]
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -77,20 +80,23 @@ def text_shingles(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
     return map(shingles, hashed_words((t or b"").lower() for t in texts))
 
 
-def sketch(runs: np.ndarray) -> np.ndarray:
-    """A bit of each of ``BITS`` minimal hashes, as signed longs."""
-    low = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+def fingerprint(runs: np.ndarray) -> np.ndarray:
+    """SimHash of ``BITS`` bits, those set in over half of the runs' hashes, as signed longs."""
+    ones = np.zeros(BITS, np.int64)
     for i in range(0, len(runs), CHUNK):
-        np.minimum(low, (runs[i : i + CHUNK, None] * _FACTORS).min(axis=0), out=low)
-    return np.packbits((low >> np.uint64(20) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<i8")
+        bits = runs[i : i + CHUNK, None] * _FACTORS
+        bits = (bits ^ bits >> np.uint64(32)) * _B
+        bits ^= bits >> np.uint64(29)
+        ones += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(runs), bitorder="little").view("<i8")
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Columns doc_id, row, set (hash of its runs), n (their number), keys, sketch_0, ...; one row per row."""
+    """Columns doc_id, row, set (hash of its runs), n (their number), keys, simhash_0, ...; one row per row."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, keys, bits = [], [], [], np.zeros((len(_SKETCH), batch.num_rows), np.int64)
+            names, sizes, keys, bits = [], [], [], np.zeros((len(_FINGERPRINT), batch.num_rows), np.int64)
             for i, runs in enumerate(text_shingles(x.as_py() for x in batch.column("text"))):
                 if i == batch.num_rows:
                     break
@@ -98,21 +104,29 @@ def described(docs: DataFrame) -> DataFrame:
                 names.append(xxhash.xxh64_intdigest(runs.tobytes()))
                 sizes.append(len(runs))
                 keys.append(((low[:-1] * _A ^ low[1:]) * _B).view(np.int64))
-                bits[:, i] = sketch(runs)
+                bits[:, i] = fingerprint(runs)
             columns = [batch.column("doc_id"), batch.column("row"), pa.array(np.array(names, np.uint64).view(np.int64))]
             columns += [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, bits)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "set", "n", "keys", *_SKETCH])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "set", "n", "keys", *_FINGERPRINT])
 
     rows = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row"), F.col("text").cast("binary"))
-    schema = "doc_id long, row long, set long, n long, keys array<long>, " + ", ".join(f"{x} long" for x in _SKETCH)
+    schema = "doc_id long, row long, set long, n long, keys array<long>, " + ", ".join(f"{x} long" for x in _FINGERPRINT)
     return rows.mapInArrow(kernel, schema)
 
 
-def alike(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Which rows (n, sketch) of two arrays of equal length, or of one row and many, can be linked."""
+def sizes_fit(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     part, whole = SHARE
-    fits = whole * np.minimum(one[..., 0], two[..., 0]) >= part * np.maximum(one[..., 0], two[..., 0])
-    return fits & (np.bitwise_count((one[..., 1:] ^ two[..., 1:]).view(np.uint64)).sum(axis=-1) <= MOST_BITS)
+    return whole * np.minimum(one, two) >= part * np.maximum(one, two)
+
+
+def bits_apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Bits in which the fingerprints of rows (n, fingerprint) differ; of equal numbers of rows, or of one and many."""
+    return np.bitwise_count((one[..., 1:] ^ two[..., 1:]).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
+def alike(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which rows of two arrays of equal length, or of one row and many, can be linked."""
+    return sizes_fit(one[..., 0], two[..., 0]) & (bits_apart(one, two) <= MOST_BITS)
 
 
 def families(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -132,8 +146,42 @@ def families(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarra
     return first
 
 
+def vantage_families(rows: np.ndarray) -> np.ndarray:
+    """For each row (n, fingerprint) of a shard the first row of its family, by a vantage-point tree.
+
+    A vantage point splits rows by their distance to it.  Rows of sizes that fit within half of
+    ``MOST_BITS`` of it are alike by the triangle inequality and not compared.  After a split only
+    rows whose distances differ by ``MOST_BITS`` at most meet those of the other side, and of
+    these only rows that are not in one family yet.
+    """
+    labels, todo = Labels(len(rows)), [np.arange(len(rows))]
+    while todo:
+        ids = todo.pop()
+        own = rows[ids]
+        far = bits_apart(own[0], own)
+        core = (far <= MOST_BITS // 2) & sizes_fit(own[:, 0].min(), own[:, 0])
+        core &= sizes_fit(own[:, 0].max(), own[:, 0])
+        if core.any():
+            labels.link(ids[core], np.full(int(core.sum()), ids[core][0]))
+            if core.all():
+                continue
+        cut = int(np.median(far))
+        inner, outer = far <= cut, far > cut
+        if len(ids) <= LEAF or not outer.any():
+            first = families(len(ids), lambda i, left: alike(own[i], own[left]))
+            labels.link(ids, ids[first])
+            continue
+        todo += [ids[inner], ids[outer]]
+        a, b = ids[inner & (far > cut - MOST_BITS)], ids[outer & (far <= cut + MOST_BITS)]
+        for x in b:
+            apart = a[labels.of[a] != labels.of[x]]
+            met = apart[alike(rows[x], rows[apart])]
+            labels.link(met, np.full(len(met), x))
+    return labels.of
+
+
 def key_families(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """For each row (n, sketch) the number of the first row of its family; rows of a key are next to each other."""
+    """For each row (n, fingerprint) the number of the first row of its family; rows of a key are next to each other."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     labels = Labels(len(keys))
@@ -144,7 +192,7 @@ def key_families(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
         labels.link(at, at + step)
     for k in np.flatnonzero(sizes > SMALL_SHARD):
         own = rows[starts[k] : starts[k] + sizes[k]]
-        labels.of[starts[k] : starts[k] + sizes[k]] = starts[k] + families(len(own), lambda i, left: alike(own[i], own[left]))
+        labels.of[starts[k] : starts[k] + sizes[k]] = starts[k] + vantage_families(own)
     return labels.of
 
 
@@ -220,14 +268,14 @@ def key_links(sets: DataFrame) -> DataFrame:
     rows = sets.select("set", F.explode("keys").alias("key"))
     # Most keys have one set; they are found before anything else moves.
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = rows.join(shared, "key").join(sets.select("set", "n", *_SKETCH), "set")
+    members = rows.join(shared, "key").join(sets.select("set", "n", *_FINGERPRINT), "set")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
             meeting, names, *rest = (c.to_numpy() for c in table.columns)
             yield _linked(names, key_families(meeting, np.stack(rest, axis=1)))
 
-    met = _met(members, "key").select("meeting", "set", "n", *_SKETCH).repartition("meeting").sortWithinPartitions("meeting")
+    met = _met(members, "key").select("meeting", "set", "n", *_FINGERPRINT).repartition("meeting").sortWithinPartitions("meeting")
     return met.mapInArrow(kernel, "a long, b long").distinct()
 
 
@@ -269,7 +317,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group, unchanged; a row without id only if all have none."""
     rows = described(docs)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    same = [F.any_value(x).alias(x) for x in ("n", "keys", *_SKETCH)]
+    same = [F.any_value(x).alias(x) for x in ("n", "keys", *_FINGERPRINT)]
     sets = materialize(rows.groupBy("set").agg(first, *same), "shingle-sets")
     families_ = connected_components(key_links(sets), "shingle-families")
     links = exact_links(docs, sets, families_)

@@ -261,6 +261,31 @@ def test_families_in_blocks(spark, monkeypatch):
     assert shingles.key_links(sets).count() <= sets.count() * shingles.LOWEST
 
 
+def test_candidates_come_from_simhash_and_vantage_points():
+    rng = np.random.default_rng(31)
+    runs = np.unique(rng.integers(0, 2**63, 700).astype(np.uint64))
+    rng.shuffle(runs)
+    one, two, alone = (shingles.fingerprint(r).view(np.uint8) for r in (runs[:560], runs, runs[600:]))
+    assert 10 < np.unpackbits(one ^ two).sum() < shingles.MOST_BITS < np.unpackbits(one ^ alone).sum()
+    assert (shingles.fingerprint(runs) == shingles.fingerprint(runs[::-1])).all()
+    assert not shingles.fingerprint(runs[:0]).any()
+
+    rows = []  # families of several sizes, with members at all distances, and rows alone
+    for members, size in ((300, 100), (40, 60), (7, 90), (1, 100), (1, 40)):
+        base = rng.integers(0, 2, shingles.BITS)
+        for i in range(members):
+            bits = base.copy()
+            bits[rng.integers(0, shingles.BITS, int(rng.integers(0, 100)))] ^= 1
+            rows.append([size + i % 40, *np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")])
+    rows = np.array(rows, np.int64)[rng.permutation(len(rows))]
+    label = list(range(len(rows)))
+    for i, r in enumerate(rows):
+        for j in np.flatnonzero(shingles.alike(r, rows)):
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    assert shingles.vantage_families(rows).tolist() == label
+
+
 # ---- 4: substrings
 
 
