@@ -35,7 +35,7 @@ from sectionflow.operators.similarity import (
 from sectionflow.operators.tolerant import tolerant_strategy
 from sectionflow.plans.options import JobOptions, Stage
 from sectionflow.session import materialize
-from sectionflow.sources.stacks import full_report, load_masked, load_sections, write_sections
+from sectionflow.sources.stacks import full_report, load_masked, load_sections, sections_per_folder, write_sections
 
 BAND = 1024  # pixel rows in a file of the rendered stack
 
@@ -192,5 +192,5 @@ def render_job(spark: SparkSession, options: JobOptions, stage: int, width: int,
     grid = Grid(width // side, height // side, chosen.radii, chosen.steps)
     backward = spark.read.parquet(f"{options.target}/stage={stage}/backward")
     rendered = render(pixels, backward, grid, width, height, options.sections, side)
-    write_sections(rendered, output, single=True, band=BAND)
+    write_sections(rendered, output, single=True, per_folder=sections_per_folder(options.sections), band=BAND)
     return full_report(spark.read.parquet(output), options.sections, width * height).orderBy("z")

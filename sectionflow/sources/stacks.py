@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sectionflow.functions.stats import present
 
 KEYS = ("z", "x", "y")
+FOLDERS = 1000  # of a stack, unless the caller says how many sections a folder holds
 
 
 def as_pixels(df: DataFrame, value: str = "v") -> DataFrame:
@@ -93,20 +94,27 @@ def write_sections(
     pixels: DataFrame,
     path: str,
     single: bool = False,
-    per_folder: int = 1,
+    per_folder: int | None = None,
     mode: str = "errorifexists",
     band: int | None = None,
 ) -> None:
-    """Write a stack as one folder per section, pixels sorted inside it.
+    """Write a stack as one folder per section, or per run of sections, pixels sorted inside it.
 
     A range split on (z, y, x) spreads one oversized section over several tasks
     and leaves each task few open folders.  ``single`` narrows values to float.
-    ``per_folder`` puts that many sections into a folder, for very many small ones.
-    With ``band`` that many pixel rows of a section make a file and meet by hash; a
-    range split samples its input first, so it computes a lazy stack twice.
+    ``per_folder`` puts that many sections into a folder, for very many small ones; by
+    default the least number that needs at most ``FOLDERS`` folders, as each folder costs
+    a file and its entry in the driver, whatever it holds.
+    With ``band`` that many pixel rows of a folder make a file and meet by hash; a
+    range split samples its input first, so it computes a lazy stack twice, and so does
+    looking up the range of z, which ``per_folder`` saves.
     """
     out = pixels.withColumn("v", F.col("v").cast("float")) if single else pixels
-    dealt = out.repartition("z", F.expr(f"y div {band}")) if band else out.repartitionByRange("z", "y", "x")
+    if per_folder is None:
+        low, high = pixels.agg(F.min("z"), F.max("z")).first()
+        per_folder = 1 if low is None else sections_per_folder(high - low + 1)
+    by_band = F.expr(f"z div {per_folder}"), F.expr(f"y div {band or 1}")
+    dealt = out.repartition(*by_band) if band else out.repartitionByRange("z", "y", "x")
     ordered = dealt.sortWithinPartitions("z", "y", "x")
     if per_folder == 1:
         ordered.write.mode(mode).partitionBy("z").parquet(path)
@@ -116,6 +124,11 @@ def write_sections(
     ordered.write.mode(mode).partitionBy("z_from", "z_to").parquet(path)
 
 
+def sections_per_folder(sections: int) -> int:
+    """The least number of sections to a folder that needs at most ``FOLDERS`` folders, wherever the first one begins."""
+    return 1 if sections <= FOLDERS else -(-sections // (FOLDERS - 1))
+
+
 def write_report(expected: DataFrame, written: DataFrame) -> DataFrame:
     """(z, pixels, ok) for every expected section, compared with what was read back."""
     want = expected.groupBy("z").agg(F.count(F.lit(1)).alias("expected"))

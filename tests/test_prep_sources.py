@@ -43,6 +43,17 @@ def test_several_sections_per_folder(spark, tmp_path, random_stack):
     assert rows(stacks.load_sections(spark, path), "z", "x", "y") == rows(df, "z", "x", "y")
 
 
+def test_many_sections_share_folders(spark, tmp_path, monkeypatch):
+    df = spark.range(7, 207).selectExpr("id AS z", "id % 2 AS x", "0L AS y", "double(id) AS v")
+    for folders, most in ((16, 16), (1000, 200)):
+        monkeypatch.setattr(stacks, "FOLDERS", folders)
+        path = tmp_path / str(folders)
+        stacks.write_sections(df, str(path))
+        assert len(list(path.rglob("*.parquet"))) <= most + 8  # a run of sections may be cut between tasks
+        assert len([p for p in path.rglob("*") if p.is_dir() and list(p.glob("*.parquet"))]) <= most
+        assert rows(stacks.load_sections(spark, str(path), 0, 300), "z", "x", "y") == rows(df, "z", "x", "y")
+
+
 def test_write_report_lists_lost_sections(spark, tmp_path, random_stack):
     df, _ = random_stack
     path = str(tmp_path / "partial")
