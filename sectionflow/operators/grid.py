@@ -84,3 +84,23 @@ def cells_to_blocks(df: DataFrame) -> DataFrame:
         .withColumn("by", explode_range(F.col("ly"), F.col("hy")))
         .drop(*CELL)
     )
+
+
+TILE = 32  # blocks a side
+
+
+def block_totals(pixels: DataFrame, grid: Grid, closed: bool = False) -> DataFrame:
+    """(bx, by, n, v): pixels of each block that has any, and the sum of their values.
+
+    Pixels are added up by cell, cells are sent to the tiles of blocks that they reach into,
+    and a tile's blocks are added up where its cells are, so no row moves once for each block.
+    """
+    cells = with_cell(pixels, grid, closed).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+    for tile, low, high in (("tx", "lx", "hx"), ("ty", "ly", "hy")):
+        cells = cells.withColumn(tile, F.expr(f"explode(sequence({low} div {TILE}, {high} div {TILE}))"))
+    placed = cells.repartition("tx", "ty")
+    for tile, low, high in (("tx", "lx", "hx"), ("ty", "ly", "hy")):
+        first, last = f"{tile} * {TILE}", f"{tile} * {TILE} + {TILE - 1}"
+        placed = placed.withColumns({low: F.expr(f"greatest({low}, {first})"), high: F.expr(f"least({high}, {last})")})
+    sums = F.sum("n").alias("n"), F.sum("v").alias("v")
+    return cells_to_blocks(placed).groupBy("tx", "ty", "bx", "by").agg(*sums).drop("tx", "ty")

@@ -79,3 +79,13 @@ def test_block_sections_is_the_full_product(spark):
     got = g.block_sections(spark, Grid(8, 8, (2, 2), (2, 3)), 5)
     assert got.count() == got.distinct().count() == 3 * 2 * 5
     assert got.agg(F.max("bx"), F.max("by"), F.max("z")).first()[:] == (2, 1, 4)
+
+
+def test_block_totals_add_up_the_members(spark):
+    grid = Grid(100, 90, (3, 2), (2, 1))
+    pixels = spark.range(4000).selectExpr("id * 7 % 100 AS x", "id * id % 90 AS y", "double(id % 5) AS v")
+    for closed in (False, True):
+        direct = g.block_members(pixels, grid, closed).groupBy("bx", "by")
+        direct = direct.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+        totals = g.block_totals(pixels, grid, closed)
+        assert rows(totals.select("bx", "by", "n", "v"), "bx", "by") == rows(direct, "bx", "by")
