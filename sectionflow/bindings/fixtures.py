@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sectionflow.functions.chunks import owned, with_halo
+from sectionflow.functions.chunks import enough_partitions, owned, with_halo
 from sectionflow.functions.grid import Grid
 from sectionflow.operators.grid import block_members, block_sections
 from sectionflow.sources.stacks import unpack_pixels
@@ -34,6 +34,11 @@ def emb_sections(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0]
 
 
+def emb_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for a row per pixel of ``emb``."""
+    return enough_partitions(spark, table(spark, sf_dir, "embeddings").count() * SIDE * SIDE)
+
+
 def emb_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``emb`` averaged over each section and the seven after it."""
     spread = with_halo(emb(spark, sf_dir), STEP, after=7)
@@ -53,9 +58,19 @@ def line_pixels(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame
     )
 
 
+def li_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for a row per line item."""
+    return enough_partitions(spark, table(spark, sf_dir, "lineitem").count())
+
+
+def li_cells(spark: SparkSession, sf_dir: str, lines: DataFrame, value: str | Column) -> DataFrame:
+    """``value`` of line items added up by cell.  Few share a cell, so they meet as they are, in partitions that follow their number."""
+    return lines.repartition(li_parts(spark, sf_dir), "z", "x", "y").groupBy("z", "x", "y").agg(F.sum(value).alias("v"))
+
+
 def li(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
     """Holey stack of whole numbers: quantity per (orders, part) cell."""
-    return line_pixels(spark, sf_dir, side).groupBy("z", "x", "y").agg(F.sum("l_quantity").alias("v"))
+    return li_cells(spark, sf_dir, line_pixels(spark, sf_dir, side), "l_quantity")
 
 
 def li_sections(spark: SparkSession, sf_dir: str) -> int:
@@ -73,7 +88,7 @@ def li_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def li_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights for the cells that hold returned items."""
     returned = line_pixels(spark, sf_dir).where(F.col("l_returnflag") == "R")
-    return returned.groupBy("z", "x", "y").agg(F.sum("l_quantity").alias("v"))
+    return li_cells(spark, sf_dir, returned, "l_quantity")
 
 
 def plane(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
 SMALL = 1_000_000  # rows of a few numbers that every executor may hold
+TASK_ROWS = 500_000  # pixels that a task sorts, pairs or adds up
 
 
 def checked_broadcast(small: DataFrame, rows: int) -> DataFrame:
@@ -21,6 +22,19 @@ def checked_broadcast(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= SMALL else small
 
 
+def enough_partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions that leave ``TASK_ROWS`` rows to each; never fewer than the session's own number.
+
+    The session's number does not follow the data, so a task's memory would.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Rows hashed by ``keys``, into the session's number of partitions if none is given."""
+    return df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+
+
 def with_halo(
     df: DataFrame, step: int, before: int = 0, after: int = 0, axis: str = "z", chunk: str = "chunk"
 ) -> DataFrame:

@@ -9,9 +9,12 @@ import numpy as np
 import pytest
 
 from sectionflow import Grid
+from sectionflow.bindings.queries import QUERIES
+from sectionflow.functions import chunks
 from sectionflow.operators import similarity
 
 ROOT = Path(__file__).resolve().parent.parent
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def stack(spark, planes):
@@ -143,3 +146,14 @@ def test_tolerant_windows(spark, radius, tile):
     for r in got:
         assert r.s == pytest.approx(want[r.z1, r.z2, r.x, r.y], abs=1e-6), r
         assert r.s == 0 or 1 not in (r.z1, r.z2)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="given tables not present")
+@pytest.mark.parametrize("name", ["stack_channels", "pack_channels"])
+def test_partitions_follow_the_rows_of_a_table(spark, monkeypatch, name):
+    monkeypatch.setattr(chunks, "TASK_ROWS", 200)
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    found = QUERIES[name](spark, DATA)
+    assert found.rdd.getNumPartitions() >= lines // 200
+    monkeypatch.setattr(chunks, "TASK_ROWS", 10**9)
+    assert sorted(found.collect()) == sorted(QUERIES[name](spark, DATA).collect())
