@@ -75,19 +75,22 @@ def merge_centred(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def merge_centred_tree(
-    rows: DataFrame, keys: Sequence[str], place: tuple[str, str], side: int, span: tuple[int, int]
+    rows: DataFrame, keys: Sequence[str], place: tuple[str, str], side: int, span: tuple[int, int], partitions: int | None = None
 ) -> DataFrame:
     """``CENTRED`` of the rows of a key that are spread over an area of ``span`` positions.
 
     ``place`` names the columns with a row's position.  Squares of ``side`` positions are
     merged first, then eight by eight squares at a time, so that no group grows with
-    the area.
+    the area.  With ``partitions`` the rows of a step meet in that many.
     """
+    def met(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return merge_centred(rows.repartition(partitions, *keys) if partitions else rows, keys)
+
     while max(span) > side:
         square = [F.expr(f"{c} div {side} * {side}").alias(c) for c in place]
-        rows = merge_centred(rows.select(*keys, *CENTRED, *square), [*keys, *place])
+        rows = met(rows.select(*keys, *CENTRED, *square), [*keys, *place])
         side *= 8
-    return merge_centred(rows, keys)
+    return met(rows.select(*keys, *CENTRED), list(keys))
 
 
 def ncc() -> Column:

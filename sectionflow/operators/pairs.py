@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectionflow.functions.chunks import checked_broadcast, owned, with_halo
+from sectionflow.functions.chunks import checked_broadcast, dealt, owned, with_halo
 
 TILE = 64
 
@@ -14,21 +16,17 @@ def default_step(reach: int) -> int:
     return max(2 * reach, 64)
 
 
-def tiled_chunks(pixels: DataFrame, reach: int, step: int, tile: int = TILE) -> DataFrame:
+def tiled_chunks(pixels: DataFrame, reach: int, step: int, tile: int = TILE, partitions: int | None = None) -> DataFrame:
     """Pixels hashed by (z chunk with halo below, pixel tile).
 
     A group holds at most tile^2 * (step + reach) pixels however large the stack.
     """
-    return (
-        with_halo(pixels, step, before=reach)
-        .withColumn("tx", F.expr(f"x div {tile}"))
-        .withColumn("ty", F.expr(f"y div {tile}"))
-        .repartition("chunk", "tx", "ty")
-    )
+    tiles = {f"t{c}": F.expr(f"{c} div {tile}") for c in ("x", "y")}
+    return dealt(with_halo(pixels, step, before=reach).withColumns(tiles), ["chunk", "tx", "ty"], partitions)
 
 
-def pairs_in_chunks(chunked: DataFrame, reach: int, step: int) -> DataFrame:
-    """Banded pairs of an already chunked stack (see ``tiled_chunks``).
+def pairs_in_chunks(chunked: DataFrame, reach: int, step: int, kept: Sequence[str] = ("chunk",)) -> DataFrame:
+    """Banded pairs of an already chunked stack (see ``tiled_chunks``), with the ``kept`` columns of its groups.
 
     A pair belongs to the chunk that owns its larger section, so no pair repeats.
     """
@@ -37,23 +35,25 @@ def pairs_in_chunks(chunked: DataFrame, reach: int, step: int) -> DataFrame:
     return (
         chunked.withColumn("near", near)
         .where(owned(step))
-        .select("chunk", F.col("z").alias("z1"), "x", "y", F.col("v").alias("a"), F.explode("near").alias("n"))
-        .select("chunk", "z1", F.col("n.z2").alias("z2"), "x", "y", "a", F.col("n.b").alias("b"))
+        .select(*kept, F.col("z").alias("z1"), "x", "y", F.col("v").alias("a"), F.explode("near").alias("n"))
+        .select(*kept, "z1", F.col("n.z2").alias("z2"), "x", "y", "a", F.col("n.b").alias("b"))
     )
 
 
-def chunk_halo(pixels: DataFrame, reach: int, step: int, tile: int = TILE) -> DataFrame:
+def chunk_halo(pixels: DataFrame, reach: int, step: int, tile: int = TILE, partitions: int | None = None) -> DataFrame:
     """Banded pairs computed chunk by chunk: pair rows with their ``chunk``."""
-    return pairs_in_chunks(tiled_chunks(pixels, reach, step, tile), reach, step)
+    return pairs_in_chunks(tiled_chunks(pixels, reach, step, tile, partitions), reach, step)
 
 
-def band_join(pixels: DataFrame, reach: int, step: int | None = None, tile: int = TILE) -> DataFrame:
+def band_join(
+    pixels: DataFrame, reach: int, step: int | None = None, tile: int = TILE, partitions: int | None = None
+) -> DataFrame:
     """pairs(z1, z2, x, y, a, b) with 0 < z1 - z2 <= reach.
 
     Each pixel is shuffled once (plus halo), not once per partner: partners come
     from a sliding window over the pixel's own column.
     """
-    return chunk_halo(pixels, reach, step or default_step(reach), tile).drop("chunk")
+    return chunk_halo(pixels, reach, step or default_step(reach), tile, partitions).drop("chunk")
 
 
 def routes(lists: DataFrame, step: int) -> tuple[DataFrame, DataFrame, int]:

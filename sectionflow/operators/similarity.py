@@ -26,9 +26,9 @@ def correlate(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(both.alias("n"), centred_ncc().alias("s"))
 
 
-def section_ncc(pixels: DataFrame, reach: int) -> DataFrame:
+def section_ncc(pixels: DataFrame, reach: int, partitions: int | None = None) -> DataFrame:
     """sim(z1, z2, n, s) of whole sections."""
-    return correlate(band_join(pixels, reach), list(PAIR))
+    return correlate(band_join(pixels, reach, partitions=partitions), list(PAIR))
 
 
 def pair_moments(pixels: DataFrame, reach: int, tile: tuple[int, int]) -> DataFrame:
@@ -49,17 +49,18 @@ ORIGIN = ("x", "y")
 
 
 def cell_moments(chunked: DataFrame, grids: Sequence[Grid], reach: int, step: int) -> DataFrame:
-    """Centred moments of every cell and pair: (tx, ty, x, y, z1, z2, ``CENTRED``), built-in expressions only.
+    """Centred moments of every cell and pair: (chunk, tx, ty, x, y, z1, z2, ``CENTRED``), built-in expressions only.
 
     A cell is what no border of a block of any of the ``grids`` cuts, so it lies wholly
     inside or outside of each block; x, y is its first pixel.  Blocks are merged from
     cells, so pixels are paired once for any number of grids.  ``chunked`` comes from
-    ``tiled_chunks`` with the same or a larger reach.
+    ``tiled_chunks`` with the same or a larger reach; its groups own whole cells of a tile
+    and their pairs, so these are added up where they are.
     """
-    pairs = pairs_in_chunks(chunked.where("v IS NOT NULL"), reach, step)
-    tile = [F.expr(f"{c} div {TILE}").alias(t) for c, t in (("x", "tx"), ("y", "ty"))]
+    group = ["chunk", "tx", "ty"]
+    pairs = pairs_in_chunks(chunked.where("v IS NOT NULL"), reach, step, group)
     origin = [cell_origin(c, grids).alias(c) for c in ORIGIN]
-    return pairs.select("z1", "z2", "a", "b", *tile, *origin).groupBy("tx", "ty", *ORIGIN, *PAIR).agg(*centred_aggs())
+    return pairs.select(*group, "z1", "z2", "a", "b", *origin).groupBy(*group, *ORIGIN, *PAIR).agg(*centred_aggs())
 
 
 def cell_moments_packed(chunked: DataFrame, grids: Sequence[Grid], reach: int, step: int) -> DataFrame:
@@ -163,20 +164,22 @@ def _joined_arrays(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.concatenate([one[:2], n[None], np.concatenate([means, rest]) + distance])
 
 
-def block_similarity(pieces: DataFrame, grid: Grid) -> DataFrame:
+def block_similarity(pieces: DataFrame, grid: Grid, partitions: int | None = None) -> DataFrame:
     """sim(bx, by, z1, z2, n, s) from ``block_pieces``."""
     keys = ["bx", "by", *PAIR]
     span = tuple(2 * r for r in grid.radius)
-    merged = merge_centred_tree(pieces, keys, ORIGIN, 2 * TILE, span)
+    merged = merge_centred_tree(pieces, keys, ORIGIN, 2 * TILE, span, partitions)
     return merged.select(*keys, "n", ncc().alias("s"))
 
 
-def block_ncc(pixels: DataFrame, grid: Grid, reach: int, packed: bool = False, tile: int = TILE) -> DataFrame:
-    """Correlation of every block of every section pair within reach."""
+def block_ncc(
+    pixels: DataFrame, grid: Grid, reach: int, packed: bool = False, tile: int = TILE, partitions: int | None = None
+) -> DataFrame:
+    """Correlation of every block of every section pair within reach; pixels and pairs meet in ``partitions``, if given."""
     step = default_step(reach)
-    chunked = tiled_chunks(pixels.where("v IS NOT NULL"), reach, step, tile)
+    chunked = tiled_chunks(pixels.where("v IS NOT NULL"), reach, step, tile, partitions)
     cells = (cell_moments_packed if packed else cell_moments)(chunked, [grid], reach, step)
-    return block_similarity(block_pieces(cells, grid, reach), grid)
+    return block_similarity(block_pieces(cells, grid, reach), grid, partitions)
 
 
 def block_pair_map(sim: DataFrame) -> DataFrame:

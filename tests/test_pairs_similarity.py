@@ -183,3 +183,12 @@ def test_shifted_copy_is_found(spark):
     df = spark.createDataFrame(data, "z bigint, x bigint, y bigint, v double")
     got = tolerant.tolerant_ncc(df, 12, 12, 1, (1, 1), (2, 2)).where("x BETWEEN 4 AND 8 AND y BETWEEN 4 AND 8")
     assert got.agg(F.min("s")).first()[0] > 1 - 1e-9
+
+
+def test_blocks_meet_in_the_given_partitions(random_stack):
+    df, _ = random_stack
+    keys = "bx", "by", "z1", "z2"
+    got = similarity.block_ncc(df, GRID, 3, partitions=23)
+    assert got.rdd.getNumPartitions() == 23
+    want = rows(similarity.block_ncc(df, GRID, 3), *keys)
+    assert all(a[:5] == b[:5] and close(a[5], b[5]) for a, b in zip(rows(got, *keys), want, strict=True))
