@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectionflow.functions.chunks import checked_broadcast
+from sectionflow.functions.chunks import checked_broadcast, dealt
 from sectionflow.functions.grid import Grid, cell_origin
-from sectionflow.functions.stats import CENTRED, centred_aggs, centred_ncc, merge_centred_tree, moment_aggs, ncc
+from sectionflow.functions.stats import CENTRED, TINY, centred_aggs, centred_ncc, merge_centred_tree, moment_aggs, ncc
 from sectionflow.operators.grid import CELL, block_sections, cells_to_blocks, with_cell
 from sectionflow.operators.pairs import TILE, band_join, default_step, pairs_in_chunks, tiled_chunks
 from sectionflow.session import materialize
@@ -46,6 +46,7 @@ def tiled_ncc(moments: DataFrame, tiles: tuple[int, int] | None = None) -> DataF
 
 
 ORIGIN = ("x", "y")
+DENSE = 1 << 20  # numbers of a dense array in a task
 
 
 def cell_moments(chunked: DataFrame, grids: Sequence[Grid], reach: int, step: int) -> DataFrame:
@@ -63,51 +64,71 @@ def cell_moments(chunked: DataFrame, grids: Sequence[Grid], reach: int, step: in
     return pairs.select(*group, "z1", "z2", "a", "b", *origin).groupBy(*group, *ORIGIN, *PAIR).agg(*centred_aggs())
 
 
+def _batches(sizes: np.ndarray, sections: int) -> Iterator[np.ndarray]:
+    """Cells of about equal numbers of pixels, few enough for dense arrays over ``sections`` squared."""
+    order, scale = np.argsort(sizes, kind="stable"), np.ceil(np.log2(sizes))
+    for same in np.split(order, np.flatnonzero(np.diff(scale[order])) + 1):
+        most = max(1, DENSE // (sections * max(sections, int(sizes[same[-1]]))))
+        yield from (same[i : i + most] for i in range(0, len(same), most))
+
+
 def cell_moments_packed(chunked: DataFrame, grids: Sequence[Grid], reach: int, step: int) -> DataFrame:
-    """The same from matrix products, as arrays over the pairs: a row for a cell of a (chunk, tile) group.
+    """The same from matrix products: (chunk, tx, ty, x, y, moments), a row for a cell of a (chunk, tile) group.
 
-    The pixels of a group's cell become a sections x pixels matrix; one product replaces
-    a row per pixel pair.  Values are taken relative to their section's mean in the
-    cell, so an offset does not cancel.  Groups are bounded by chunk and tile size.
+    ``moments`` holds z1, z2 and ``CENTRED`` of all pairs, one after the other, as doubles.
+    The pixels of a group's cell become a sections x pixels matrix; one product, of many
+    cells at once, replaces a row per pixel pair.  Values are taken relative to their
+    section's mean in the cell, so an offset does not cancel.  Groups are bounded by
+    chunk and tile size.
     """
     origin = {f"o{c}": cell_origin(c, grids) for c in ORIGIN}
     tagged = chunked.where("v IS NOT NULL").withColumns(origin)
-    names = ["chunk", "tx", "ty", *ORIGIN, *PAIR, *CENTRED]
 
     def banded(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk, tx, ty = (int(pdf[c].iat[0]) for c in ("chunk", "tx", "ty"))
+        group = [int(pdf[c].iat[0]) for c in ("chunk", "tx", "ty")]
+        x, y, v = (pdf[c].to_numpy() for c in ("x", "y", "v"))
         zs, zi = np.unique(pdf["z"].to_numpy(), return_inverse=True)
         gap = zs[:, None] - zs[None, :]
-        hi, lo = np.nonzero((gap > 0) & (gap <= reach) & (zs[:, None] >= chunk * step))
+        hi, lo = np.nonzero((gap > 0) & (gap <= reach) & (zs[:, None] >= group[0] * step))
+        ends = np.stack([zs[hi], zs[lo]]).astype(np.float64)
+        corners, cell = np.unique(pdf["ox"].to_numpy() * 2**31 + pdf["oy"].to_numpy(), return_inverse=True)
+        places, pi = np.unique(x * 2**31 + y, return_inverse=True)
+        of = np.zeros(len(places), np.int64)
+        of[pi] = cell
+        sizes = np.bincount(of)
+        at = np.zeros(len(places), np.int64)  # of a pixel inside its cell
+        at[np.argsort(of, kind="stable")] = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        batches = list(_batches(sizes, len(zs)))
+        number, slot = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        for k, cells in enumerate(batches):
+            number[cells], slot[cells] = k, np.arange(len(cells))
+        rows = np.argsort(number[cell], kind="stable")
         out: list[list] = []
-        for (x, y), rows in pdf.groupby(["ox", "oy"], sort=False).indices.items():
-            part = pdf.iloc[rows]
-            _, pi = np.unique(part["x"].to_numpy() * 2**31 + part["y"].to_numpy(), return_inverse=True)
-            mask = np.zeros((len(zs), pi.max() + 1))
-            mask[zi[rows], pi] = 1.0
-            seen = np.maximum(mask.sum(axis=1), 1.0)
+        for cells, mine in zip(batches, np.split(rows, np.cumsum(np.bincount(number[cell]))[:-1]), strict=True):
+            mask = np.zeros((len(cells), len(zs), sizes[cells].max()))
             near = np.zeros_like(mask)
-            near[zi[rows], pi] = part["v"].to_numpy()
-            mean = near.sum(axis=1) / seen
-            near = (near - mean[:, None]) * mask
-            rest = near.sum(axis=1) / seen  # what rounding left of the mean
-            near, mean = (near - rest[:, None]) * mask, mean + rest
-            square = near * near
-            products = mask @ mask.T, near @ mask.T, square @ mask.T, near @ near.T
-            n, sums, squares = (p[hi, lo] for p in products[:3])
-            other, other_squares, both = (p[lo, hi] for p in products[1:])
+            where = slot[cell[mine]], zi[mine], at[pi[mine]]
+            mask[where], near[where] = 1.0, v[mine]
+            seen = np.maximum(mask.sum(axis=2), 1.0)
+            mean = near.sum(axis=2) / seen
+            near = (near - mean[:, :, None]) * mask
+            rest = near.sum(axis=2) / seen  # what rounding left of the mean
+            near, mean = (near - rest[:, :, None]) * mask, mean + rest
+            square, across = near * near, mask.transpose(0, 2, 1)
+            products = mask @ across, near @ across, square @ across, near @ near.transpose(0, 2, 1)
+            n, sums, squares = (p[:, hi, lo] for p in products[:3])
+            other, other_squares, both = (p[:, lo, hi] for p in products[1:])
             n = np.where(n > 0, n, np.nan)
             qa, qb = np.maximum(squares - sums * sums / n, 0.0), np.maximum(other_squares - other * other / n, 0.0)
-            held = np.stack([n, mean[hi] + sums / n, mean[lo] + other / n, qa, qb, both - sums * other / n])
-            kept = ~np.isnan(n)
-            if kept.any():
-                pairs = zs[hi][kept], zs[lo][kept], held[0, kept].round().astype(np.int64)
-                out.append([chunk, tx, ty, x, y, *pairs, *held[1:, kept]])
-        return pd.DataFrame(out, columns=names)
-
-    ints = ", ".join(f"{c} array<bigint>" for c in (*PAIR, "n"))
-    reals = ", ".join(f"{c} array<double>" for c in CENTRED[1:])
-    schema = f"chunk bigint, tx bigint, ty bigint, x bigint, y bigint, {ints}, {reals}"
+            held = np.stack([n, mean[:, hi] + sums / n, mean[:, lo] + other / n, qa, qb, both - sums * other / n], axis=1)
+            for one, values in zip(cells, held, strict=True):
+                kept = ~np.isnan(values[0])
+                if kept.any():
+                    moments = np.concatenate([ends, values])[:, kept]
+                    out.append([*group, *divmod(int(corners[one]), 2**31), moments.tobytes()])
+        return pd.DataFrame(out, columns=["chunk", "tx", "ty", *ORIGIN, "moments"])
+
+    schema = "chunk bigint, tx bigint, ty bigint, x bigint, y bigint, moments binary"
     return tagged.groupBy("chunk", "tx", "ty").applyInPandas(banded, schema)
 
 
@@ -115,11 +136,11 @@ def block_pieces(cells: DataFrame, grid: Grid, reach: int) -> DataFrame:
     """Partial moments (bx, by, x, y, z1, z2, ``CENTRED``) of the blocks from the moments of their cells.
 
     Rows of ``cell_moments`` are repeated for every block of the cell; those of
-    ``cell_moments_packed`` are merged to blocks as they are read, tile by tile, and x, y
-    is then the tile's first pixel.
+    ``cell_moments_packed`` are merged to blocks as they are read, tile by tile, and stay
+    packed: (bx, by, chunk, x, y, moments), where x, y is the tile's first pixel.
     """
     tagged = with_cell(cells, grid)
-    if dict(cells.dtypes)["n"] == "bigint":
+    if "moments" not in cells.columns:
         near = tagged.where((F.col("z1") - F.col("z2") <= reach) & (F.col("n") > 0))
         return cells_to_blocks(near).select("bx", "by", *ORIGIN, *PAIR, *CENTRED)
 
@@ -127,22 +148,62 @@ def block_pieces(cells: DataFrame, grid: Grid, reach: int) -> DataFrame:
         for batch in batches:
             blocks: dict[tuple, np.ndarray] = {}
             keys = zip(*(batch.column(c).to_pylist() for c in ("chunk", "tx", "ty", *CELL)))
-            for i, (*group, lx, hx, ly, hy) in enumerate(keys):
-                z1, z2, *values = (batch.column(c)[i].values.to_numpy() for c in (*PAIR, *CENTRED))
-                one = np.stack([z1, z2, *values]).astype(np.float64)
-                one = one[:, z1 - z2 <= reach]
-                for at in ((bx, by, *group) for bx in range(lx, hx + 1) for by in range(ly, hy + 1)):
+            for (chunk, tx, ty, lx, hx, ly, hy), packed in zip(keys, batch.column("moments"), strict=True):
+                one = _unpacked(packed)
+                one = one[:, one[0] - one[1] <= reach]
+                for at in ((bx, by, chunk, tx * TILE, ty * TILE) for bx in range(lx, hx + 1) for by in range(ly, hy + 1)):
                     blocks[at] = _joined_arrays(blocks[at], one) if at in blocks else one
-            if not blocks:
-                continue
-            sizes = [b.shape[1] for b in blocks.values()]
-            at = np.repeat(np.array(list(blocks), np.int64), sizes, axis=0)
-            held = np.concatenate(list(blocks.values()), axis=1)
-            columns = [at[:, 0], at[:, 1], at[:, 3] * TILE, at[:, 4] * TILE, *held[:3].round().astype(np.int64), *held[3:]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bx", "by", *ORIGIN, *PAIR, *CENTRED])
+            if blocks:
+                yield _packed_rows(list(blocks.items()), [*PIECE, *ORIGIN])
+
+    return tagged.mapInArrow(pieces, ", ".join(f"{c} bigint" for c in (*PIECE, *ORIGIN)) + ", moments binary")
+
+
+PIECE = ("bx", "by", "chunk")
+
+
+def _unpacked(moments: pa.Scalar) -> np.ndarray:
+    """z1, z2 and ``CENTRED`` as rows, from the bytes of ``cell_moments_packed``."""
+    return np.frombuffer(moments.as_buffer()).reshape(2 + len(CENTRED), -1)
+
 
-    ints = ", ".join(f"{c} bigint" for c in ("bx", "by", *ORIGIN, *PAIR, "n"))
-    return tagged.mapInArrow(pieces, f"{ints}, " + ", ".join(f"{c} double" for c in CENTRED[1:]))
+def _packed_rows(found: list[tuple[tuple, np.ndarray]], keys: Sequence[str]) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.int64()) for c in zip(*(k for k, _ in found))]
+    moments = pa.array([m.tobytes() for _, m in found], pa.binary())
+    return pa.RecordBatch.from_arrays([*columns, moments], [*keys, "moments"])
+
+
+def _pair_rows(found: list[tuple[tuple, np.ndarray]], keys: Sequence[str]) -> pa.RecordBatch:
+    """(bx, by, z1, z2, n, s) of merged moments; s as in ``ncc``."""
+    at = np.repeat(np.array([k[:2] for k, _ in found], np.int64), [m.shape[1] for _, m in found], axis=0)
+    z1, z2, n, ma, mb, qa, qb, cab = np.concatenate([m for _, m in found], axis=1)
+    varies = (qa > TINY * n * ma * ma) & (qb > TINY * n * mb * mb)
+    s = cab / np.sqrt(np.where(varies, qa, 1.0)) / np.sqrt(np.where(varies, qb, 1.0))
+    columns = [at[:, 0], at[:, 1], *(c.round().astype(np.int64) for c in (z1, z2, n))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(s, mask=~varies)], ["bx", "by", *PAIR, "n", "s"])
+
+
+def _merged(pieces: DataFrame, keys: Sequence[str], partitions: int | None, leave: Callable, schema: str) -> DataFrame:
+    """Pieces of equal ``keys`` joined as they follow each other, and left as ``leave`` makes rows of them."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(0)
+        for batch in batches:
+            done = []
+            for key, packed in zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column("moments"), strict=True):
+                one = _unpacked(packed)
+                if key == last:
+                    held = _joined_arrays(held, one)
+                    continue
+                if last:
+                    done.append((last, held))
+                last, held = key, one
+            if done:
+                yield leave(done, keys)
+        if last:
+            yield leave([(last, held)], keys)
+
+    return dealt(pieces, keys, partitions).sortWithinPartitions(*keys).select(*keys, "moments").mapInArrow(joined, schema)
 
 
 def _joined_arrays(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -165,9 +226,18 @@ def _joined_arrays(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def block_similarity(pieces: DataFrame, grid: Grid, partitions: int | None = None) -> DataFrame:
-    """sim(bx, by, z1, z2, n, s) from ``block_pieces``."""
-    keys = ["bx", "by", *PAIR]
+    """sim(bx, by, z1, z2, n, s) from ``block_pieces``; a pair of sections belongs to one chunk."""
     span = tuple(2 * r for r in grid.radius)
+    if "moments" in pieces.columns:
+        side, near = 2 * TILE, [*PIECE, *ORIGIN]
+        while max(span) > side:
+            square = {c: F.expr(f"{c} div {side} * {side}") for c in ORIGIN}
+            schema = ", ".join(f"{c} bigint" for c in near) + ", moments binary"
+            pieces = _merged(pieces.withColumns(square), near, partitions, _packed_rows, schema)
+            side *= 8
+        pairs = "bx bigint, by bigint, z1 bigint, z2 bigint, n bigint, s double"
+        return _merged(pieces, list(PIECE), partitions, _pair_rows, pairs)
+    keys = ["bx", "by", *PAIR]
     merged = merge_centred_tree(pieces, keys, ORIGIN, 2 * TILE, span, partitions)
     return merged.select(*keys, "n", ncc().alias("s"))
 

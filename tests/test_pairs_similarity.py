@@ -192,3 +192,14 @@ def test_blocks_meet_in_the_given_partitions(random_stack):
     assert got.rdd.getNumPartitions() == 23
     want = rows(similarity.block_ncc(df, GRID, 3), *keys)
     assert all(a[:5] == b[:5] and close(a[5], b[5]) for a, b in zip(rows(got, *keys), want, strict=True))
+
+
+def test_packed_blocks_move_a_row_for_each_chunk_and_tile(random_stack):
+    df, _ = random_stack
+    cells = similarity.cell_moments_packed(pairs.tiled_chunks(df.where("v IS NOT NULL"), 4, 8), [GRID], 4, 8)
+    pieces = similarity.block_pieces(cells, GRID, 3)
+    assert pieces.count() == GRID.size * 5
+    keys = "bx", "by", "z1", "z2"
+    want = rows(similarity.block_ncc(df, GRID, 3), *keys)
+    got = rows(similarity.block_similarity(pieces, GRID), *keys)
+    assert all(a[:5] == b[:5] and close(a[5], b[5]) for a, b in zip(got, want, strict=True))
