@@ -16,29 +16,34 @@ from sectionflow.operators.grid import CELL, cells_to_blocks, with_cell
 from sectionflow.operators.pairs import default_step
 
 TILE = 32
+GROUP = 1 << 14  # pixels of a group's sections in one tile, halo included, if sections are so small
 ROUNDING = 1e-14  # of a tile's squares that running sums may be off, for each root of two counts
 
 
 def _moved(a: np.ndarray, dx: int, dy: int) -> np.ndarray:
-    """a[..., y + dy, x + dx], zero where that lies outside."""
-    h, w = a.shape[-2:]
+    """a[y + dy, x + dx], zero where that lies outside."""
+    h, w = a.shape[:2]
     out = np.zeros_like(a)
     ys, xs = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
-    out[..., ys, xs] = a[..., max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
+    out[ys, xs] = a[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
     return out
 
 
 def _window_sums(a: np.ndarray, r: int, axis: int) -> np.ndarray:
     """Sums over closed windows of radius ``r`` along an axis, as differences of running sums."""
     n = a.shape[axis]
-    total = np.concatenate([np.zeros_like(a.take([0], axis)), np.cumsum(a, axis)], axis)
+    total = np.empty((*a.shape[:axis], n + 1, *a.shape[axis + 1 :]))
+    running, planes = np.moveaxis(total, axis, 0), np.moveaxis(a, axis, 0)
+    running[0] = 0.0
+    for i in range(n):  # a plane at a time; the axis is no longer than a tile
+        np.add(running[i], planes[i], out=running[i + 1])
     at = np.arange(n)
     return total.take(np.minimum(at + r + 1, n), axis) - total.take(np.maximum(at - r, 0), axis)
 
 
 def _box(a: np.ndarray, rx: int, ry: int) -> np.ndarray:
-    """Sums over closed windows of the given radii; the cost does not depend on them."""
-    return _window_sums(_window_sums(a, rx, -1), ry, -2)
+    """Sums of a[y, x, pair] over closed windows of the given radii; the cost does not depend on them."""
+    return _window_sums(_window_sums(a, rx, 1), ry, 0)
 
 
 class _Tile:
@@ -71,11 +76,9 @@ def _best_scores(
     tile: _Tile, first: int, width: int, height: int, reach: int, offsets: tuple[int, int], radius: tuple[int, int]
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(larger, smaller, scores[pair, y, x]) for each distance between sections."""
-    (rx, ry), (mx, my) = radius, offsets
-    fits_x = lambda p: (p >= rx) & (p <= width - rx)
-    fits_y = lambda p: (p >= ry) & (p <= height - ry)
-    b, mb = tile.values, tile.mask
-    bb = b * b
+    # Sections last: operations run along them, however few pixels a section has.
+    values, mask = (np.ascontiguousarray(np.moveaxis(a, 0, -1)) for a in (tile.values, tile.mask))
+    some = max(32, GROUP // mask[..., 0].size)  # sections at a time, so that arrays stay in a cache
     for lag in range(1, reach + 1):
         at = np.minimum(np.searchsorted(tile.zs, tile.zs - lag), len(tile.zs) - 1)
         hi = np.nonzero((tile.zs[at] == tile.zs - lag) & (tile.zs >= first))[0]
@@ -83,24 +86,39 @@ def _best_scores(
             continue
         lo = at[hi]
         best = np.zeros((len(hi), len(tile.y), len(tile.x)))
-        for dy in range(-my, my + 1):
-            for dx in range(-mx, mx + 1):
-                a, ma = _moved(tile.values[hi], dx, dy), _moved(tile.mask[hi], dx, dy)
-                n = _box(ma * mb[lo], rx, ry)
-                sa, sb = _box(a * mb[lo], rx, ry), _box(b[lo] * ma, rx, ry)
-                va = n * _box(a * a * mb[lo], rx, ry) - sa * sa
-                vb = n * _box(bb[lo] * ma, rx, ry) - sb * sb
-                allowed = np.outer(
-                    fits_y(tile.y) & fits_y(tile.y + dy), fits_x(tile.x) & fits_x(tile.x + dx)
-                )
-                root = np.sqrt(n)
-                good = (va > root * tile.floor[hi]) & (vb > root * tile.floor[lo]) & allowed
-                top = n * _box(a * b[lo], rx, ry) - sa * sb
-                va, vb = np.where(good, va, 1.0), np.where(good, vb, 1.0)
-                best = np.maximum(best, np.where(good, top / np.sqrt(va) / np.sqrt(vb), 0.0))
+        for i in range(0, len(hi), some):
+            up, low = hi[i : i + some], lo[i : i + some]
+            pairs = values[..., up], mask[..., up], tile.floor[up, 0, 0], values[..., low], mask[..., low], tile.floor[low, 0, 0]
+            best[i : i + some] = np.moveaxis(_best_of_offsets(tile, *pairs, width, height, offsets, radius), -1, 0)
         yield hi, lo, best
 
 
+def _best_of_offsets(
+    tile: _Tile, upper: np.ndarray, upper_mask: np.ndarray, upper_floor: np.ndarray, b: np.ndarray, mb: np.ndarray,
+    floor: np.ndarray, width: int, height: int, offsets: tuple[int, int], radius: tuple[int, int],
+) -> np.ndarray:
+    """scores[y, x, pair] of pairs whose pixels lie in [y, x, pair]; ``upper`` is read at the offsets."""
+    (rx, ry), (mx, my) = radius, offsets
+    fits_x = lambda p: (p >= rx) & (p <= width - rx)
+    fits_y = lambda p: (p >= ry) & (p <= height - ry)
+    bb, best = b * b, np.zeros_like(b)
+    for dy in range(-my, my + 1):
+        for dx in range(-mx, mx + 1):
+            allowed = np.outer(fits_y(tile.y) & fits_y(tile.y + dy), fits_x(tile.x) & fits_x(tile.x + dx))
+            if not allowed.any():
+                continue
+            a, ma = _moved(upper, dx, dy), _moved(upper_mask, dx, dy)
+            parts = ma * mb, a * mb, b * ma, a * a * mb, bb * ma, a * b
+            n, sa, sb, saa, sbb, sab = (_box(part, rx, ry) for part in parts)
+            va, vb = n * saa - sa * sa, n * sbb - sb * sb
+            root = np.sqrt(n)
+            good = (va > root * upper_floor) & (vb > root * floor) & allowed[:, :, None]
+            top = n * sab - sa * sb
+            va, vb = np.where(good, va, 1.0), np.where(good, vb, 1.0)
+            best = np.maximum(best, np.where(good, top / np.sqrt(va) / np.sqrt(vb), 0.0))
+    return best
+
+
 def _tiled(pixels: DataFrame, reach: int, halo: tuple[int, int], step: int, tile: tuple[int, int]) -> DataFrame:
     cut = with_halo(pixels.select("z", "x", "y", "v"), tile[0], halo[0], halo[0], axis="x", chunk="tx")
     cut = with_halo(cut, tile[1], halo[1], halo[1], axis="y", chunk="ty")
@@ -110,7 +128,10 @@ def _tiled(pixels: DataFrame, reach: int, halo: tuple[int, int], step: int, tile
 def _setup(width, height, reach, offsets, radius, step, tile):
     radius = (min(radius[0], width - 1), min(radius[1], height - 1))
     halo = (radius[0] + offsets[0], radius[1] + offsets[1])
-    return radius, halo, step or default_step(reach), (max(tile, halo[0]), max(tile, halo[1]))
+    sides = max(tile, halo[0]), max(tile, halo[1])
+    # Of small sections many meet in a group, or what each group costs by itself would be most of the work.
+    area = min(width, sides[0] + 2 * halo[0]) * min(height, sides[1] + 2 * halo[1])
+    return radius, halo, step or max(default_step(reach), GROUP // area), sides
 
 
 def tolerant_ncc(

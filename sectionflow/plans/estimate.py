@@ -79,8 +79,9 @@ def estimate_stages(
 
     Pixels are shuffled and paired once, for the moments of the cells that the borders of
     all stages' blocks leave; these are written, and a stage merges its blocks from them.
-    Only stages with a similarity of their own read pixels again.  With ``target`` the
-    results are also written there, one folder per stage.
+    Only stages with a similarity of their own read pixels again; pixels that are dear to
+    make should be written first.  With ``target`` the results are also written there, one
+    folder per stage.
     """
     spark = pixels.sparkSession
     grids = [Grid(width, height, stage.radii, stage.steps) for stage in stages]
@@ -167,6 +168,9 @@ def estimation_job(
     if options.scale:
         pixels = downsample(pixels, options.scale, width, height)
         width, height = width >> options.scale, height >> options.scale
+    own = sum(1 for stage in options.stages if strategy or stage_strategy(stage))
+    if (options.mask or options.scale) and own + (own < len(options.stages)) > 1:
+        pixels = materialize(pixels, "pixels")  # read by more than one stage
     results = estimate_stages(
         pixels,
         list(options.stages),

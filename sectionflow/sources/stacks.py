@@ -11,6 +11,7 @@ from sectionflow.functions.stats import present
 
 KEYS = ("z", "x", "y")
 FOLDERS = 1000  # of a stack, unless the caller says how many sections a folder holds
+FOLDER_PIXELS = 1 << 17  # in a folder of small sections
 
 
 def as_pixels(df: DataFrame, value: str = "v") -> DataFrame:
@@ -71,7 +72,8 @@ def load_masked(pixels: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     """Add ``weight`` from a mask table; no mask, or no mask row, means 1."""
     if mask is None:
         return pixels.withColumn("weight", F.lit(1.0))
-    weights = mask.select(*KEYS, F.col("v").cast("double").alias("weight"))
+    # A mask is small on disk for the rows it has, so the planner would take it for one to broadcast.
+    weights = mask.select(*KEYS, F.col("v").cast("double").alias("weight")).hint("merge")
     return pixels.join(weights, list(KEYS), "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
@@ -124,9 +126,14 @@ def write_sections(
     ordered.write.mode(mode).partitionBy("z_from", "z_to").parquet(path)
 
 
-def sections_per_folder(sections: int) -> int:
-    """The least number of sections to a folder that needs at most ``FOLDERS`` folders, wherever the first one begins."""
-    return 1 if sections <= FOLDERS else -(-sections // (FOLDERS - 1))
+def sections_per_folder(sections: int, pixels: int | None = None) -> int:
+    """The least number of sections to a folder that needs at most ``FOLDERS`` folders, wherever the first one begins.
+
+    With the ``pixels`` of a section also the least that leaves ``FOLDER_PIXELS`` to a folder:
+    writing and listing one costs the same whatever it holds.
+    """
+    least = 1 if sections <= FOLDERS else -(-sections // (FOLDERS - 1))
+    return max(least, -(-FOLDER_PIXELS // pixels)) if pixels else least
 
 
 def write_report(expected: DataFrame, written: DataFrame) -> DataFrame:

@@ -175,6 +175,18 @@ def test_tolerant_blocks_equal_average_of_pixels(random_stack, tile):
     assert all(close(p[4], q[4]) for p, q in zip(a, b, strict=True))
 
 
+def test_many_small_sections_meet_in_a_group(random_stack):
+    from sectionflow.operators.pairs import default_step
+
+    step = lambda width, height: tolerant._setup(width, height, 5, (1, 1), (1, 1), None, tolerant.TILE)[2]
+    assert step(4, 4) * 16 == tolerant.GROUP and step(4000, 2500) == default_step(5)
+    df, _ = random_stack
+    keys = "bx", "by", "z1", "z2"
+    got, want = (rows(tolerant.tolerant_similarity(df, GRID, 3, (1, 1), (1, 1), step), *keys) for step in (None, 7))
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert all(abs(p[4] - q[4]) < 1e-9 for p, q in zip(got, want, strict=True))
+
+
 def test_shifted_copy_is_found(spark):
     rng = np.random.default_rng(1)
     img = rng.normal(size=(12, 14))

@@ -54,6 +54,19 @@ def test_many_sections_share_folders(spark, tmp_path, monkeypatch):
         assert rows(stacks.load_sections(spark, str(path), 0, 300), "z", "x", "y") == rows(df, "z", "x", "y")
 
 
+def test_folders_of_small_sections_follow_their_pixels():
+    assert stacks.sections_per_folder(51_282, 64) * 64 >= stacks.FOLDER_PIXELS
+    assert -(-51_282 // stacks.sections_per_folder(51_282, 64)) < 51_282 // 100
+    assert stacks.sections_per_folder(40, 10**7) == 1
+    assert -(-(10**7) // stacks.sections_per_folder(10**7, 64)) <= stacks.FOLDERS
+
+
+def test_masks_are_not_broadcast(random_stack):
+    df, _ = random_stack
+    plan = stacks.load_masked(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_write_report_lists_lost_sections(spark, tmp_path, random_stack):
     df, _ = random_stack
     path = str(tmp_path / "partial")

@@ -246,6 +246,23 @@ def test_mask_and_offsets_take_effect(spark, random_stack, tmp_path):
     assert estimate.stage_strategy(o.stages[0]) is None
 
 
+def test_masked_pixels_are_made_once_for_all_stages(spark, random_stack, tmp_path, monkeypatch):
+    df, _ = random_stack
+    source, mask = str(tmp_path / "source"), str(tmp_path / "mask")
+    stacks.write_sections(df.withColumn("z", F.col("z") + 3), source)
+    stacks.write_sections(df.withColumns({"z": F.col("z") + 3, "v": F.lit(1.0)}), mask)
+    given, config = [], {**CONFIG, "source": source, "options": CONFIG["options"][:1] + CONFIG["options"][2:]}
+    monkeypatch.setattr(estimate, "estimate_stages", lambda pixels, *_, **__: given.append(pixels) or [])
+    for name in (mask, ""):
+        o = job_options({**config, "mask": name, "target": str(tmp_path / "target")})
+        assert [bool(estimate.stage_strategy(s)) for s in o.stages] == [False, True]
+        estimate.estimation_job(spark, o, 10, 7)
+    plans = [g._jdf.queryExecution().executedPlan().toString() for g in given]
+    assert all("Join" not in plan for plan in plans)
+    want = rows(df, "z", "x", "y")
+    assert all(rows(g, "z", "x", "y") == want for g in given)
+
+
 def test_radius_without_blocks_is_an_error(spark, random_stack):
     df, _ = random_stack
     stage = job_options({**CONFIG, "options": [{"steps": [5, 5], "radii": [10, 7]}]}).stages[0]
