@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sectionflow.functions.chunks import CHUNK, SMALL, checked_broadcast
@@ -135,6 +135,30 @@ def sections_to_cols(lut: DataFrame, length: int = CHUNK) -> DataFrame:
     )
 
 
+def block_order(lut: DataFrame, step: int = CHUNK) -> DataFrame:
+    """(bx, by, sections, rising): how many sections of a block have a coordinate, and whether each of these lies above the one before it.
+
+    Missing coordinates are passed over.  Two levels: each chunk is compared inside, then
+    its last coordinate with the first one of the chunks after it, a row a chunk.
+    """
+    known, chunk = F.when(F.col("c").isNotNull(), F.col("z")), [*BLOCK, "_chunk"]
+    inside = Window.partitionBy(*chunk, F.col("c").isNull()).orderBy("z")
+    along = Window.partitionBy(*BLOCK, F.col("_head").isNull()).orderBy("_chunk")
+    chunks = (
+        lut.withColumn("_chunk", F.expr(f"z div {step}"))
+        .withColumn("_next", F.lead("c").over(inside))
+        .groupBy(*chunk)
+        .agg(
+            F.count("c").alias("_n"),
+            F.min(F.coalesce(F.col("_next") > F.col("c"), F.lit(True))).alias("_rising"),
+            F.min_by("c", known).alias("_head"),
+            F.max_by("c", known).alias("_tail"),
+        )
+        .withColumn("_joined", F.coalesce(F.lead("_head").over(along) > F.col("_tail"), F.lit(True)))
+    )
+    return chunks.groupBy(*BLOCK).agg(F.sum("_n").alias("sections"), F.min(F.col("_rising") & F.col("_joined")).alias("rising"))
+
+
 def failed_blocks(lut: DataFrame) -> DataFrame:
     return lut.where("c IS NULL").select(*BLOCK).distinct()
 

@@ -217,3 +217,24 @@ def test_fill_far_into_a_hole_over_tiles(spark):
         assert all(got[1, x, y] is None for x in range(41) for y in range(30))
         assert max(abs(got[0, x, y] - want[0, y, x]) for x in range(41) for y in range(30)) < 1e-9
         assert all(got[2, x, y] == values[2, y, x] for x in range(41) for y in range(30))
+
+
+def test_block_order_compares_all_sections_of_a_block(spark):
+    rng = np.random.default_rng(8)
+    columns = {
+        (0, 0): [float(z) for z in range(40)],
+        (1, 0): [float(z) - 30 * (z >= 7) for z in range(40)],  # falls where a chunk of 7 begins
+        (2, 0): [None if 5 <= z < 23 else float(z) - 30 * (z >= 23) for z in range(40)],  # and over missing chunks
+        (0, 1): [None] * 40,
+        (1, 1): [None if rng.random() < 0.3 else float(z) for z in range(40)],
+        (2, 1): [float(z - (z == 39)) for z in range(40)],  # the last two are equal
+    }
+    data = [(*b, z, c) for b, cs in columns.items() for z, c in enumerate(cs)]
+    lut = spark.createDataFrame(data, "bx bigint, by bigint, z bigint, c double").repartition(5)
+    want = []
+    for b, cs in columns.items():
+        known = [c for c in cs if c is not None]
+        want.append((*b, len(known), all(a < c for a, c in zip(known, known[1:]))))
+    assert [w[3] for w in want] == [True, False, False, True, True, False]
+    for step in (1, 7, 40, 4096):
+        assert rows(coords.block_order(lut, step), "bx", "by") == sorted(want)

@@ -3,6 +3,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from sectionflow.bindings.queries import QUERIES
 from sectionflow.functions.grid import Grid
 from sectionflow.operators import render
 from sectionflow.operators.coords import interp_linear
@@ -263,6 +264,22 @@ def test_masked_pixels_are_made_once_for_all_stages(spark, random_stack, tmp_pat
     assert all(rows(g, "z", "x", "y") == want for g in given)
 
 
+def test_job_query_sees_coordinates_fall_at_any_section(spark, tmp_path, monkeypatch):
+    vectors = spark.range(300).select(F.col("id").alias("vec_id"), F.expr("transform(sequence(1, 64), i -> double(i + id))").alias("embedding"))
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = F.col("z") - F.when((F.col("bx") == 1) & (F.col("z") >= 256), 9.0).otherwise(0.0)
+    forward = block_sections(spark, Grid(4, 4, (1, 1), (2, 2)), 300).withColumn("c", c)
+
+    def written(_, options, *rest):
+        for stage in range(2):
+            forward.write.parquet(f"{options.target}/stage={stage}/forward")
+            forward.withColumn("s", F.lit(1.0)).write.parquet(f"{options.target}/stage={stage}/matrices")
+
+    monkeypatch.setattr(estimate, "estimation_job", written)
+    found = rows(QUERIES["estimation_job"](spark, str(tmp_path)), "stage", "bx", "by")
+    assert found == [(s, bx, by, 300, bx == 0, 300) for s in range(2) for bx in range(2) for by in range(2)]
+
+
 def test_radius_without_blocks_is_an_error(spark, random_stack):
     df, _ = random_stack
     stage = job_options({**CONFIG, "options": [{"steps": [5, 5], "radii": [10, 7]}]}).stages[0]
