@@ -31,6 +31,26 @@ def test_wide_grids_are_written_small(spark, tmp_path):
     assert size < 2 * wide.count()  # bytes; whole rows of the grid take four times as much
 
 
+def test_partitions_of_large_grids_have_few_values(spark):
+    for width, height in ((1_440_000, 360_000), (360_000, 50), (70, 9_000_000)):
+        grid = Grid(width + 1, height + 1, (1, 1), (1, 1))
+        parts = g.block_grid(spark, grid).rdd.getNumPartitions()
+        assert -(-grid.size // parts) <= g.VALUES * min(g.STRIP, width, height)
+    grid = Grid(9, 1_000_001, (1, 1), (1, 1))
+    blocks = g.grid_translate(g.block_grid(spark, grid), Grid(9, 1_000_001, (2, 2), (4, 4)))
+    counts = [F.approx_count_distinct(c).alias(c) for c in blocks.columns]
+    found = blocks.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), *counts).collect()
+    assert sum(r.n for r in found) == grid.size
+    assert all(r[c] < 1.5 * g.VALUES for r in found for c in blocks.columns)  # estimates; a dictionary holds twice as many
+
+
+@pytest.mark.parametrize("width,height", [(g.STRIP - 1, 3), (g.STRIP + 1, 5), (2 * g.STRIP + 7, 4), (3, 2 * g.STRIP)])
+def test_strips_hold_every_block_once(spark, width, height):
+    got = [tuple(r) for r in g.block_grid(spark, Grid(width + 1, height + 1, (1, 1), (1, 1))).collect()]
+    assert len(got) == width * height
+    assert set(got) == {(x, y, x + 1, y + 1) for x in range(width) for y in range(height)}
+
+
 def test_division_truncates_toward_zero(spark):
     df = spark.createDataFrame([(0, 0), (1, 9), (12, 5)], "x bigint, y bigint")
     got = rows(g.world_to_local(df, Grid(20, 20, (5, 5), (4, 4))), "x")
